@@ -85,10 +85,8 @@ def spanning_tree(connections: DataFrame) -> DataFrame:
     tree = empty
     live = edges.withColumns({"u": c("a"), "v": c("b")})
     while not live.isEmpty():
-        order = F.struct("length", "a", "b")
-        picks = (_both_ways(live, "a", "b", "length")
-                 .toDF("x", "y", "a", "b", "length")
-                 .groupBy("x").agg(F.min(order).alias("e")))
+        ranked = live.withColumn("e", F.struct("length", "a", "b"))
+        picks = _both_ways(ranked, "e").groupBy("a").agg(F.min("e").alias("e"))
         chosen = cut_lineage(picks.select("e.a", "e.b", "e.length").distinct())
         tree = tree.unionByName(chosen)
         merged = live.join(chosen.select("a", "b"), ["a", "b"], "left_semi").select("u", "v")

@@ -112,7 +112,7 @@ def with_box(rows: DataFrame, prefix: str, x0: Column, y0: Column, x1: Column, y
     def size_class(extent: Column) -> Column:
         # smallest power of four that is at least the extent; zero extents share one fine class
         return F.when(extent <= 0, F.lit(-20)).otherwise(
-            F.greatest(F.lit(-20), F.ceil(F.log(F.lit(4.0), extent)).cast("int")))
+            F.greatest(F.lit(-20), F.ceil(F.log(4.0, extent)).cast("int")))
     return rows.withColumns({
         f"{prefix}x0": x0, f"{prefix}y0": y0, f"{prefix}x1": x1, f"{prefix}y1": y1,
         f"{prefix}lx": size_class(x1 - x0), f"{prefix}ly": size_class(y1 - y0)})

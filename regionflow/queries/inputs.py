@@ -20,7 +20,7 @@ VERTEX_SQL = """
 SEGMENT_SQL = f"""
     SELECT * FROM (
         SELECT street_id, part, seq, x AS ax, y AS ay,
-               lead(x) OVER w AS bx, lead(y) OVER w AS by,
+               lead(x) OVER w AS bx, lead(y) OVER w AS "by",
                sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS length
         FROM ({VERTEX_SQL}) WINDOW w AS (PARTITION BY street_id ORDER BY seq))
     WHERE bx IS NOT NULL"""
@@ -81,7 +81,7 @@ GRID_CUTS_SQL = f"""
                     v.y0 AS vy0, v.y1 AS vy1
              FROM g h JOIN g v ON h.flat AND NOT v.flat
               AND v.x0 BETWEEN h.x0 AND h.x1 AND h.y0 BETWEEN v.y0 AND v.y1)
-    SELECT h AS street_id, x - hx0 AS at, x, y FROM meet WHERE x > hx0 AND x < hx1
+    SELECT h AS street_id, x - hx0 AS "at", x, y FROM meet WHERE x > hx0 AND x < hx1
     UNION
     SELECT v, y - vy0, x, y FROM meet WHERE y > vy0 AND y < vy1"""
 
