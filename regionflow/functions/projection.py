@@ -118,6 +118,12 @@ def _laea_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     phi = (beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
            + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta)
            + (761 * e6 / 45360) * F.sin(6 * beta))
+    # one Newton step takes the series' last millimetre
+    s = F.sin(phi)
+    w = 1 - _E2 * s * s
+    q = _QP * sine
+    phi = phi + w * w / (2 * F.cos(phi)) * (
+        q / (1 - _E2) - s / w + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E))
     return F.degrees(lam + _LAM0), F.degrees(phi)
 
 

@@ -16,13 +16,13 @@ PALETTE = [
 def general_format(value: Column, digits: int) -> Column:
     """Shortest ``%.<digits>g`` text as C and Python print it; NULL stays NULL.
 
-    Spark's own ``%g`` pads zeros and switches to exponents at other magnitudes, so the mantissa
-    and exponent are taken from ``%e`` (which rounds correctly) and laid out here.
+    Spark's ``%g`` pads zeros and rounds the printed value once more, so mantissa and exponent
+    come from a decimal pattern (which rounds the exact binary value) and are laid out here.
     """
     value = value.cast("double")
-    scientific = F.format_string(f"%.{digits - 1}e", value)
-    mantissa = F.regexp_extract(scientific, r"^(-?[0-9.]+)e", 1)
-    exponent = F.regexp_extract(scientific, r"e([+-][0-9]+)$", 1).cast("int")
+    scientific = F.call_function("format_number", value, F.lit("0." + "0" * (digits - 1) + "E0"))
+    mantissa = F.regexp_extract(scientific, r"^(-?[0-9.]+)E", 1)
+    exponent = F.regexp_extract(scientific, r"E(-?[0-9]+)$", 1).try_cast("int")
     negative = mantissa.startswith("-")
     figures = F.regexp_replace(mantissa, r"[-.]", "")
     kept = F.regexp_replace(figures, r"0+$", "")

@@ -10,7 +10,7 @@ from regionflow.errors import DataError
 from regionflow.functions.config import config_frame, times
 from regionflow.functions.units import UNITS
 from regionflow.operators.catalog import SUB_KINDS
-from regionflow.scale import attach, with_totals
+from regionflow.scale import attach, cut_lineage, with_totals
 
 c = F.col
 
@@ -141,9 +141,10 @@ def technology_mix(shares: DataFrame, demands: DataFrame, defaults: DataFrame, s
     If minimum shares wipe out a mix that has no forced share, the default mix is used.
     """
     key = ["region_id", "demand"]
-    start = fallback_mix(shares, demands, defaults)
+    # both are read several times below
+    start = cut_lineage(fallback_mix(shares, demands, defaults))
     own = apply_minimum(start.filter(~c("is_default")).drop("is_default"), minimum)
-    mixed = apply_forced(own, forced, serving)
+    mixed = cut_lineage(apply_forced(own, forced, serving))
     fixed = mixed.filter("has_forced").drop("has_forced")
     plain = normalise_shares(mixed.filter(~c("has_forced")).drop("has_forced"))
     wiped = plain.filter(c("share").isNull()).select(*key).distinct()

@@ -149,8 +149,9 @@ def format_scaled(value: Column, kind: str, unit: str) -> Column:
     amount = value * sizes[unit]
 
     def text(label: str, size: float) -> tuple[Column, Column]:
-        rounded = F.round(amount / size, 2)
-        return F.abs(rounded) < 1000, F.concat(F.format_string("%.2f", rounded), F.lit(f" {label}"))
+        # the pattern rounds the exact binary value, half to even
+        rounded = F.call_function("format_number", amount / size, F.lit("0.00"))
+        return F.abs(rounded.cast("double")) < 1000, F.concat(rounded, F.lit(f" {label}"))
 
     fits, shown = text(*display[0])
     result = F.when(fits, shown)
