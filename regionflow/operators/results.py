@@ -59,7 +59,8 @@ def rescale_results(rows: DataFrame, system_unit: str) -> DataFrame:
 
 # --- tidy tables ----------------------------------------------------------------------------------------
 
-_VALUES = [c("cap_active").alias("capacity"), c("eouttot").alias("energy_output"), c("cap_new").alias("new_capacity")]
+def _values() -> list[Column]:
+    return [c("cap_active").alias("capacity"), c("eouttot").alias("energy_output"), c("cap_new").alias("new_capacity")]
 
 
 def _matched(assets: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def decentral_results(outputs: DataFrame, assets: DataFrame, demands: DataFrame,
         F.max_by("demand", "demand_ord").alias("demand"))
     own = assets.filter("kind = 'decentral'").select("name", "region_id", "commodity_in", "commodity_out").distinct()
     rows = _matched(_named(own.join(names, ["region_id", "commodity_out"]), scoped), outputs)
-    return rows.select("demand", "year", c("name").alias("technology"), "region_id", *_VALUES)
+    return rows.select("demand", "year", c("name").alias("technology"), "region_id", *_values())
 
 
 def central_results(outputs: DataFrame, assets: DataFrame, scoped: list[str]) -> DataFrame:
@@ -94,12 +95,12 @@ def central_results(outputs: DataFrame, assets: DataFrame, scoped: list[str]) ->
         "cin": F.when(chp, F.concat(F.lit("Help_"), process)).otherwise(
             scoped_commodity(c("commodity_in"), c("region_id"), scoped))})
     return _matched(rows, outputs).select("commodity", "year", c("name").alias("technology"), "region_id",
-                                          *_VALUES, "newly_installed_units")
+                                          *_values(), "newly_installed_units")
 
 
 def grid_results(outputs: DataFrame, assets: DataFrame, scoped: list[str]) -> DataFrame:
     rows = _matched(_named(assets.filter("kind = 'grid'"), scoped), outputs)
-    return rows.select(c("commodity_in").alias("commodity"), "year", c("name").alias("technology"), "region_id", *_VALUES)
+    return rows.select(c("commodity_in").alias("commodity"), "year", c("name").alias("technology"), "region_id", *_values())
 
 
 def pipe_results(outputs: DataFrame, pipes: DataFrame, scoped: list[str]) -> DataFrame:
@@ -109,7 +110,7 @@ def pipe_results(outputs: DataFrame, pipes: DataFrame, scoped: list[str]) -> Dat
         "cout": scoped_commodity(c("commodity_out"), c("region_out"), scoped)})
     return _matched(rows, outputs).select(
         c("commodity_out").alias("commodity"), "year", c("name").alias("technology"),
-        c("region_in").alias("region_id_from"), c("region_out").alias("region_id_to"), *_VALUES)
+        c("region_in").alias("region_id_from"), c("region_out").alias("region_id_to"), *_values())
 
 
 def _trade_results(outputs: DataFrame, trade: DataFrame, kind: str) -> DataFrame:
@@ -122,11 +123,11 @@ def _trade_results(outputs: DataFrame, trade: DataFrame, kind: str) -> DataFrame
 
 
 def import_results(outputs: DataFrame, trade: DataFrame) -> DataFrame:
-    return _trade_results(outputs, trade, "Import").select("commodity", "year", *_VALUES)
+    return _trade_results(outputs, trade, "Import").select("commodity", "year", *_values())
 
 
 def export_results(outputs: DataFrame, trade: DataFrame) -> DataFrame:
-    return _trade_results(outputs, trade, "Export").select("commodity", "year", *_VALUES).withColumnRenamed(
+    return _trade_results(outputs, trade, "Export").select("commodity", "year", *_values()).withColumnRenamed(
         "energy_output", "energy_input")
 
 
