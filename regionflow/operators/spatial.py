@@ -27,18 +27,19 @@ def _cell(value: Column, size) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def segment_cover(ax: str, ay: str, bx: str, by: str) -> Cover:
-    """Cells crossed by a segment: per grid column, the rows its part of the segment reaches.
+def segment_cover(ax: str, ay: str, bx: str, by: str, halo: float = 0.0) -> Cover:
+    """Cells within ``halo`` of a segment: per grid column, the rows its part of the segment reaches.
 
     The total number of cells is linear in the total length over the cell size.
     """
     def cover(rows: DataFrame, size: float) -> DataFrame:
         x0, x1 = F.least(ax, bx), F.greatest(ax, bx)
-        slack = 1e-9 * size
+        slack = 1e-9 * size + halo
         columns = rows.withColumn("_cx", F.explode(F.sequence(
             _cell(x0 - slack, size), _cell(x1 + slack, size))))
-        left = F.greatest(x0, F.col("_cx") * size - slack)
-        right = F.least(x1, (F.col("_cx") + 1) * size + slack)
+        # the part of the segment over this column, kept inside the segment itself
+        left = F.least(x1, F.greatest(x0, F.col("_cx") * size - slack))
+        right = F.greatest(x0, F.least(x1, (F.col("_cx") + 1) * size + slack))
         dx = F.col(bx) - F.col(ax)
 
         def height(x: Column) -> Column:

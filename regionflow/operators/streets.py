@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from regionflow.errors import DataError
 from regionflow.functions import geometry as geo
 from regionflow.operators import graph
-from regionflow.operators.spatial import (
-    grid_join, grid_size, radius_cover, segment_cover, with_box, box_join)
-from regionflow.scale import attach, cut_lineage, running, with_totals
+from regionflow.operators.spatial import grid_join, grid_size, radius_cover, segment_cover
+from regionflow.scale import attach, cut_lineage, has_hot_group, running, with_totals
 
 SOURCE_ID = "source_street_id"
 SOURCE_SHARE = "source_share"
@@ -185,57 +184,67 @@ def dedupe_points(points: DataFrame, tol: float, street: str = "id") -> DataFram
             .drop("_before"))
 
 
-def _with_points(streets: DataFrame, points: DataFrame, tol: float, id_column: str) -> DataFrame:
-    """Vertex rows of the streets named in ``points`` with the points merged in.
+def vertices_along(streets: DataFrame, id_column: str) -> DataFrame:
+    """Vertex rows with their length from the start of the part: ``id, part, seq, at, x, y,
+    begins, ends`` (first and last vertex of the part). Row-local."""
+    def measured(vertices: Column) -> Column:
+        kind = "array<struct<x:double,y:double,at:double>>"
+
+        def add(acc, p):
+            last = F.try_element_at(acc, F.lit(-1))
+            at = F.coalesce(last["at"] + geo.distance(last["x"], last["y"], p["x"], p["y"]), F.lit(0.0))
+            return F.concat(acc, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"), at.alias("at"))))
+        return F.aggregate(vertices, F.array().cast(kind), add)
+
+    return (streets.select(F.col(id_column).alias("id"), F.posexplode("parts").alias("part", "_line"))
+            .select("id", "part", F.size("_line").alias("_n"), F.posexplode(measured(F.col("_line"))).alias("seq", "_v"))
+            .select("id", "part", "seq", "_v.at", "_v.x", "_v.y", (F.col("seq") == 0).alias("begins"),
+                    (F.col("seq") == F.col("_n") - 1).alias("ends")))
+
 
-    Columns: id, ``part``, ``seq`` (vertex number, or NULL), ``at``, ``x``, ``y``, ``cut`` and
-    ``edge`` (first or last vertex of its part). A point within ``tol`` of a vertex marks that
-    vertex as a cut and is not inserted.
+def _with_points(streets: DataFrame, points: DataFrame, tol: float, id_column: str) -> tuple[DataFrame, bool]:
+    """Vertex rows of the streets named in ``points`` with the points merged in, and whether some
+    street has very many rows.
+
+    Columns: id, ``part``, ``seq`` (vertex number, or NULL), ``at``, ``x``, ``y``, ``cut``,
+    ``begins``, ``ends``. A point within ``tol`` of a vertex marks that vertex as a cut and is
+    not inserted; points are farther than ``tol`` from each other, so one look to either side in
+    the order along the part decides.
     """
     touched = streets.join(points.select(F.col("id").alias(id_column)).distinct(), id_column, "left_semi")
-    segs = segments(touched, id_column)
-    last = (F.col("seq") == 0)
-    vertices = segs.select(
-        F.col(id_column).alias("id"), "part", "seq", F.col("start").alias("at"),
-        F.col("ax").alias("x"), F.col("ay").alias("y"), last.alias("edge")).unionByName(
-        explode_ends(segs, id_column))
-    marks = points.select("id", "part", "at", "x", "y")
-    # a vertex within tol of a point is the cut itself; slots make the range test an equi-join
-    slot = F.floor(F.col("at") / (4 * tol)).cast("long")
-    marked = marks.select("id", "part", F.col("at").alias("_pat"),
-                          F.col("x").alias("_mx"), F.col("y").alias("_my"),
-                          F.explode(F.array(slot - 1, slot, slot + 1)).alias("_slot"))
-    hits = (vertices.withColumn("_slot", slot).join(marked, ["id", "part", "_slot"])
-            .filter(F.abs(F.col("at") - F.col("_pat")) <= tol))
-    cut_vertices = hits.select("id", "part", "seq").distinct().withColumn("cut", F.lit(True))
-    used = hits.select("id", "part", F.col("_mx").alias("x"), F.col("_my").alias("y")).distinct()
-    kept = (vertices.join(cut_vertices, ["id", "part", "seq"], "left")
-            .withColumn("cut", F.coalesce("cut", F.lit(False)) & ~F.col("edge")))
-    inserted = (marks.join(used, ["id", "part", "x", "y"], "left_anti")
-                .withColumns({"seq": F.lit(None).cast("int"), "edge": F.lit(False), "cut": F.lit(True)}))
-    return kept.unionByName(inserted)
-
-
-def explode_ends(segs: DataFrame, id_column: str) -> DataFrame:
-    """The last vertex of every part, from its last segment."""
-    ends = segs.groupBy(id_column, "part").agg(F.max_by(
-        F.struct("seq", "bx", "by", "part_length"), "seq").alias("_e"))
-    return ends.select(F.col(id_column).alias("id"), "part", (F.col("_e.seq") + 1).alias("seq"),
-                       F.col("_e.part_length").alias("at"), F.col("_e.bx").alias("x"),
-                       F.col("_e.by").alias("y"), F.lit(True).alias("edge"))
-
-
-def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    vertices = vertices_along(touched, id_column).withColumn("point", F.lit(False))
+    marks = points.select("id", F.col("part").cast("int").alias("part"), F.lit(None).cast("int").alias("seq"), "at", "x", "y",
+                          F.lit(False).alias("begins"), F.lit(False).alias("ends"), F.lit(True).alias("point"))
+    rows = vertices.unionByName(marks)
+    hot = has_hot_group(rows, ["id"])
+    near = running(rows, ["id", "part"], _ALONG, hot=hot,
+                   previous={"_p": "point", "_pat": "at"}, following={"_n": "point", "_nat": "at"})
+    at, point = F.col("at"), F.col("point")
+
+    def beside(other: str, other_at: str) -> Column:
+        gap = F.abs(at - F.col(other_at)) <= tol
+        return F.coalesce((F.col(other) != point) & gap, F.lit(False))
+
+    meets = beside("_p", "_pat") | beside("_n", "_nat")
+    kept = near.filter(~(point & meets))
+    return kept.select("id", "part", "seq", "at", "x", "y", "begins", "ends",
+                       (point | (meets & ~F.col("begins") & ~F.col("ends"))).alias("cut")), hot
+
+
+_ALONG = ["at", "seq", "x", "y"]
+
+
+def _gathered(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Vertex rows (``ord``, ``x``, ``y``) of one line back into one vertex array."""
     return rows.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "x", "y"))),
-        lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("line"))
+        lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("line"), *more)
 
 
 def insert_vertex(streets: DataFrame, points: DataFrame, id_column: str, tol: float) -> DataFrame:
     """Insert points (``id, part, at, x, y``) as vertices; ends and existing vertices are left."""
-    merged = _with_points(streets, points, tol, id_column)
-    lines = _gathered(merged.withColumn("ord", F.struct("at", "x", "y")), ["id", "part"])
+    merged, _ = _with_points(streets, points, tol, id_column)
+    lines = _gathered(merged.withColumn("ord", F.struct(*_ALONG)), ["id", "part"])
     parts = lines.groupBy("id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "line"))), lambda s: s["line"]).alias("_new"))
     return (streets.join(parts.withColumnRenamed("id", id_column), id_column, "left")
@@ -243,40 +252,66 @@ def insert_vertex(streets: DataFrame, points: DataFrame, id_column: str, tol: fl
 
 
 def split_at_points(streets: DataFrame, points: DataFrame, id_column: str, tol: float) -> DataFrame:
-    """Cut single-part streets at interior points: ``id``, ``piece`` (1-based), ``line``, ``length``.
+    """Cut single-part streets at interior points: ``id``, ``piece`` (1-based), ``line``, ``length``
+    and ``whole`` (the street was not cut at all).
 
     The running number of cuts before a vertex is its piece; a cut vertex ends one piece and
     starts the next.
     """
-    merged = _with_points(streets, points, tol, id_column)
+    merged, hot = _with_points(streets, points, tol, id_column)
     counted = running(merged.withColumn("_cut", F.col("cut").cast("long")),
-                      ["id"], ["at", "seq", "x", "y"], sums={"_cuts": "_cut"})
-    ends_piece = F.col("cut")
-    piece = F.when(ends_piece, F.array(F.col("_cuts"), F.col("_cuts") + 1)).otherwise(
+                      ["id", "part"], _ALONG, sums={"_cuts": "_cut"}, hot=hot)
+    piece = F.when(F.col("cut"), F.array(F.col("_cuts"), F.col("_cuts") + 1)).otherwise(
         F.array(F.col("_cuts") + 1))
-    rows = (counted.withColumn("piece", F.explode(piece))
-            .withColumn("ord", F.struct("at", "seq", "x", "y")))
-    lines = _gathered(rows, ["id", "piece"])
+    rows = counted.withColumn("piece", F.explode(piece)).withColumn("ord", F.struct(*_ALONG))
+    lines = _gathered(rows, ["id", "piece"], (F.max("begins") & F.max("ends")).alias("whole"))
     return lines.withColumn("length", geo.line_length(F.array("line")))
 
 
 def junction_points(streets: DataFrame, id_column: str, tol: float = 1e-6) -> DataFrame:
     """Where streets must be split: ``id, part, at, x, y`` in the interior of street ``id``.
 
-    A vertex that lies within ``tol`` of another street is used itself as the split point, so
-    that both streets share one node bit by bit.
+    One grid join finds all pairs of segments of different streets that come within ``tol``. A
+    pair gives its crossing to both streets, and the end of one segment that lies on the other
+    to that other street. Such an end is used itself as the split point, so that both streets
+    share one node bit by bit.
     """
-    segs = segments(streets.filter(F.col("parts").isNotNull()), id_column).withColumnRenamed(id_column, "id")
-    bare = segs.select("id", "ax", "ay", "bx", "by")
-    crossings = segment_intersections(bare, bare, F.col("a_id") < F.col("b_id"))
-    on_both = (crossings.select(F.col("a_id").alias("id"), "x", "y")
-               .unionByName(crossings.select(F.col("b_id").alias("id"), "x", "y")).distinct())
-    located = (locate_on_line(on_both, segs, ["id"], tol, []).filter("interior")
-               .select("id", "part", "at", "x", "y"))
-    vertices = (segs.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
-                .unionByName(segs.select(F.col("bx").alias("x"), F.col("by").alias("y"))))
-    touching = near_touch_vertices(vertices, segs, tol).select("id", "part", "at", "x", "y")
-    return dedupe_points(located.unionByName(touching).distinct(), tol)
+    segs = segments(streets.filter(F.col("parts").isNotNull()), id_column).withColumnRenamed(id_column, "id").drop("seq")
+    left, right = _prefixed(segs, "a_"), _prefixed(segs, "b_")
+    c = F.col
+    near = ((c("a_id") < c("b_id"))
+            & (F.least("a_ax", "a_bx") - tol <= F.greatest("b_ax", "b_bx"))
+            & (F.least("b_ax", "b_bx") - tol <= F.greatest("a_ax", "a_bx"))
+            & (F.least("a_ay", "a_by") - tol <= F.greatest("b_ay", "b_by"))
+            & (F.least("b_ay", "b_by") - tol <= F.greatest("a_ay", "a_by")))
+    size = grid_size(segs, F.greatest(F.abs(c("bx") - c("ax")), F.abs(c("by") - c("ay"))), tol)
+    pairs = grid_join(left, right, segment_cover("a_ax", "a_ay", "a_bx", "a_by", tol),
+                      segment_cover("b_ax", "b_ay", "b_bx", "b_by", tol), size, near, radius=tol)
+    ends = lambda s: [(c(f"{s}_ax"), c(f"{s}_ay")), (c(f"{s}_bx"), c(f"{s}_by"))]
+    (a1, a2), (b1, b2) = ends("a"), ends("b")
+
+    def mark(s: str, at: Column, x: Column, y: Column, when: Column) -> Column:
+        """The point as a split of side ``s`` if it lies inside that street's part."""
+        inside = when & (at > tol) & (at < c(f"{s}_part_length") - tol)
+        return F.when(inside, F.struct(c(f"{s}_id").alias("id"), c(f"{s}_part").alias("part"), at.alias("at"),
+                                       x.alias("x"), y.alias("y")))
+
+    def crossed(s: str) -> Column:
+        (x0, y0), _ = ends(s)
+        x, y = c("_at.x"), c("_at.y")
+        return mark(s, c(f"{s}_start") + geo.distance(x0, y0, x, y), x, y, c("_at").isNotNull())
+
+    def touched(s: str, end: tuple[Column, Column]) -> Column:
+        p, q = ends(s)
+        foot = geo.projection(*p, *q, *end)
+        other = ~(((end[0] == p[0]) & (end[1] == p[1])) | ((end[0] == q[0]) & (end[1] == q[1])))
+        return mark(s, c(f"{s}_start") + foot["t"] * c(f"{s}_length"), *end, (foot["dist"] <= tol) & other)
+
+    found = pairs.withColumn("_at", geo.crossing(*a1, *a2, *b1, *b2)).withColumn("_marks", F.array_compact(F.array(
+        crossed("a"), crossed("b"), touched("b", a1), touched("b", a2), touched("a", b1), touched("a", b2))))
+    points = found.select(F.inline("_marks"))
+    # cells and shared ends repeat points; copies are closer than tol and fall out here
+    return dedupe_points(points, tol)
 
 
 def divide_at_junctions(streets: DataFrame, id_column: str, extensive: list[str] | None = None,
@@ -288,24 +323,23 @@ def divide_at_junctions(streets: DataFrame, id_column: str, extensive: list[str]
     """
     extensive = [c for c in extensive or [] if c in streets.columns]
     points = cut_lineage(junction_points(streets, id_column, tol))
-    single = F.size("parts") == 1
-    singles, multis = streets.filter(single), streets.filter(~F.coalesce(single, F.lit(False)))
-    pieces = split_at_points(singles, points.join(
-        singles.select(F.col(id_column).alias("id")), "id", "left_semi"), id_column, tol)
-    pieces = with_totals(pieces, ["id"], _total=F.sum("length"), _pieces=F.max("piece"))
-    pieces = pieces.filter("_pieces > 1").withColumnRenamed("id", id_column)
-    whole = singles.join(pieces.select(id_column).distinct(), id_column, "left_anti")
+    single = F.coalesce(F.size("parts") == 1, F.lit(False))
+    singles, others = streets.filter(single), streets.filter(~single)
+    pieces = cut_lineage(split_at_points(singles, points, id_column, tol)
+                         .filter(~F.col("whole")).withColumnRenamed("id", id_column))
+    whole = singles.join(pieces.filter("piece = 1").select(id_column), id_column, "left_anti")
     # a street may have very many pieces, so its attributes are attached like any hot key
-    cut = attach(pieces, singles.drop("parts"), [id_column], "inner")
+    street = singles.withColumn("_total", geo.line_length(F.col("parts"))).drop("parts")
+    cut = attach(pieces, street, [id_column], "inner")
     share = F.when(F.col("_total") > 0, F.col("length") / F.col("_total")).otherwise(F.lit(1.0))
     cut = cut.withColumns({
         **{c: F.col(c) * share for c in extensive},
         "parts": F.array("line"),
         id_column: F.concat((F.col("piece") * 100).cast("string"), F.col(id_column).cast("string"))})
-    multi_points = points.join(multis.select(F.col(id_column).alias("id")), "id", "left_semi")
-    multis = insert_vertex(multis, multi_points, id_column, tol)
+    if not others.filter(F.col("parts").isNotNull()).isEmpty():
+        others = insert_vertex(others, points, id_column, tol)
     columns = [F.col(c).cast("string").alias(c) if c == id_column else F.col(c) for c in streets.columns]
-    return reduce(DataFrame.unionByName, [d.select(*columns) for d in (whole, cut, multis)])
+    return reduce(DataFrame.unionByName, [d.select(*columns) for d in (whole, cut, others)])
 
 
 def street_edges(streets: DataFrame, id_column: str) -> DataFrame:

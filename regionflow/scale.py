@@ -81,13 +81,16 @@ def has_hot_group(rows: DataFrame, keys: list[str]) -> bool:
 def running(rows: DataFrame, keys: list[str], order: list[str], *,
             number: str | None = None,
             sums: dict[str, str] | None = None,
-            previous: dict[str, str] | None = None) -> DataFrame:
-    """Ordered per-key columns: 1-based position, running sums (inclusive), previous values.
-
-    ``order`` must order the rows of a key totally up to exact copies. ``sums`` and ``previous``
-    map new column names to source columns. Keys must not be NULL.
+            previous: dict[str, str] | None = None,
+            following: dict[str, str] | None = None,
+            hot: bool | None = None) -> DataFrame:
+    """Ordered per-key columns: 1-based position, running sums (inclusive), previous and next values.
+
+    ``order`` must order the rows of a key totally up to exact copies. ``sums``, ``previous`` and
+    ``following`` map new column names to source columns. Keys must not be NULL. ``hot`` is the
+    answer of :func:`has_hot_group` if the caller has asked already.
     """
-    sums, previous = sums or {}, previous or {}
+    sums, previous, following = sums or {}, previous or {}, following or {}
 
     def scan(frame: DataFrame, partition: list[str]) -> DataFrame:
         ordered = Window.partitionBy(*partition).orderBy(*order)
@@ -99,19 +102,24 @@ def running(rows: DataFrame, keys: list[str], order: list[str], *,
             columns[name] = F.sum(source).over(upto)
         for name, source in previous.items():
             columns[name] = F.lag(source).over(ordered)
+        for name, source in following.items():
+            columns[name] = F.lead(source).over(ordered)
         return frame.withColumns(columns)
 
-    if not has_hot_group(rows, keys):
+    if not (has_hot_group(rows, keys) if hot is None else hot):
         return scan(rows, keys)
 
     # Range boundaries are sampled, so the ranged rows are stored before they are read twice.
     ranged = cut_lineage(
         rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    # The last row of a range, by the order itself; exact copies of it are interchangeable.
-    last_of_range = F.max_by(F.struct(*previous.values()) if previous else F.lit(0),
-                             F.struct(*order))
+    # The outer rows of a range, by the order itself; exact copies of them are interchangeable.
+    def outer(pick, sources):
+        return pick(F.struct(*sources) if sources else F.lit(0), F.struct(*order))
+
     per_range = ranged.groupBy(*keys, "_range").agg(
-        F.count(F.lit(1)).alias("_rows"), last_of_range.alias("_last"),
+        F.count(F.lit(1)).alias("_rows"),
+        outer(F.max_by, list(dict.fromkeys(previous.values()))).alias("_last"),
+        outer(F.min_by, list(dict.fromkeys(following.values()))).alias("_head"),
         *[F.sum(source).alias(f"_total_{name}") for name, source in sums.items()])
     # At most one row per key and range: the window below is bounded by the range count.
     by_range = Window.partitionBy(*keys).orderBy("_range")
@@ -120,11 +128,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], *,
         *keys, "_range",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
         F.lag("_last").over(by_range).alias("_before"),
+        F.lead("_head").over(by_range).alias("_after"), "_rows",
         *[F.sum(f"_total_{name}").over(before).alias(f"_carry_{name}") for name in sums])
     local = scan(ranged, [*keys, "_range"])
-    local = local.withColumn(
-        "_first", F.row_number().over(
-            Window.partitionBy(*keys, "_range").orderBy(*order)) == 1)
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    local = local.withColumn("_place", place)
     joined = local.join(offsets, [*keys, "_range"])
     fixed = {}
     if number:
@@ -133,7 +141,9 @@ def running(rows: DataFrame, keys: list[str], order: list[str], *,
         fixed[name] = F.when(F.col(f"_carry_{name}").isNull(), F.col(name)).otherwise(
             F.coalesce(F.col(name), F.lit(0)) + F.col(f"_carry_{name}"))
     for name, source in previous.items():
-        fixed[name] = F.when(F.col("_first"), F.col(f"_before.{source}")).otherwise(F.col(name))
+        fixed[name] = F.when(F.col("_place") == 1, F.col(f"_before.{source}")).otherwise(F.col(name))
+    for name, source in following.items():
+        fixed[name] = F.when(F.col("_place") == F.col("_rows"), F.col(f"_after.{source}")).otherwise(F.col(name))
     return joined.withColumns(fixed).select(*rows.columns, *fixed)
 
 
