@@ -13,38 +13,102 @@ PALETTE = [
 ]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _product_side(x: Column, y: Column, target: Column) -> Column:
+    """Sign of the exact x * y - target for doubles whose product is close to the target.
+
+    The product's rounding error is recovered from the split halves of the factors.
+    """
+    def halves(v: Column) -> tuple[Column, Column]:
+        scaled = v * 134217729.0
+        high = scaled - (scaled - v)
+        return high, v - high
+    (xh, xl), (yh, yl) = halves(x), halves(y)
+    product = x * y
+    error = ((xh * yh - product) + xh * yl + xl * yh) + xl * yl
+    return F.signum((product - target) + error)
+
+
+def _rounded_tie(down: Column, side: Column) -> Column:
+    """``down`` or one more for a value whose decimal text ends in a five: by the side of the tie
+    on which the binary value lies, half to even exactly on it."""
+    return down + F.when((side > 0) | ((side == 0) & (down % 2 == 1)), 1).otherwise(0)
+
+
 def general_format(value: Column, digits: int) -> Column:
     """Shortest ``%.<digits>g`` text as C and Python print it; NULL stays NULL.
 
-    Spark's ``%g`` pads zeros and rounds the printed value once more, so mantissa and exponent
-    come from a decimal pattern (which rounds the exact binary value) and are laid out here.
+    Spark's ``%g`` pads zeros and rounds the decimal text of a number, not its binary value, so
+    ties are decided here by exact arithmetic (for magnitudes of 1e-16 to 1e27) and mantissa and
+    exponent are laid out by the C rules.
     """
-    value = value.cast("double")
-    scientific = F.call_function("format_number", value, F.lit("0." + "0" * (digits - 1) + "E0"))
-    mantissa = F.regexp_extract(scientific, r"^(-?[0-9.]+)E", 1)
-    exponent = F.regexp_extract(scientific, r"E(-?[0-9]+)$", 1).try_cast("int")
-    negative = mantissa.startswith("-")
-    figures = F.regexp_replace(mantissa, r"[-.]", "")
-    kept = F.regexp_replace(figures, r"0+$", "")
-
-    def point_after(whole: Column, fraction: Column) -> Column:
-        return F.when(F.length(fraction) > 0, F.concat(whole, F.lit("."), fraction)).otherwise(whole)
-
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), kept)
-    large_whole = F.substring(figures, F.lit(1), exponent + 1)
-    large = point_after(large_whole, F.substring(kept, exponent + 2, F.lit(digits)))
-    power = F.concat(
-        point_after(F.substring(figures, 1, 1), F.substring(kept, 2, digits)),
-        F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    body = (F.when((exponent < -4) | (exponent >= digits), power)
-            .when(exponent < 0, small)
-            .otherwise(large))
-    signed = F.when(negative, F.concat(F.lit("-"), body)).otherwise(body)
-    return (F.when(value.isNull(), F.lit(None).cast("string"))
-            .when(F.isnan(value), "nan")
-            .when(value == 0, "0")
-            .otherwise(signed))
+    powers = F.array(*[F.lit(10.0 ** k) for k in range(23)])
+
+    def parts(text: Column) -> tuple[Column, Column]:
+        figures = F.regexp_replace(F.substring_index(text, "e", 1), r"[.]", "").cast("bigint")
+        return figures, F.substring_index(text, "e", -1).cast("int")
+
+    def rounded(a: Column) -> Column:
+        """Struct m (``digits`` figures) and e (decimal exponent) of a positive number."""
+        longer = F.format_string(f"%.{digits}e", a)
+        t, e = parts(longer)
+        m, f = parts(F.format_string(f"%.{digits - 1}e", a))
+        plain = F.struct(m.alias("m"), f.alias("e"))
+
+        def settle(n: Column) -> Column:
+            j = digits - n["e"]
+            t_ = n["t"].cast("double")
+            power = F.get(powers, F.abs(j))
+            side = F.when(j >= 0, _product_side(n["a"], power, t_)).otherwise(
+                -_product_side(t_, power, n["a"]))
+            raised = _rounded_tie(F.floor(n["t"] / 10), F.coalesce(side, F.lit(1.0)))
+            full = raised == 10 ** digits
+            return F.struct(F.when(full, raised / 10).otherwise(raised).cast("bigint").alias("m"),
+                            (n["e"] + F.when(full, 1).otherwise(0)).alias("e"))
+        tie = (t % 10 == 5) & (longer.cast("double") == a)
+        return F.when(tie, _let(F.struct(a.alias("a"), t.alias("t"), e.alias("e")), settle)).otherwise(plain)
+
+    def laid_out(n: Column) -> Column:
+        figures, exponent = n["m"].cast("string"), n["e"]
+        kept = F.regexp_replace(figures, r"0+$", "")
+
+        def point_after(whole: Column, fraction: Column) -> Column:
+            return F.when(F.length(fraction) > 0, F.concat(whole, F.lit("."), fraction)).otherwise(whole)
+
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), kept)
+        large = point_after(F.substring(figures, F.lit(1), exponent + 1),
+                            F.substring(kept, exponent + 2, F.lit(digits)))
+        power = F.concat(point_after(F.substring(figures, 1, 1), F.substring(kept, 2, digits)),
+                         F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
+                         F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        return (F.when((exponent < -4) | (exponent >= digits), power)
+                .when(exponent < 0, small).otherwise(large))
+
+    def text(v: Column) -> Column:
+        body = _let(rounded(F.abs(v)), laid_out)
+        return (F.when(v.isNull(), F.lit(None).cast("string"))
+                .when(F.isnan(v), "nan")
+                .when(F.abs(v) == float("inf"), F.when(v < 0, "-inf").otherwise("inf"))
+                .when(v == 0, "0")
+                .otherwise(F.concat(F.when(v < 0, "-").otherwise(""), body)))
+
+    return _let(value.cast("double"), text)
+
+
+def two_places(value: Column) -> Column:
+    """The value rounded to two decimals by its exact binary value, half to even."""
+    def rounded(v: Column) -> Column:
+        a = F.abs(v)
+        text = F.format_string("%.3f", a)
+        t = F.regexp_replace(text, r"[.]", "").try_cast("bigint")
+        tie = (t % 10 == 5) & (text.cast("double") == a)
+        side = _product_side(a, F.lit(1000.0), t.cast("double"))
+        return F.when(tie, F.signum(v) * _rounded_tie(F.floor(t / 10), side) / 100.0).otherwise(F.round(v, 2))
+    return _let(value.cast("double"), rounded)
 
 
 def capitalised(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.errors import DataError
-from regionflow.functions.text import base_name, capitalised, name_regions, region_name
+from regionflow.functions.text import base_name, capitalised, name_regions, region_name, two_places
 from regionflow.functions.units import SYSTEM_LABELS, result_factors
 from regionflow.operators.energy import of_kind, require_empty
 from regionflow.operators.techmap import DUMMY, scoped_commodity
@@ -150,9 +150,8 @@ def format_scaled(value: Column, kind: str, unit: str) -> Column:
     amount = value * sizes[unit]
 
     def text(label: str, size: float) -> tuple[Column, Column]:
-        # the pattern rounds the exact binary value, half to even
-        rounded = F.call_function("format_number", amount / size, F.lit("0.00"))
-        return F.abs(rounded.cast("double")) < 1000, F.concat(rounded, F.lit(f" {label}"))
+        rounded = two_places(amount / size)
+        return F.abs(rounded) < 1000, F.concat(F.format_string("%.2f", rounded), F.lit(f" {label}"))
 
     fits, shown = text(*display[0])
     result = F.when(fits, shown)

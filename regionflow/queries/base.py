@@ -1,7 +1,7 @@
 """How a query is registered: its columns, the Spark job and the SQL that must agree.
 
 A column list is text like ``"id:i name:s value:d4"``: i = BIGINT, s = text, b = BOOLEAN,
-d<n> = DOUBLE rounded to n places. Both sides are cast and rounded by the same list.
+d<n> = DOUBLE rounded to n places, x = DOUBLE as it is. Both sides are cast and rounded by the same list.
 """
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_SPARK = {"i": "bigint", "s": "string", "b": "boolean"}
-_SQL = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
+_SPARK = {"i": "bigint", "s": "string", "b": "boolean", "x": "double"}
+_SQL = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN", "x": "DOUBLE"}
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:

@@ -174,7 +174,7 @@ def normalise_shares(spark, folder):
 
 
 @query("region_id:i demand:s technology:s share:d9 is_default:b", f"""
-    WITH {_SHARES}, empty AS (SELECT region_id FROM sh GROUP BY 1 HAVING sum(share) < 1e-8)
+    WITH {_SHARES}, heated AS (SELECT region_id FROM ({src.DEMAND_SQL}) WHERE demand = 'heat'), empty AS (SELECT region_id FROM sh WHERE region_id IN (SELECT region_id FROM heated) GROUP BY 1 HAVING sum(share) < 1e-8)
     SELECT region_id, demand, technology, share, FALSE AS is_default FROM sh WHERE region_id NOT IN (FROM empty)
     UNION ALL SELECT region_id, 'heat', 'boiler', 1.0, TRUE FROM ({src.DEMAND_SQL})
     WHERE demand = 'heat' AND (region_id IN (FROM empty) OR region_id NOT IN (SELECT region_id FROM sh))
@@ -230,7 +230,7 @@ def decentral(spark, folder):
     return cut_lineage(op.decentral_assets(found, mix(spark, folder, found), types(spark)))
 
 
-@query("region_id:i demand:s name:s existing_capacity:d4 existing_energy_output:d4 series:s",
+@query("region_id:i demand:s name:s existing_capacity:d4 existing_energy_output:d11 series:s",
        f"WITH {DECENTRAL_SQL} SELECT * FROM dec")
 def decentral_assets(spark, folder):
     return decentral(spark, folder)
@@ -375,12 +375,12 @@ PIPE_SQL = f"""
             JOIN ({src.CAPACITY_SQL}) k ON k.region_id = d.i)"""
 
 
-@query("name:s region_in:i region_out:i length_km:d9 investment:d4", f"WITH {PIPE_SQL} SELECT * FROM pip")
+@query("name:s region_in:i region_out:i length_km:x investment:d4", f"WITH {PIPE_SQL} SELECT * FROM pip")
 def pipe_assets(spark, folder):
     return pipes(spark, folder)
 
 
-@query("name:s lo:i hi:i length_km:d9", f"""
+@query("name:s lo:i hi:i length_km:x", f"""
     SELECT 'heat_pipe' AS name, a AS lo, b AS hi, length / 1000 AS length_km FROM ({src.CONN_SQL})""")
 def pipe_summary(spark, folder):
     return op.pipe_summary(pipes(spark, folder))

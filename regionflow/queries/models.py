@@ -43,11 +43,11 @@ def scoped_commodity(spark, folder):
            CASE WHEN v IS NULL AND w IS NULL THEN NULL ELSE '[2025 ' || coalesce({number_sql('v * 0.001')}, 'NaN')
              || ';2030 ' || coalesce({number_sql('w * 0.001')}, 'NaN') || ']' END AS scaled,
            CAST(o_totalprice AS VARCHAR) AS single
-    FROM (SELECT *, CASE WHEN o_orderkey % 4 <> 3 THEN o_totalprice * pow(10.0, o_orderkey % 13 - 10) END AS v,
+    FROM (SELECT *, CASE WHEN o_orderkey % 4 <> 3 THEN o_totalprice * [1e-10, 1e-9, 1e-8, 1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1e0, 1e1, 1e2][o_orderkey % 13 + 1] END AS v,
                  CASE WHEN o_orderkey % 4 = 0 THEN -o_custkey / 7.0 WHEN o_orderkey % 4 = 1 THEN 0.0 END AS w FROM orders)""")
 def encode_years(spark, folder):
     k = c("o_orderkey")
-    v = F.when(k % 4 != 3, c("o_totalprice") * F.pow(F.lit(10.0), k % 13 - 10))
+    v = F.when(k % 4 != 3, c("o_totalprice") * F.element_at(F.lit([float(f"1e{n}") for n in range(-10, 3)]), (k % 13 + 1).cast("int")))
     w = F.when(k % 4 == 0, -c("o_custkey") / 7.0).when(k % 4 == 1, 0.0)
     at = lambda y, value: F.struct(F.lit(y).cast("int").alias("year"), value.alias("value"))
     rows = table(spark, folder, "orders").select(k, F.array(at(2030, w), at(2025, v)).alias("s"),

@@ -111,39 +111,39 @@ def running(rows: DataFrame, keys: list[str], order: list[str], *,
 
     # Range boundaries are sampled, so the ranged rows are stored before they are read twice.
     ranged = cut_lineage(
-        rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+        rows.repartitionByRange(*keys, *order).withColumn("_w_range", F.spark_partition_id()))
     # The outer rows of a range, by the order itself; exact copies of them are interchangeable.
     def outer(pick, sources):
         return pick(F.struct(*sources) if sources else F.lit(0), F.struct(*order))
 
-    per_range = ranged.groupBy(*keys, "_range").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        outer(F.max_by, list(dict.fromkeys(previous.values()))).alias("_last"),
-        outer(F.min_by, list(dict.fromkeys(following.values()))).alias("_head"),
-        *[F.sum(source).alias(f"_total_{name}") for name, source in sums.items()])
+    per_range = ranged.groupBy(*keys, "_w_range").agg(
+        F.count(F.lit(1)).alias("_w_rows"),
+        outer(F.max_by, list(dict.fromkeys(previous.values()))).alias("_w_last"),
+        outer(F.min_by, list(dict.fromkeys(following.values()))).alias("_w_head"),
+        *[F.sum(source).alias(f"_w_total_{name}") for name, source in sums.items()])
     # At most one row per key and range: the window below is bounded by the range count.
-    by_range = Window.partitionBy(*keys).orderBy("_range")
+    by_range = Window.partitionBy(*keys).orderBy("_w_range")
     before = by_range.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *keys, "_range",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        F.lag("_last").over(by_range).alias("_before"),
-        F.lead("_head").over(by_range).alias("_after"), "_rows",
-        *[F.sum(f"_total_{name}").over(before).alias(f"_carry_{name}") for name in sums])
-    local = scan(ranged, [*keys, "_range"])
-    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    local = local.withColumn("_place", place)
-    joined = local.join(offsets, [*keys, "_range"])
+        *keys, "_w_range",
+        F.coalesce(F.sum("_w_rows").over(before), F.lit(0)).alias("_w_offset"),
+        F.lag("_w_last").over(by_range).alias("_w_before"),
+        F.lead("_w_head").over(by_range).alias("_w_after"), "_w_rows",
+        *[F.sum(f"_w_total_{name}").over(before).alias(f"_w_carry_{name}") for name in sums])
+    local = scan(ranged, [*keys, "_w_range"])
+    place = F.row_number().over(Window.partitionBy(*keys, "_w_range").orderBy(*order))
+    local = local.withColumn("_w_place", place)
+    joined = local.join(offsets, [*keys, "_w_range"])
     fixed = {}
     if number:
-        fixed[number] = F.col(number) + F.col("_offset")
+        fixed[number] = F.col(number) + F.col("_w_offset")
     for name in sums:
-        fixed[name] = F.when(F.col(f"_carry_{name}").isNull(), F.col(name)).otherwise(
-            F.coalesce(F.col(name), F.lit(0)) + F.col(f"_carry_{name}"))
+        fixed[name] = F.when(F.col(f"_w_carry_{name}").isNull(), F.col(name)).otherwise(
+            F.coalesce(F.col(name), F.lit(0)) + F.col(f"_w_carry_{name}"))
     for name, source in previous.items():
-        fixed[name] = F.when(F.col("_place") == 1, F.col(f"_before.{source}")).otherwise(F.col(name))
+        fixed[name] = F.when(F.col("_w_place") == 1, F.col(f"_w_before.{source}")).otherwise(F.col(name))
     for name, source in following.items():
-        fixed[name] = F.when(F.col("_place") == F.col("_rows"), F.col(f"_after.{source}")).otherwise(F.col(name))
+        fixed[name] = F.when(F.col("_w_place") == F.col("_w_rows"), F.col(f"_w_after.{source}")).otherwise(F.col(name))
     return joined.withColumns(fixed).select(*rows.columns, *fixed)
 
 
