@@ -179,11 +179,20 @@ def polygons_meet(rings: Column, other: Column) -> Column:
 def projection(ax, ay, bx, by, px, py) -> Column:
     """Foot of p on segment a-b: struct ``t`` (0..1), ``x``, ``y``, ``dist``."""
     dx, dy = bx - ax, by - ay
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(
         F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0))))
-    x = F.when(t == 0, ax).when(t == 1, bx).otherwise(ax + dx * t)
-    y = F.when(t == 0, ay).when(t == 1, by).otherwise(ay + dy * t)
-    return F.struct(t.alias("t"), x.alias("x"), y.alias("y"), distance(x, y, px, py).alias("dist"))
+
+    def foot(t: Column) -> Column:
+        # the ends are returned bit by bit, not interpolated
+        x = F.when(t == 0, ax).when(t == 1, bx).otherwise(ax + dx * t)
+        y = F.when(t == 0, ay).when(t == 1, by).otherwise(ay + dy * t)
+        return F.struct(t.alias("t"), x.alias("x"), y.alias("y"))
+
+    def measured(f: Column) -> Column:
+        return F.struct(f["t"].alias("t"), f["x"].alias("x"), f["y"].alias("y"),
+                        distance(f["x"], f["y"], px, py).alias("dist"))
+    # bound step by step, so that the expression does not multiply
+    return F.element_at(F.transform(F.transform(F.array(along), foot), measured), 1)
 
 
 def crossing(ax, ay, bx, by, cx, cy, ex, ey) -> Column:
@@ -192,16 +201,22 @@ def crossing(ax, ay, bx, by, cx, cy, ex, ey) -> Column:
     A common point that is an end of either segment is returned with exactly that end's
     coordinates, so both streets get the same node.
     """
-    cross = (bx - ax) * (ey - cy) - (by - ay) * (ex - cx)
-    t = F.try_divide((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx), cross)
-    u = F.try_divide((cx - ax) * (by - ay) - (cy - ay) * (bx - ax), cross)
-    inside = t.between(0, 1) & u.between(0, 1)
-    return F.when(cross != 0, F.coalesce(
-        F.when(on_segment(cx, cy, ex, ey, ax, ay), point(ax, ay)),
-        F.when(on_segment(cx, cy, ex, ey, bx, by), point(bx, by)),
-        F.when(on_segment(ax, ay, bx, by, cx, cy), point(cx, cy)),
-        F.when(on_segment(ax, ay, bx, by, ex, ey), point(ex, ey)),
-        F.when(inside, point(ax + (bx - ax) * t, ay + (by - ay) * t))))
+    def solved(k: Column) -> Column:
+        p, q, r, w = ((k[f"{n}x"], k[f"{n}y"]) for n in "abce")
+        cross = (q[0] - p[0]) * (w[1] - r[1]) - (q[1] - p[1]) * (w[0] - r[0])
+        t = F.try_divide((r[0] - p[0]) * (w[1] - r[1]) - (r[1] - p[1]) * (w[0] - r[0]), cross)
+        u = F.try_divide((r[0] - p[0]) * (q[1] - p[1]) - (r[1] - p[1]) * (q[0] - p[0]), cross)
+        return F.when(cross != 0, F.coalesce(
+            F.when(on_segment(*r, *w, *p), point(*p)), F.when(on_segment(*r, *w, *q), point(*q)),
+            F.when(on_segment(*p, *q, *r), point(*r)), F.when(on_segment(*p, *q, *w), point(*w)),
+            F.when(t.between(0, 1) & u.between(0, 1),
+                   point(p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))))
+
+    # evaluated as one unit outside the generated loop over candidate pairs, which stays small
+    # enough to be compiled
+    corners = F.struct(*[v.alias(n) for n, v in zip(
+        ("ax", "ay", "bx", "by", "cx", "cy", "ex", "ey"), (ax, ay, bx, by, cx, cy, ex, ey))])
+    return F.element_at(F.transform(F.array(corners), solved), 1)
 
 
 def ring_moment(ring: Column) -> Column:

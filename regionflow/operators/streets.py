@@ -268,6 +268,9 @@ def split_at_points(streets: DataFrame, points: DataFrame, id_column: str, tol:
     return lines.withColumn("length", geo.line_length(F.array("line")))
 
 
+_MARKS = "array<struct<side:string,at:double,x:double,y:double,dist:double>>"
+
+
 def junction_points(streets: DataFrame, id_column: str, tol: float = 1e-6) -> DataFrame:
     """Where streets must be split: ``id, part, at, x, y`` in the interior of street ``id``.
 
@@ -287,31 +290,40 @@ def junction_points(streets: DataFrame, id_column: str, tol: float = 1e-6) -> Da
     size = grid_size(segs, F.greatest(F.abs(c("bx") - c("ax")), F.abs(c("by") - c("ay"))), tol)
     pairs = grid_join(left, right, segment_cover("a_ax", "a_ay", "a_bx", "a_by", tol),
                       segment_cover("b_ax", "b_ay", "b_bx", "b_by", tol), size, near, radius=tol)
+    # few pairs pass; stored here, the wide expressions below stay out of the candidate loop, which
+    # would otherwise grow too large to be compiled
+    pairs = cut_lineage(pairs)
     ends = lambda s: [(c(f"{s}_ax"), c(f"{s}_ay")), (c(f"{s}_bx"), c(f"{s}_by"))]
     (a1, a2), (b1, b2) = ends("a"), ends("b")
 
-    def mark(s: str, at: Column, x: Column, y: Column, when: Column) -> Column:
-        """The point as a split of side ``s`` if it lies inside that street's part."""
-        inside = when & (at > tol) & (at < c(f"{s}_part_length") - tol)
-        return F.when(inside, F.struct(c(f"{s}_id").alias("id"), c(f"{s}_part").alias("part"), at.alias("at"),
-                                       x.alias("x"), y.alias("y")))
+    def touched(s: str, other: str) -> Column:
+        """Ends of the other segment that lie within ``tol`` of side ``s`` but are not its ends."""
+        p, q = ends(s)
+
+        def on(e: Column) -> Column:
+            foot = geo.projection(*p, *q, e["x"], e["y"])
+            return F.transform(F.array(foot), lambda f: F.struct(
+                F.lit(s).alias("side"), (c(f"{s}_start") + f["t"] * c(f"{s}_length")).alias("at"),
+                e["x"].alias("x"), e["y"].alias("y"), f["dist"].alias("dist")))
+        loose = F.filter(F.array(*[geo.point(x, y) for x, y in ends(other)]), lambda e: ~(
+            ((e["x"] == p[0]) & (e["y"] == p[1])) | ((e["x"] == q[0]) & (e["y"] == q[1]))))
+        return F.flatten(F.transform(loose, on))
 
     def crossed(s: str) -> Column:
-        (x0, y0), _ = ends(s)
         x, y = c("_at.x"), c("_at.y")
-        return mark(s, c(f"{s}_start") + geo.distance(x0, y0, x, y), x, y, c("_at").isNotNull())
-
-    def touched(s: str, end: tuple[Column, Column]) -> Column:
-        p, q = ends(s)
-        foot = geo.projection(*p, *q, *end)
-        other = ~(((end[0] == p[0]) & (end[1] == p[1])) | ((end[0] == q[0]) & (end[1] == q[1])))
-        return mark(s, c(f"{s}_start") + foot["t"] * c(f"{s}_length"), *end, (foot["dist"] <= tol) & other)
-
-    found = pairs.withColumn("_at", geo.crossing(*a1, *a2, *b1, *b2)).withColumn("_marks", F.array_compact(F.array(
-        crossed("a"), crossed("b"), touched("b", a1), touched("b", a2), touched("a", b1), touched("a", b2))))
-    points = found.select(F.inline("_marks"))
+        return F.struct(F.lit(s).alias("side"), (c(f"{s}_start") + geo.distance(*ends(s)[0], x, y)).alias("at"),
+                        x.alias("x"), y.alias("y"), F.lit(0.0).alias("dist"))
+
+    crossings = F.when(c("_at").isNotNull(), F.array(crossed("a"), crossed("b")))
+    found = (pairs.withColumn("_at", geo.crossing(*a1, *a2, *b1, *b2))
+             .withColumn("_marks", F.concat(F.coalesce(crossings, F.array().cast(_MARKS)),
+                                            touched("b", "a"), touched("a", "b"))))
+    marks = found.select("a_id", "a_part", "a_part_length", "b_id", "b_part", "b_part_length", F.inline("_marks"))
+    of = lambda n: F.when(c("side") == "a", c(f"a_{n}")).otherwise(c(f"b_{n}"))
+    points = marks.filter((c("dist") <= tol) & (c("at") > tol) & (c("at") < of("part_length") - tol)).select(
+        of("id").alias("id"), of("part").alias("part"), "at", "x", "y")
     # cells and shared ends repeat points; copies are closer than tol and fall out here
-    return dedupe_points(points, tol)
+    return cut_lineage(dedupe_points(cut_lineage(points), tol))
 
 
 def divide_at_junctions(streets: DataFrame, id_column: str, extensive: list[str] | None = None,
@@ -322,7 +334,7 @@ def divide_at_junctions(streets: DataFrame, id_column: str, extensive: list[str]
     Streets with several true parts only get the junctions as vertices.
     """
     extensive = [c for c in extensive or [] if c in streets.columns]
-    points = cut_lineage(junction_points(streets, id_column, tol))
+    points = junction_points(streets, id_column, tol)
     single = F.coalesce(F.size("parts") == 1, F.lit(False))
     singles, others = streets.filter(single), streets.filter(~single)
     pieces = cut_lineage(split_at_points(singles, points, id_column, tol)
