@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow.errors import DataError
@@ -605,35 +605,54 @@ def path_midpoint(path: DataFrame, key: str, order: str = "seq") -> DataFrame:
                       F.when(h("_total") <= 0, h("y")).otherwise(h("_py") + t * (h("y") - h("_py"))).alias("y"))
 
 
+#: Nodes per cell below which the nearest-node search stops subdividing.
+_LEAF_NODES = 64
+
+
 def nearest_region(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Region of the nearest network node for every point (``point_id, px, py``).
 
     ``nodes``: ``region_id, x, y``; coinciding nodes and equal distances: smallest region first.
-    Points are searched in square rings whose width doubles until one safely holds a node.
+    All points descend together through ever finer cells. A cell is left out for a point if some
+    other cell surely holds a nearer node (its known node is nearer than this cell's border), so
+    a point keeps a few cells per level however dense the nodes are, and only cells with few
+    nodes are searched node by node.
     """
     seeds = cut_lineage(nodes.groupBy("x", "y").agg(F.min("region_id").alias("region_id")))
-    span = seeds.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"),
-                     (F.max("y") - F.min("y")).alias("h")).first()
-    if not span["n"]:
+    box = seeds.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
+    if box["x0"] is None:
         raise DataError("no network nodes")
-    size = max((max(span["w"], 1e-9) * max(span["h"], 1e-9) / span["n"]) ** 0.5, 1e-6)
+    size = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9) * (1 + 1e-9)
     c = F.col
-    gap = geo.distance(c("px"), c("py"), c("x"), c("y"))
-    open_points, done = points, []
-    while True:
-        cell = lambda v: F.floor(c(v) / size).cast("long")
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        near = (open_points.withColumn("_cx", F.explode(F.transform(around, lambda d: cell("px") + d)))
-                .withColumn("_cy", F.explode(F.transform(around, lambda d: cell("py") + d))))
-        found = (near.join(seeds.withColumns({"_cx": cell("x"), "_cy": cell("y")}), ["_cx", "_cy"])
-                 .withColumn("dist", gap)
-                 .filter(c("dist") <= size)
-                 .groupBy(*points.columns).agg(F.min_by(
-                     F.struct("region_id", "dist"), F.struct("dist", "region_id")).alias("_b"))
-                 .select(*points.columns, "_b.region_id", "_b.dist"))
-        found = cut_lineage(found)
-        done.append(found)
-        open_points = cut_lineage(open_points.join(found, points.columns, "left_anti"))
-        if open_points.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        size *= 2
+    cell = lambda v, low, width: F.floor((c(v) - low) / width).cast("long")
+    placed = lambda width: seeds.withColumns({"_cx": cell("x", box["x0"], width), "_cy": cell("y", box["y0"], width)})
+    identity = points.columns
+    front = points.withColumns({"_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    hits = []
+    for depth in range(26):
+        cells = placed(size).groupBy("_cx", "_cy").agg(
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct("x", "y")).alias("_one"))
+        # many points may look at one cell; a cell has one row
+        seen = attach(front, cells, ["_cx", "_cy"], "inner")
+        low = lambda p, axis, k: F.greatest(box[axis] + c(k) * size - c(p), c(p) - box[axis] - (c(k) + 1) * size, F.lit(0.0))
+        bounded = seen.withColumns({
+            "_near": F.sqrt(F.pow(low("px", "x0", "_cx"), 2) + F.pow(low("py", "y0", "_cy"), 2)) * (1 - 1e-9) - size * 1e-9,
+            "_far": geo.distance(c("px"), c("py"), c("_one.x"), c("_one.y"))})
+        # a point keeps a few dozen cells at most, so this window is small
+        best = F.min("_far").over(Window.partitionBy(*identity))
+        kept = cut_lineage(bounded.withColumn("_best", best).filter(c("_near") <= c("_best"))
+                           .select(*identity, "_cx", "_cy", "_n"))
+        small = c("_n") <= (_LEAF_NODES if depth < 25 else 2 ** 62)
+        gap = geo.distance(c("px"), c("py"), c("x"), c("y"))
+        hits.append(kept.filter(small).drop("_n").join(placed(size), ["_cx", "_cy"])
+                    .withColumn("dist", gap).groupBy(*identity).agg(
+                        F.min(F.struct("dist", "region_id")).alias("_b")))
+        front = kept.filter(~small)
+        if front.isEmpty():
+            break
+        inner = F.lit([0, 1, 2, 3])
+        front = (front.withColumn("_cx", F.explode(F.transform(inner, lambda k: c("_cx") * 4 + k)))
+                 .withColumn("_cy", F.explode(F.transform(inner, lambda k: c("_cy") * 4 + k))).drop("_n"))
+        size /= 4
+    found = reduce(DataFrame.unionByName, hits).groupBy(*identity).agg(F.min("_b").alias("_b"))
+    return found.select(*identity, "_b.region_id", "_b.dist")

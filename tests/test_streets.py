@@ -163,7 +163,8 @@ def test_hull_in_chunks(spark, monkeypatch):
             assert all(s > 0 or q in (a, b) or (min(a[0], b[0]) <= q[0] <= max(a[0], b[0])) for s, q in zip(sides, own))
 
 
-def test_nearest_region_far_and_near(spark):
+def test_nearest_region_far_and_near(spark, monkeypatch):
+    monkeypatch.setattr(streets, "_LEAF_NODES", 4)
     rng = random.Random(11)
     nodes = [(rng.randint(0, 5), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(200)] + [(9, 500.0, 500.0)]
     pts = [(i, rng.uniform(-900, 900), rng.uniform(-900, 900)) for i in range(40)]
