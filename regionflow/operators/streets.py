@@ -78,25 +78,27 @@ def segments_of_vertices(vertices: DataFrame, street: str = "street_id") -> Data
         F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
 
 
+def _measured(vertices: Column) -> Column:
+    """Segments of one vertex array with their start, and the array's length: ``at, rows``."""
+    pairs = geo.ring_segments(vertices)
+    zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(
+        "array<struct<ax:double,ay:double,bx:double,by:double,length:double,start:double>>").alias("rows"))
+
+    def add(acc, s):
+        length = geo.distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+        row = F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"),
+                       s["b"]["x"].alias("bx"), s["b"]["y"].alias("by"),
+                       length.alias("length"), acc["at"].alias("start"))
+        return F.struct((acc["at"] + length).alias("at"),
+                        F.concat(acc["rows"], F.array(row)).alias("rows"))
+    return F.aggregate(pairs, zero, add)
+
+
 def segments(streets: DataFrame, *keep: str) -> DataFrame:
     """One row per segment: kept columns, ``part``, ``seq``, ends, ``length``, ``start`` and
     ``part_length`` (length before the segment, and of its part). Row-local: no shuffle."""
-    def measured(vertices: Column) -> Column:
-        pairs = geo.ring_segments(vertices)
-        zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(
-            "array<struct<ax:double,ay:double,bx:double,by:double,length:double,start:double>>").alias("rows"))
-
-        def add(acc, s):
-            length = geo.distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
-            row = F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"),
-                           s["b"]["x"].alias("bx"), s["b"]["y"].alias("by"),
-                           length.alias("length"), acc["at"].alias("start"))
-            return F.struct((acc["at"] + length).alias("at"),
-                            F.concat(acc["rows"], F.array(row)).alias("rows"))
-        return F.aggregate(pairs, zero, add)
-
     return (streets.select(*keep, F.posexplode("parts").alias("part", "_line"))
-            .withColumn("_m", measured(F.col("_line")))
+            .withColumn("_m", _measured(F.col("_line")))
             .select(*keep, "part", F.col("_m.at").alias("part_length"),
                     F.posexplode("_m.rows").alias("seq", "_s"))
             .select(*keep, "part", "seq", "_s.ax", "_s.ay", "_s.bx", "_s.by",
@@ -132,25 +134,32 @@ def segment_intersections(a: DataFrame, b: DataFrame, condition: Column | None =
             .dropDuplicates(["a_id", "b_id", "x", "y"]))
 
 
-def locate_on_line(points: DataFrame, lines: DataFrame, on: list[str], tol: float,
-                   keep: list[str]) -> DataFrame:
-    """Position of points on lines: points carry ``x, y`` and the line key ``on``; ``lines`` are
-    :func:`segments` rows. Adds ``part``, ``at`` (length to the foot), ``dist``, ``foot_x/y`` and
-    ``interior`` (within ``tol`` of the line and farther than ``tol`` from both its ends).
+def locate_on_line(points: DataFrame, streets: DataFrame, id_column: str, tol: float) -> DataFrame:
+    """Position of points (``x, y`` + the street's id) on their street. Adds ``part``, ``at``
+    (length to the foot), ``dist``, ``foot_x/y`` and ``interior`` (within ``tol`` of the line and
+    farther than ``tol`` from both its ends).
 
-    The nearest part wins; of equally near segments the first.
+    The nearest part wins; of equally near segments the first. The street's geometry travels as
+    one value, so rows are not multiplied by its segments, and a street with very many points is
+    spread over tasks.
     """
-    joined = points.join(lines.select(*on, "part", "seq", "ax", "ay", "bx", "by",
-                                      "length", "start", "part_length"), on)
     c = F.col
-    foot = geo.projection(c("ax"), c("ay"), c("bx"), c("by"), c("x"), c("y"))
-    nearest = joined.withColumn("_f", foot).groupBy(*on, *keep, "x", "y").agg(
-        F.min_by(F.struct("part", (c("start") + c("_f.t") * c("length")).alias("at"),
-                          c("_f.dist").alias("dist"), c("_f.x").alias("foot_x"),
-                          c("_f.y").alias("foot_y"), "part_length"),
-                 F.struct(c("_f.dist"), "part", "seq")).alias("_n"))
+    rows = attach(points, streets.select(id_column, c("parts").alias("_parts")), [id_column], "inner")
+
+    def candidates(part: Column, number: Column) -> Column:
+        def nearest(m: Column) -> Column:
+            def on(s: Column, k: Column) -> Column:
+                foot = geo.projection(s["ax"], s["ay"], s["bx"], s["by"], c("x"), c("y"))
+                return F.element_at(F.transform(F.array(foot), lambda f: F.struct(
+                    f["dist"].alias("dist"), number.alias("part"), k.alias("seq"),
+                    (s["start"] + f["t"] * s["length"]).alias("at"), f["x"].alias("foot_x"), f["y"].alias("foot_y"),
+                    m["at"].alias("part_length"))), 1)
+            return F.array_min(F.transform(m["rows"], on))
+        return F.element_at(F.transform(F.array(_measured(part)), nearest), 1)
+
+    found = rows.withColumn("_n", F.array_min(F.transform("_parts", candidates)))
     inside = (c("dist") <= tol) & (c("at") > tol) & (c("at") < c("part_length") - tol)
-    return nearest.select(*on, *keep, "x", "y", "_n.*").withColumn("interior", inside)
+    return found.select(*points.columns, "_n.*").drop("seq").withColumn("interior", inside)
 
 
 def near_touch_vertices(vertices: DataFrame, lines: DataFrame, tol: float) -> DataFrame:

@@ -87,9 +87,9 @@ def segment_intersections(spark, folder):
 def locate_on_line(spark, folder):
     k = c("c_custkey")
     points = table(spark, folder, "customer").select(
-        F.concat(F.lit("H"), k.cast("string")).alias("id"),
+        F.concat(F.lit("H"), k.cast("string")).alias("street_id"),
         ((k * 7) % 500 + k % 23 - F.lit(2.0)).alias("x"), (k + k % 3 * F.lit(0.25)).alias("y"))
-    return op.locate_on_line(points, _grid_segments(spark, folder), ["id"], 0.5, []).withColumnRenamed("id", "street_id")
+    return op.locate_on_line(points, src.grid_streets(spark, folder), "street_id", 0.5)
 
 
 @query("id:s x:d y:d at:d dist:d", f"""

@@ -62,9 +62,6 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left
 def with_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
     """Add per-key aggregates to every row; NULL keys form a group of their own."""
     aggregates = [expr.alias(name) for name, expr in totals.items()]
-    if not keys:
-        total = rows.agg(*aggregates).withColumn("_one", F.lit(1))
-        return rows.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
     return attach(rows, rows.groupBy(*keys).agg(*aggregates), keys)
 
 
