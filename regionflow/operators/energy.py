@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.errors import DataError
-from regionflow.functions.config import config_frame, times
+from regionflow.functions.config import times
 from regionflow.functions.units import UNITS
 from regionflow.operators.catalog import SUB_KINDS
 from regionflow.scale import attach, cut_lineage, with_totals

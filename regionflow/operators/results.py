@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from regionflow.errors import DataError
 from regionflow.functions.text import base_name, capitalised, name_regions, region_name, two_places
 from regionflow.functions.units import SYSTEM_LABELS, result_factors
-from regionflow.operators.energy import of_kind, require_empty
+from regionflow.operators.energy import of_kind
 from regionflow.operators.techmap import DUMMY, scoped_commodity
 from regionflow.scale import attach, dense_index, with_totals
 

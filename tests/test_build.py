@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from regionflow.errors import DataError, NoDatasetError
 from regionflow.functions import geometry as geo
 from regionflow.functions.projection import transform
-from regionflow.operators import catalog, energy, network, streets, techmap
+from regionflow.operators import catalog, energy, network, techmap
 from regionflow.operators import registry as reg
-from regionflow.operators.registry import Registry, Regions
+from regionflow.operators.registry import Registry
 from regionflow.plans.build import SystemConfig, build_system, build_topology, prepare_streets, system_tables
 from regionflow.queries.energy import TYPES
 from regionflow.sources import readers, writers
