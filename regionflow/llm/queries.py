@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionflow.llm import exact_dedup, mixing, pieces, secret_scan, token_counts
+from regionflow.llm import exact_dedup, jaccard_join, mixing, pieces, secret_scan, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,3 +69,22 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)""")
 def op9(spark, folder):
     found = exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@_query("op10_jaccard_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 3, 1) + 1),
+        lambda i: array_to_string(words[i:i + 3], ' '))) AS shingle FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_ FROM s a JOIN s b USING (shingle) GROUP BY ALL),
+e AS (SELECT u, v FROM i JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+      WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+r AS (SELECT u AS doc_id, u AS seen FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.seen)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+def op10(spark, folder):
+    return jaccard_join.near_duplicates(_table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
