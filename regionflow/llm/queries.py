@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionflow.llm import exact_dedup, jaccard_join, mixing, pieces, secret_scan, token_counts
+from regionflow.llm import exact_dedup, jaccard_join, mixing, pieces, secret_scan, token_counts, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,3 +88,21 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY
 def op10(spark, folder):
     return jaccard_join.near_duplicates(_table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@_query("op5_url_filter", r"""
+WITH p AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+    ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f AS (SELECT p.*, r.* FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host))
+      AND starts_with(path, rule_path)),
+b AS (SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+             arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict FROM f GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'),
+    ['adult', 'bet', 'casino', 'gambling', 'poker', 'porn', 'sex', 'xxx']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM b""")
+def op5(spark, folder):
+    return url_filter.judge_urls(_table(spark, folder, "pages"))
