@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionflow.llm import exact_dedup, jaccard_join, mixing, pieces, secret_scan, token_counts, url_filter
+from regionflow.llm import exact_dedup, jaccard_join, mixing, pieces, pii, secret_scan, token_counts, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,3 +106,11 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN list_has_any(
 FROM b""")
 def op5(spark, folder):
     return url_filter.judge_urls(_table(spark, folder, "pages"))
+
+
+@_query("op3_personal_data")
+def op3(spark, folder):
+    found = pii.find_personal_data(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[F.size(_of("base", kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
