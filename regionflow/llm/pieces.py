@@ -131,5 +131,4 @@ def encode_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "piece_b
                     columns.append(pa.array(table.model.decode(lists, num_threads=1), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in added]])
 
-    source = docs if text in names else docs.withColumn(text, docs[text])
-    return source.mapInArrow(run, T.StructType([*kept, *added]))
+    return docs.mapInArrow(run, T.StructType([*kept, *added]))

@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionflow.llm import exact_dedup, jaccard_join, mixing, pieces, pii, secret_scan, token_counts, url_filter
+from regionflow.llm import (exact_dedup, jaccard_join, language_id, mixing, pieces, pii, secret_scan, token_counts,
+                            url_filter)
 
 QUERIES, ORACLES = {}, {}
 
@@ -114,3 +115,12 @@ def op3(spark, folder):
     return found.select(
         "doc_id", *[F.size(_of("base", kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@_query("op2_language_id")
+def op2(spark, folder):
+    docs = _table(spark, folder, "documents")
+    # rows with a NULL id have no remainder and are not learnt from
+    learnt = docs.filter(docs["doc_id"].isNotNull() & ~language_id.held_out(docs["doc_id"]))
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(learnt))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
