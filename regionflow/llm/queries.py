@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionflow.llm import (exact_dedup, jaccard_join, language_id, mixing, pieces, pii, secret_scan, token_counts,
-                            url_filter)
+from regionflow.llm import (exact_dedup, jaccard_join, language_id, mixing, nearest, pieces, pii, secret_scan,
+                            token_counts, url_filter)
 
 QUERIES, ORACLES = {}, {}
 
@@ -124,3 +124,8 @@ def op2(spark, folder):
     learnt = docs.filter(docs["doc_id"].isNotNull() & ~language_id.held_out(docs["doc_id"]))
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(learnt))
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op7_nearest")
+def op7(spark, folder):
+    return nearest.nearest_neighbours(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
