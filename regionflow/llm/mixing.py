@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     sizes = stored(sizes)
     named = dense_index(sizes.filter(F.col("source").isNotNull()), "source", "_at")
-    last = sizes.filter(F.col("source").isNull()).withColumn("_at", F.lit(sizes.count() - 1).cast("bigint"))
+    last = sizes.filter(F.col("source").isNull()).withColumn("_at", F.lit(max(0, sizes.count() - 1)).cast("bigint"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int"))
     table = named.unionByName(last).withColumn("_w", weight.cast("double")).drop("_at")
     table = stored(table)
