@@ -35,9 +35,10 @@ def subprocess_outputs(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def global_totals(output_global: DataFrame) -> DataFrame:
-    """One row ``opex, capex, totex``; zeros if the solver wrote none."""
-    first = output_global.limit(1).select(*[c(n).cast("double").alias(n) for n in ("opex", "capex", "totex")])
-    return first.agg(*[F.coalesce(F.first(n), F.lit(0.0)).alias(n) for n in ("opex", "capex", "totex")])
+    """One row ``opex, capex, totex``; zeros if the solver wrote none, an error if it wrote several."""
+    several = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("the solver wrote more than one row of totals")))
+    return output_global.agg(*[F.coalesce(several.cast("double"), F.max(c(n).cast("double")), F.lit(0.0)).alias(n)
+                               for n in ("opex", "capex", "totex")])
 
 
 def emissions_by_year(output_y: DataFrame, year: DataFrame) -> DataFrame:
@@ -169,9 +170,9 @@ def with_unit_headers(rows: DataFrame, system_unit: str) -> DataFrame:
 
 
 def report_tables(groups: dict[str, DataFrame], totals: DataFrame, emissions: DataFrame, system_unit: str,
-                  metadata: dict[str, str], max_rows: int = 1000) -> dict[str, DataFrame]:
-    """Tables of a report: metadata, formatted costs and emissions, the first ``max_rows`` sorted
-    rows of each result group, and how many rows each has."""
+                  metadata: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of a report: metadata, formatted costs and emissions, the sorted rows of each result
+    group, and how many rows each has."""
     labels = SYSTEM_LABELS[system_unit]
     spark = totals.sparkSession
     tables = {
@@ -180,7 +181,7 @@ def report_tables(groups: dict[str, DataFrame], totals: DataFrame, emissions: Da
         "emissions": emissions.withColumn("amount", format_scaled(c("amount"), "co2", labels["co2_emissions"])),
     }
     for name, rows in groups.items():
-        tables[name] = with_unit_headers(sort_results(rows).limit(max_rows), system_unit)
+        tables[name] = with_unit_headers(sort_results(rows), system_unit)
     tables["counts"] = reduce(DataFrame.unionByName, [
         rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         for name, rows in groups.items()])

@@ -187,10 +187,41 @@ def near_touch_vertices(vertices: DataFrame, lines: DataFrame, tol: float) -> Da
 
 
 def dedupe_points(points: DataFrame, tol: float, street: str = "id") -> DataFrame:
-    """Of points closer than ``tol`` along one street part keep the first (``street, part, at``)."""
-    ordered = running(points, [street, "part"], ["at", "x", "y"], previous={"_before": "at"})
-    return (ordered.filter(F.col("_before").isNull() | (F.col("at") - F.col("_before") > tol))
-            .drop("_before"))
+    """Along a street part (``street, part, at``) keep the first point, and each that is farther than ``tol`` from
+    the last one *kept*.
+
+    Points fall into runs without a gap above ``tol``; the first of a run is always kept, and a choice can only arise
+    in runs longer than ``tol``. Each of those is scanned in order by one task that jumps from kept point to kept
+    point and holds no more than a batch of rows.
+    """
+    keys = [street, "part"]
+    ordered = running(points, keys, ["at", "x", "y"], previous={"_before": "at"})
+    begins = F.col("_before").isNull() | (F.col("at") > F.col("_before") + tol)
+    marked = ordered.withColumn("_begins", F.when(begins, 1).otherwise(0)).withColumn("_tie", 1 - F.col("_begins"))
+    # of equal points the one that begins a run comes first in this order too
+    runs = running(marked, keys, ["at", "x", "y", "_tie"], sums={"_run": "_begins"})
+    runs = with_totals(runs, [*keys, "_run"], _low=F.min("at"), _high=F.max("at"))
+    long = F.col("_high") > F.col("_low") + tol
+    columns = points.columns
+
+    def scan(batches):
+        now, last = None, 0.0
+        for frame in batches:
+            kept = []
+            group = frame.groupby([*keys, "_run"], sort=False, dropna=False).indices
+            for key, rows in sorted(group.items(), key=lambda item: item[1][0]):
+                at = frame["at"].to_numpy()[rows]
+                k = int(at.searchsorted(last + tol, "right")) if key == now else 0
+                now = key
+                while k < len(at):
+                    kept.append(rows[k])
+                    last = at[k]
+                    k = int(at.searchsorted(last + tol, "right"))
+            yield frame.iloc[kept][columns]
+
+    searched = (runs.filter(long).repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "at", "x", "y")
+                .mapInPandas(scan, points.schema))
+    return runs.filter(~long & (F.col("_begins") == 1)).select(columns).unionByName(searched)
 
 
 def vertices_along(streets: DataFrame, id_column: str) -> DataFrame:

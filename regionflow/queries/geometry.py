@@ -107,10 +107,15 @@ def near_touch_vertices(spark, folder):
 
 
 @query("id:i at:d x:d", """
-    SELECT id, "at", x FROM (SELECT l_suppkey AS id, l_extendedprice AS "at", CAST(l_orderkey AS DOUBLE) AS x,
-        l_extendedprice - lag(l_extendedprice) OVER (PARTITION BY l_suppkey
-            ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS gap FROM lineitem)
-    WHERE gap IS NULL OR gap > 50""")
+    WITH RECURSIVE o AS (
+      SELECT l_suppkey AS id, CAST(l_extendedprice AS DOUBLE) AS "at", CAST(l_orderkey AS DOUBLE) AS x,
+             row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS k FROM lineitem),
+    r AS (
+      SELECT id, "at", x, k, "at" AS last, true AS kept FROM o WHERE k = 1
+      UNION ALL
+      SELECT o.id, o."at", o.x, o.k, CASE WHEN o."at" > r.last + 50 THEN o."at" ELSE r.last END, o."at" > r.last + 50
+      FROM r JOIN o ON o.id = r.id AND o.k = r.k + 1)
+    SELECT id, "at", x FROM r WHERE kept""")
 def dedupe_points(spark, folder):
     rows = table(spark, folder, "lineitem").select(
         c("l_suppkey").alias("id"), F.lit(0).alias("part"), c("l_extendedprice").alias("at"),

@@ -237,20 +237,28 @@ def format_scaled(spark, folder):
                        op.format_scaled(c("v") / 1e3, "co2", "t").alias("co2"))
 
 
-@query("table:s rows:i shown:i columns:s", f"""
-    WITH {_OUT}, k AS (SELECT kind, count(*) AS rows FROM out WHERE kind IN ('grid', 'pipe') GROUP BY 1)
-    SELECT CASE kind WHEN 'grid' THEN 'grids' ELSE 'pipes' END AS "table", rows, least(rows, 1000) AS shown,
-           CASE kind WHEN 'grid' THEN 'commodity,year,technology,region_id' ELSE 'commodity,year,technology,region_id_from,region_id_to' END
-             || ',capacity [kW],energy_output [MWh],new_capacity [kW]' AS columns FROM k""")
+_REPORT = ["commodity", "year", "technology", "region_id", "region_id_from", "region_id_to", "capacity [kW]",
+           "energy_output [MWh]", "new_capacity [kW]"]
+
+
+@query("table:s rows:i commodity:s year:i technology:s region_id:i region_id_from:i region_id_to:i capacity:d2 energy_output:d2 "
+       "new_capacity:d4", f"""
+    WITH {_OUT}, k AS (SELECT *, CASE kind WHEN 'grid' THEN 'grids' ELSE 'pipes' END AS "table" FROM out WHERE kind IN ('grid', 'pipe'))
+    SELECT "table", count(*) OVER (PARTITION BY kind) AS rows, 'heat_in' AS commodity, year, brand AS technology,
+           CASE WHEN kind = 'grid' THEN region END AS region_id, CASE WHEN kind = 'pipe' THEN region END AS region_id_from,
+           CASE WHEN kind = 'pipe' THEN region + 1 END AS region_id_to, cap_active AS capacity, eouttot AS energy_output,
+           cap_new AS new_capacity FROM k""")
 def report_tables(spark, folder):
+    """All rows of both tables under their displayed headers, with the report's own counts."""
     out, own = outputs(spark, folder), assets(spark, folder)
     groups = {"grids": op.grid_results(out, own, SCOPED), "pipes": op.pipe_results(out, _pipes(spark, folder), SCOPED)}
     totals = out.agg(F.sum("eouttot").alias("opex"), F.sum("cap_new").alias("capex"), F.sum("cap_active").alias("totex"))
     emissions = out.groupBy("year").agg(F.sum("eouttot").alias("amount"))
     found = op.report_tables(groups, totals, emissions, "kW", {"system": "all customers", "scenario": "base"})
-    shown = [found[n].agg(F.count(F.lit(1)).alias("shown")).select(
-        F.lit(n).alias("table"), "shown", F.lit(",".join(found[n].columns)).alias("columns")) for n in groups]
-    return found["counts"].join(shown[0].unionByName(shown[1]), "table")
+    shown = [found[n].select(F.lit(n).alias("table"), *[
+        (c(f"`{name}`") if name in found[n].columns else F.lit(None)).alias(name.split(" ")[0]) for name in _REPORT])
+        for n in groups]
+    return shown[0].unionByName(shown[1]).join(found["counts"], "table")
 
 
 # --- chart data ---------------------------------------------------------------------------------------------------

@@ -172,3 +172,24 @@ def test_nearest_region_far_and_near(spark, monkeypatch):
                                    spark.createDataFrame(nodes, "region_id int, x double, y double"))
     truth = {i: min(((x - px) ** 2 + (y - py) ** 2, r) for r, x, y in nodes)[1] for i, px, py in pts}
     assert {r.point_id: r.region_id for r in found.collect()} == truth
+
+
+@pytest.mark.parametrize("points", [[0.0, 0.9, 1.8], [0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 9.0, 9.0, 9.5, 11.0]])
+def test_dedupe_keeps_by_the_last_kept_point(spark, points):
+    """A chain of near points must not collapse to its first."""
+    rows = [(street, 0, at, at, 0.0) for street in ("A", "B") for at in points]
+    found = streets.dedupe_points(spark.createDataFrame(rows, "id string, part int, at double, x double, y double"), 1.0)
+    kept, last = [], -9.0
+    for at in points:
+        if at > last + 1.0:
+            kept.append(at)
+            last = at
+    assert sorted(map(tuple, found.select("id", "at").collect())) == sorted((s, at) for s in ("A", "B") for at in kept)
+
+
+def test_dedupe_of_a_long_chain(spark):
+    """One run over many batches of one task."""
+    rows = spark.range(30_000).select(F.lit("A").alias("id"), F.lit(0).alias("part"), (F.col("id") * 0.25).alias("at"),
+                                      F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    found = streets.dedupe_points(rows, 1.0)
+    assert found.count() == 6_000 and found.agg(F.max("at")).first()[0] == 7498.75
