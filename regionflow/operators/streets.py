@@ -78,20 +78,52 @@ def segments_of_vertices(vertices: DataFrame, street: str = "street_id") -> Data
         F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
 
 
+_BLOCK = 64
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` names it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _measured(vertices: Column) -> Column:
-    """Segments of one vertex array with their start, and the array's length: ``at, rows``."""
-    pairs = geo.ring_segments(vertices)
-    zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(
-        "array<struct<ax:double,ay:double,bx:double,by:double,length:double,start:double>>").alias("rows"))
+    """Segments of one vertex array with their start, and the array's length: ``at, rows``.
+
+    Starts are summed in order, block by block, so the arrays that grow inside the folds stay short and a line of
+    very many vertices costs little more than its length.
+    """
+    def length(s: Column) -> Column:
+        return geo.distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+
+    def of(pairs: Column) -> Column:
+        blocks = F.when(F.size(pairs) > 0, F.sequence(F.lit(0), F.ceil(F.size(pairs) / _BLOCK).cast("int") - 1)
+                        ).otherwise(F.array().cast("array<int>"))
+
+        def cut(block: Column) -> Column:
+            return F.slice(pairs, block * _BLOCK + 1, F.lit(_BLOCK))
 
-    def add(acc, s):
-        length = geo.distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
-        row = F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"),
-                       s["b"]["x"].alias("bx"), s["b"]["y"].alias("by"),
-                       length.alias("length"), acc["at"].alias("start"))
-        return F.struct((acc["at"] + length).alias("at"),
-                        F.concat(acc["rows"], F.array(row)).alias("rows"))
-    return F.aggregate(pairs, zero, add)
+        def next_block(acc: Column, block: Column) -> Column:
+            end = F.aggregate(cut(block), acc["at"], lambda at, s: at + length(s))
+            return F.struct(end.alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+        def add(acc: Column, s: Column) -> Column:
+            own = length(s)
+            row = F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), s["b"]["x"].alias("bx"),
+                           s["b"]["y"].alias("by"), own.alias("length"), acc["at"].alias("start"))
+            return F.struct((acc["at"] + own).alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+        def filled(ends: Column) -> Column:
+            rows = F.transform(blocks, lambda block: F.aggregate(cut(block), F.struct(
+                F.element_at(ends["starts"], block + 1).alias("at"), F.array().cast(_SEGMENTS).alias("rows")), add)["rows"])
+            return F.struct(ends["at"].alias("at"), F.flatten(rows).alias("rows"))
+
+        return _bound(F.aggregate(blocks, F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias(
+            "starts")), next_block), filled)
+
+    return _bound(geo.ring_segments(vertices), of)
+
+
+_SEGMENTS = "array<struct<ax:double,ay:double,bx:double,by:double,length:double,start:double>>"
 
 
 def segments(streets: DataFrame, *keep: str) -> DataFrame:
@@ -144,7 +176,9 @@ def locate_on_line(points: DataFrame, streets: DataFrame, id_column: str, tol: f
     spread over tasks.
     """
     c = F.col
-    rows = attach(points, streets.select(id_column, c("parts").alias("_parts")), [id_column], "inner")
+    # measured once per street, before its points multiply it
+    lines = streets.select(id_column, F.transform("parts", _measured).alias("_parts"))
+    rows = attach(points, lines, [id_column], "inner")
 
     def candidates(part: Column, number: Column) -> Column:
         def nearest(m: Column) -> Column:
@@ -155,7 +189,7 @@ def locate_on_line(points: DataFrame, streets: DataFrame, id_column: str, tol: f
                     (s["start"] + f["t"] * s["length"]).alias("at"), f["x"].alias("foot_x"), f["y"].alias("foot_y"),
                     m["at"].alias("part_length"))), 1)
             return F.array_min(F.transform(m["rows"], on))
-        return F.element_at(F.transform(F.array(_measured(part)), nearest), 1)
+        return nearest(part)
 
     found = rows.withColumn("_n", F.array_min(F.transform("_parts", candidates)))
     inside = (c("dist") <= tol) & (c("at") > tol) & (c("at") < c("part_length") - tol)
@@ -228,13 +262,12 @@ def vertices_along(streets: DataFrame, id_column: str) -> DataFrame:
     """Vertex rows with their length from the start of the part: ``id, part, seq, at, x, y,
     begins, ends`` (first and last vertex of the part). Row-local."""
     def measured(vertices: Column) -> Column:
-        kind = "array<struct<x:double,y:double,at:double>>"
-
-        def add(acc, p):
-            last = F.try_element_at(acc, F.lit(-1))
-            at = F.coalesce(last["at"] + geo.distance(last["x"], last["y"], p["x"], p["y"]), F.lit(0.0))
-            return F.concat(acc, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"), at.alias("at"))))
-        return F.aggregate(vertices, F.array().cast(kind), add)
+        def all_of(m: Column) -> Column:
+            last = F.try_element_at(vertices, F.lit(-1))
+            return F.when(last.isNotNull(), F.concat(
+                F.transform(m["rows"], lambda s: F.struct(s["ax"].alias("x"), s["ay"].alias("y"), s["start"].alias("at"))),
+                F.array(F.struct(last["x"].alias("x"), last["y"].alias("y"), m["at"].alias("at")))))
+        return _bound(_measured(vertices), all_of)
 
     return (streets.select(F.col(id_column).alias("id"), F.posexplode("parts").alias("part", "_line"))
             .select("id", "part", F.size("_line").alias("_n"), F.posexplode(measured(F.col("_line"))).alias("seq", "_v"))

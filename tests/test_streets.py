@@ -193,3 +193,15 @@ def test_dedupe_of_a_long_chain(spark):
                                       F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     found = streets.dedupe_points(rows, 1.0)
     assert found.count() == 6_000 and found.agg(F.max("at")).first()[0] == 7498.75
+
+
+def test_a_street_of_very_many_vertices(spark):
+    """Segments and positions of one long line in seconds, with starts summed in order."""
+    n = 100_000
+    line = spark.range(1).select(F.lit("A").alias("fid"), F.array(F.transform(
+        F.sequence(F.lit(0), F.lit(n)), lambda k: F.struct((k * 0.5).alias("x"), (k % 2).cast("double").alias("y")))).alias("parts"))
+    found = streets.segments(line, "fid").agg(F.count(F.lit(1)), F.max("start"), F.max("part_length")).first()
+    step = (0.25 + 1) ** 0.5
+    assert found[0] == n and found[1] == pytest.approx((n - 1) * step) and found[2] == pytest.approx(n * step)
+    ends = streets.vertices_along(line, "fid").agg(F.count(F.lit(1)), F.max("at")).first()
+    assert ends[0] == n + 1 and ends[1] == found[2]
