@@ -309,6 +309,7 @@ class Registry:
     def __init__(self, spark: SparkSession, epsg: int):
         self.spark, self.epsg = spark, epsg
         self.datasets: list[Dataset] = []
+        self._scopes: DataFrame | None = None
 
     def register(self, dataset: Dataset, scope_epsg: int | None = None, _streets: bool = False) -> int:
         if not isinstance(dataset, Dataset):
@@ -318,6 +319,7 @@ class Registry:
         if dataset.scope is not None:
             dataset.scope = reproject(dataset.scope, "rings", scope_epsg or self.epsg, self.epsg)
         self.datasets.append(dataset)
+        self._scopes = None
         return len(self.datasets) - 1
 
     def register_streets(self, prepared: DataFrame, scope: DataFrame | None = None,
@@ -335,12 +337,17 @@ class Registry:
             rows, "dataset_id int, keys array<string>, priority int, reg_order int, unit string")
 
     def scopes(self) -> DataFrame:
-        """Dissolved scope per scoped dataset."""
+        """Dissolved scope per scoped dataset; dissolved once for all questions until another dataset is registered."""
+        if self._scopes is None:
+            self._scopes = self._dissolved()
+        return self._scopes
+
+    def _dissolved(self) -> DataFrame:
         layers = [d.scope.select(F.lit(i).alias("dataset_id"), "rings", F.xxhash64("rings").alias("_piece"))
                   for i, d in enumerate(self.datasets) if d.scope is not None]
         if not layers:
             return self.spark.createDataFrame([], f"dataset_id int, rings {geo.PARTS}")
-        return dissolved_rings(reduce(DataFrame.unionByName, layers), "dataset_id", "_piece")
+        return cut_lineage(dissolved_rings(reduce(DataFrame.unionByName, layers), "dataset_id", "_piece"))
 
     def streets(self, area: DataFrame) -> DataFrame:
         """All streets (also outside the area) of the best street dataset covering ``area``."""
@@ -393,11 +400,25 @@ def check_answers(answers: dict[str, DataFrame]) -> list[tuple[str, str, bool]]:
 
 
 def check_registry(registry: Registry, regions: Regions, area: DataFrame) -> DataFrame:
-    """Ask every built-in key for the sample regions and check the answers' shape."""
+    """Ask every built-in key for the sample regions and check the answers' shape and contents.
+
+    ``key, check, passed, rows, missing``: whether the column is there and of its kind, how many rows the answer has
+    and in how many of them the column is NULL. A key without an answer passes nothing and has no rows.
+    """
     answers = {}
     for key in EXPECTED:
         try:
             answers[key] = registry.streets(area) if key == STREET_NETWORK else registry.query_all(regions, key)
         except (NoDatasetError, DataError, NotImplementedError):
             continue
-    return registry.spark.createDataFrame(check_answers(answers), "key string, check string, passed boolean")
+    shapes = registry.spark.createDataFrame(check_answers(answers), "key string, check string, passed boolean")
+    counted = [registry.spark.createDataFrame([], "key string, check string, rows bigint, missing bigint")]
+    for key, frame in answers.items():
+        found = {name: f"{name} is {kind}" for name, kind in EXPECTED[key].items() if name in frame.columns}
+        sums = frame.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c(n).isNull()).alias(f"_{n}") for n in found])
+        if found:
+            counted.append(sums.select(F.lit(key).alias("key"), "rows", F.explode(F.array(*[
+                F.struct(F.lit(check).alias("check"), c(f"_{n}").alias("missing")) for n, check in found.items()])).alias("x"))
+                .select("key", "x.check", "rows", "x.missing"))
+    return (shapes.join(reduce(DataFrame.unionByName, counted), ["key", "check"], "left")
+            .fillna(0, ["rows", "missing"]))
