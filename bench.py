@@ -8,6 +8,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -17,7 +18,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = ["street_value_by_region", "divide_at_junctions", "segments", "build_edges", "assign_by_polygon",
             "connected_components", "region_distances", "spanning_tree", "category_shares", "decentral_assets",
-            "subprocess_outputs", "decentral_results", "bars", "nearest_region"]
+            "subprocess_outputs", "decentral_results", "bars", "nearest_region", "close_gaps", "root_tree",
+            "region_connections", "query_all", "near_touch_vertices"]
 
 
 def main() -> None:
@@ -25,7 +27,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="regionflow-"))
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from regionflow.queries import QUERIES
     QUERIES["total_edge_length"](spark, "/root/testdata/sf0.001").collect()  # warm the session, not the data

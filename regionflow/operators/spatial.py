@@ -1,8 +1,8 @@
 """Spatial joins as equi-joins on grid cells.
 
 * :func:`grid_join` pairs short things (street segments, points with a radius) on one uniform
-  grid. Cells whose candidate count is too large are subdivided until they are small or as fine
-  as the search radius, so a crowded cell neither lands in one task nor pairs everything in it.
+  grid. Cells whose candidate count is too large are subdivided; those that stay crowded are spread
+  over tasks, so no cell lands in one task.
 * :func:`box_join` pairs bounding boxes of any size (points, polygons). Every box is filed on a
   grid of its own size class, at most four cells each, so one huge polygon does not explode into
   millions of cells; each pair is found in exactly one cell.
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from regionflow.scale import cut_lineage
 
-#: Candidate pairs per cell above which the cell is subdivided.
+#: Candidate pairs of a cell in one task, about; more are subdivided or spread.
 CELL_PAIRS = 4_000_000
+#: Subdivisions after which things count as lying at one point.
 _MAX_DEPTH = 12
 
 Cover = Callable[[DataFrame, float], DataFrame]
@@ -74,25 +75,35 @@ def grid_size(rows: DataFrame, span: Column, radius: float = 0.0) -> float:
 def grid_join(left: DataFrame, right: DataFrame, cover_left: Cover, cover_right: Cover,
               size: float, condition: Column, radius: float = 0.0,
               cell_pairs: int = CELL_PAIRS) -> DataFrame:
-    """All pairs that satisfy ``condition`` and share a cell; a pair may appear once per cell."""
+    """All pairs that satisfy ``condition`` and share a cell; a pair may appear once per cell.
+
+    A crowded cell is subdivided while that can help. One that stays crowded (many things at one point, or within the
+    radius) is spread: its left rows are dealt into parts by their hash, each of which meets all its right rows.
+    """
     cell = ["_cx", "_cy"]
     found = []
     lefts, rights = cover_left(left, size), cover_right(right, size)
-    for _ in range(_MAX_DEPTH):
-        crowded = (lefts.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nl"))
-                   .join(rights.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nr")), cell)
-                   .filter(F.col("_nl") * F.col("_nr") > cell_pairs).select(*cell))
-        if size < 8 * radius or crowded.isEmpty():
+    depth = 0
+    while True:
+        counts = (lefts.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nl"))
+                  .join(rights.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nr")), cell))
+        parts = F.least(F.ceil(F.col("_nl") * F.col("_nr") / cell_pairs), F.col("_nl")).cast("int")
+        crowded = cut_lineage(counts.filter(F.col("_nl") * F.col("_nr") > cell_pairs).select(*cell, parts.alias("_parts")))
+        if crowded.isEmpty():
+            found.append(lefts.join(rights, cell).filter(condition).drop(*cell))
             break
-        crowded = cut_lineage(crowded)
-        found.append(lefts.join(crowded, cell, "left_anti")
-                     .join(rights.join(crowded, cell, "left_anti"), cell)
+        cells = crowded.select(*cell)
+        found.append(lefts.join(cells, cell, "left_anti").join(rights.join(cells, cell, "left_anti"), cell)
                      .filter(condition).drop(*cell))
+        if depth == _MAX_DEPTH or size < 8 * radius:
+            dealt = lefts.join(crowded, cell).withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"))
+            every = rights.join(crowded, cell).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+            found.append(dealt.drop("_parts").join(every.drop("_parts"), [*cell, "_part"]).filter(condition).drop(*cell, "_part"))
+            break
         finer = size / 4
-        parents = crowded.select(F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
 
         def descend(rows: DataFrame, cover: Cover) -> DataFrame:
-            kept = (rows.join(crowded, cell, "left_semi")
+            kept = (rows.join(cells, cell, "left_semi")
                     .withColumnsRenamed({"_cx": "_px", "_cy": "_py"}))
             return (cover(kept, finer)
                     .filter((F.floor(F.col("_cx") / 4) == F.col("_px"))
@@ -100,8 +111,7 @@ def grid_join(left: DataFrame, right: DataFrame, cover_left: Cover, cover_right:
                     .drop("_px", "_py"))
 
         lefts, rights = descend(lefts, cover_left), descend(rights, cover_right)
-        size = finer
-    found.append(lefts.join(rights, cell).filter(condition).drop(*cell))
+        size, depth = finer, depth + 1
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)

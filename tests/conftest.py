@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,9 @@ sys.path.insert(0, str(ROOT / "tools"))
 def spark():
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="regionflow-"))
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -129,6 +129,16 @@ def test_grid_join_subdivides_crowded_cells(spark):
     assert pairs(50) == truth == pairs(10 ** 9)
 
 
+def test_grid_join_spreads_a_point_that_all_share(spark):
+    """A cell that no subdivision thins out still gives each of its pairs."""
+    p = spark.range(90).select(F.col("id").alias("pid"), F.lit(5.0).alias("px"), F.lit(5.0).alias("py"))
+    s = spark.range(70).select(F.col("id").alias("sid"), F.lit(5.0).alias("ax"), F.lit(5.0).alias("ay"),
+                               F.lit(5.0).alias("bx"), F.lit(5.0).alias("by"))
+    found = grid_join(p, s, radius_cover("px", "py", 0.2), segment_cover("ax", "ay", "bx", "by"), 20.0,
+                      F.col("pid") >= 0, radius=0.2, cell_pairs=50)
+    assert found.select("pid", "sid").distinct().count() == 90 * 70
+
+
 def test_box_join_finds_each_pair_once(spark):
     rng = random.Random(5)
     def boxes(n, first):

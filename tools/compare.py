@@ -5,6 +5,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -21,7 +22,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def local_session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("compare")
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="regionflow-"))
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
