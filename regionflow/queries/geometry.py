@@ -133,13 +133,13 @@ def _marks(spark, folder):
 
 
 @query("street_id:s seq:i x:d y:d", f"""
-    WITH g AS (SELECT * FROM ({src.GRID_SQL}) WHERE flat),
-    v AS (SELECT street_id, x0 AS x, y0 AS y FROM g UNION ALL SELECT street_id, x1, y0 FROM g
-          UNION ALL SELECT street_id, x0 + 1.25, y0 FROM g
-          UNION ALL SELECT street_id, x0 + 2.5, y0 FROM g WHERE CAST(y0 AS BIGINT) % 2 = 1)
-    SELECT street_id, row_number() OVER (PARTITION BY street_id ORDER BY x) - 1 AS seq, x, y FROM v""")
+    WITH g AS ({src.GRID_SQL}),
+    v AS (SELECT street_id, x0 AS x, y0 AS y FROM g UNION ALL SELECT street_id, x1, y1 FROM g
+          UNION ALL SELECT street_id, x0 + 1.25, y0 FROM g WHERE flat
+          UNION ALL SELECT street_id, x0 + 2.5, y0 FROM g WHERE flat AND CAST(y0 AS BIGINT) % 2 = 1)
+    SELECT street_id, row_number() OVER (PARTITION BY street_id ORDER BY x, y) - 1 AS seq, x, y FROM v""")
 def insert_vertex(spark, folder):
-    rows = src.grid_streets(spark, folder).filter(c("street_id").startswith("H"))
+    rows = src.grid_streets(spark, folder)
     return op.explode_vertices(op.insert_vertex(rows, _marks(spark, folder), "street_id", 1e-6), "street_id")
 
 
@@ -152,7 +152,7 @@ def insert_vertex(spark, folder):
         SELECT id, row_number() OVER w AS piece, x AS x0, lead(x) OVER w AS x1 FROM v
         WINDOW w AS (PARTITION BY id ORDER BY x)) WHERE x1 IS NOT NULL""")
 def split_at_points(spark, folder):
-    rows = src.grid_streets(spark, folder).filter(c("street_id").startswith("H"))
+    rows = src.grid_streets(spark, folder)
     pieces = op.split_at_points(rows, _marks(spark, folder), "street_id", 1e-6)
     return pieces.withColumns({"x0": F.element_at("line", 1)["x"], "x1": F.element_at("line", -1)["x"]})
 
@@ -321,10 +321,13 @@ def anchor_point(spark, folder):
 @query("k:i x:d4 y:d4 area:d4", f"""
     WITH e AS ({_HULL_SQL}),
     s AS (SELECT k, sum(ax * "by" - bx * ay) / 2 AS area, sum((ax + bx) * (ax * "by" - bx * ay)) / 6 AS mx,
-                 sum((ay + "by") * (ax * "by" - bx * ay)) / 6 AS my FROM e GROUP BY k)
-    SELECT k, mx / area AS x, my / area AS y, area FROM s WHERE area > 0""")
+                 sum((ay + "by") * (ax * "by" - bx * ay)) / 6 AS my FROM e GROUP BY k),
+    -- a point or a straight line of points has no area: the mean of its ends
+    m AS (SELECT k, min({{'x': x, 'y': y}}) AS lo, max({{'x': x, 'y': y}}) AS hi FROM ({_CLOUD_SQL}) GROUP BY k)
+    SELECT m.k, CASE WHEN area > 0 THEN mx / area ELSE (lo.x + hi.x) / 2 END AS x,
+           CASE WHEN area > 0 THEN my / area ELSE (lo.y + hi.y) / 2 END AS y, coalesce(area, 0) AS area FROM m LEFT JOIN s USING (k)""")
 def hull_centroid(spark, folder):
-    return op.hull_centroid(op.convex_hull(_cloud(spark, folder), "k"), "k").filter("area > 0")
+    return op.hull_centroid(op.convex_hull(_cloud(spark, folder), "k"), "k")
 
 
 @query("region_id:i ax:d ay:d bx:d by:d", """
