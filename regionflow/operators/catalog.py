@@ -132,6 +132,8 @@ class DemandType:
     shares_key: str | None = None
     shares_params: dict = field(default_factory=dict)
     default_supply: str | list[tuple[str, float]] | None = None
+    value_params: dict = field(default_factory=dict)
+    profile_params: dict = field(default_factory=dict)
 
     def default_mix(self) -> list[tuple[str, float]]:
         """Default technologies and shares; a list must not be empty and must sum to one."""

@@ -12,7 +12,7 @@ from regionflow.errors import DataError
 from regionflow.functions.config import config_frame
 from regionflow.functions.projection import transform_parts
 from regionflow.operators import catalog, energy, graph, network, streets, techmap
-from regionflow.operators.registry import Regions, Registry
+from regionflow.operators.registry import Regions, Registry, region_coverage, route
 from regionflow.scale import cut_lineage
 
 c = F.col
@@ -148,7 +148,7 @@ def build_system(name: str, registry: Registry, topology: Topology, demand_types
 
     # per region
     values = reduce(DataFrame.unionByName, [
-        registry.query_all(regions, d.value_key, d.shares_params, energy_unit)
+        registry.query_all(regions, d.value_key, d.value_params, energy_unit)
         .select("region_id", F.lit(d.name).alias("demand"), c("value").cast("double").alias("value"))
         for d in demand_types])
     profiles, series = _profiles(registry, regions, demand_types)
@@ -238,21 +238,32 @@ def _profiles(registry: Registry, regions: Regions, demand_types: list[catalog.D
               ) -> tuple[DataFrame, DataFrame]:
     """All profiles as ``series, hour, value`` and the series of every region and demand.
 
-    Profile datasets are the same for every region they are routed to, so a profile is stored
-    once per dataset, not once per region.
+    A dataset without a query function has one profile, its payload, stored once for all regions and demands that
+    are routed to it. One with a query function is asked with the demand's parameters for just those regions; if its
+    answer has a ``region_id``, every region has a series of its own.
     """
-    from regionflow.operators.registry import region_coverage, route
-    scopes = registry.scopes()
-    coverage = region_coverage(regions.nodes, scopes)
+    scopes, catalog_ = registry.scopes(), registry.catalog()
+    coverage = cut_lineage(region_coverage(regions.nodes, scopes))
     series, profiles = [], {}
+    columns = ["series", "hour", c("value").cast("double").alias("value")]
     for demand in demand_types:
-        routed = route(regions.ids, coverage, registry.catalog(), scopes, demand.profile_key)
-        series.append(routed.select("region_id", F.lit(demand.name).alias("demand"),
-                                    F.concat(F.lit("dataset "), c("dataset_id").cast("string")).alias("series")))
-        for number, dataset in enumerate(registry.datasets):
-            if demand.profile_key in dataset.keys:
-                profiles[number] = dataset.payload.select(
-                    F.lit(f"dataset {number}").alias("series"), "hour", c("value").cast("double").alias("value"))
+        routed = cut_lineage(route(regions.ids, coverage, catalog_, scopes, demand.profile_key))
+        # one row per registered dataset at most
+        for number in sorted(r.dataset_id for r in routed.select("dataset_id").distinct().collect()):
+            dataset, asked = registry.datasets[number], routed.filter(c("dataset_id") == number)
+            name, label = f"dataset {number}", None
+            if dataset.query_function is None:
+                if dataset.payload is None:
+                    raise DataError(f"the profile of demand {demand.name} has neither rows nor a query function")
+                answer = dataset.payload
+            else:
+                name = f"{name} for {demand.name}"
+                answer = dataset.answer(regions.only(asked), dict(demand.profile_params))
+                if "region_id" in answer.columns:
+                    label = F.concat(F.lit(f"{name} in "), c("region_id").cast("string"))
+            label = F.lit(name) if label is None else label
+            profiles[name] = answer.withColumn("series", label).select(*columns)
+            series.append(asked.select("region_id", F.lit(demand.name).alias("demand"), label.alias("series")))
     return reduce(DataFrame.unionByName, profiles.values()), reduce(DataFrame.unionByName, series)
 
 

@@ -10,7 +10,7 @@ from regionflow.functions.projection import transform
 from regionflow.operators import catalog, energy, network, techmap
 from regionflow.operators import registry as reg
 from regionflow.operators.registry import Registry
-from regionflow.plans.build import SystemConfig, build_system, build_topology, prepare_streets, system_tables
+from regionflow.plans.build import SystemConfig, _profiles, build_system, build_topology, prepare_streets, system_tables
 from regionflow.queries.energy import TYPES
 from regionflow.sources import readers, writers
 
@@ -188,6 +188,32 @@ def test_town_to_model_tables(spark, tmp_path):
     assert path.endswith("town_base") and writers.load_solution(spark, path, ["assets"])["assets"].count() == len(assets)
 
 
+def test_profiles_are_answered_per_region(spark):
+    """A profile with a query function is asked with the demand's parameters; one with rows is stored once."""
+    edges = spark.createDataFrame([((0.0, 0.0), (1.0, 0.0), 1), ((5.0, 0.0), (6.0, 0.0), 2)],
+                                  "u struct<x:double,y:double>, v struct<x:double,y:double>, region_id int")
+    registry = Registry(spark, 25832)
+    registry.register(reg.TableDataset(keys=["shared"], payload=spark.createDataFrame([(0, 1.0), (1, 3.0)], "hour int, value double")))
+
+    def own(payload, regions, params):
+        return regions.ids.select("region_id", F.posexplode(F.array(F.lit(1.0), F.col("region_id") * params["factor"])).alias(
+            "hour", "value"))
+    registry.register(reg.Dataset(keys=["own"], query_function=own))
+    registry.register(reg.Dataset(keys=["nothing"]))
+    demand = lambda name, key, **more: catalog.DemandType(name, "c", False, 0.0, profile_key=key, **more)
+    profiles, series = _profiles(registry, reg.Regions(edges), [
+        demand("a", "shared"), demand("b", "own", profile_params={"factor": 2.0}), demand("c", "shared")])
+    named = {(r.region_id, r.demand): r.series for r in series.collect()}
+    found = {}
+    for r in profiles.collect():
+        found.setdefault(r.series, []).append((r.hour, r.value))
+    assert len(found) == 3 and named[1, "a"] == named[2, "a"] == named[2, "c"]
+    assert sorted(found[named[1, "a"]]) == [(0, 1.0), (1, 3.0)]
+    assert sorted(found[named[1, "b"]]) == [(0, 1.0), (1, 2.0)] and sorted(found[named[2, "b"]]) == [(0, 1.0), (1, 4.0)]
+    with pytest.raises(DataError, match="neither rows"):
+        _profiles(registry, reg.Regions(edges), [demand("d", "nothing")])
+
+
 def test_wrong_configuration_is_refused(spark):
     with pytest.raises(DataError, match="efficiency"):
         catalog.check_catalog(catalog.type_frame(spark, [dict(TYPES[0], efficiency=0.0)]))
