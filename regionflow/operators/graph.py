@@ -77,7 +77,8 @@ def spanning_tree(connections: DataFrame) -> DataFrame:
     """Minimum spanning forest of ``a, b, length`` (a < b), ties broken by (length, a, b).
 
     Boruvka rounds: every component picks its cheapest outgoing edge. The total order makes the
-    picks cycle-free apart from mutual ones, which are the same edge.
+    picks cycle-free apart from mutual ones, which are the same edge; so the picks themselves are the pointers that
+    one doubling loop collapses.
     """
     edges = cut_lineage(connections.select("a", "b", "length").groupBy("a", "b").agg(
         F.min("length").alias("length")))
@@ -86,14 +87,16 @@ def spanning_tree(connections: DataFrame) -> DataFrame:
     live = edges.withColumns({"u": c("a"), "v": c("b")})
     while not live.isEmpty():
         ranked = live.withColumn("e", F.struct("length", "a", "b"))
-        picks = _both_ways(ranked, "e").groupBy("a").agg(F.min("e").alias("e"))
-        chosen = cut_lineage(picks.select("e.a", "e.b", "e.length").distinct())
-        tree = tree.unionByName(chosen)
-        merged = live.join(chosen.select("a", "b"), ["a", "b"], "left_semi").select("u", "v")
-        labels = connected_components(merged)
+        picks = cut_lineage(_both_ways(ranked, "e").groupBy("a").agg(F.min("e").alias("e"), F.min_by("b", "e").alias("to"))
+                            .select(c("a").alias("node"), "e", "to"))
+        tree = tree.unionByName(cut_lineage(picks.select("e.a", "e.b", "e.length").distinct()))
+        # The picks are pointers already: of two components that picked each other the smaller is the root.
+        back = picks.select(c("node").alias("to"), c("to").alias("_back"))
+        pointers = _follow(cut_lineage(attach(picks.select("node", "to"), back, ["to"]).select(
+            "node", F.when((c("_back") == c("node")) & (c("node") < c("to")), c("node")).otherwise(c("to")).alias("parent"))))
 
         def relabel(rows: DataFrame, column: str) -> DataFrame:
-            lookup = labels.select(c("node").alias(column), c("component").alias("_to"))
+            lookup = pointers.select(c("node").alias(column), c("parent").alias("_to"))
             return (attach(rows, lookup, [column])
                     .withColumn(column, F.coalesce("_to", column)).drop("_to"))
 

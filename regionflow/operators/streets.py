@@ -66,16 +66,12 @@ def explode_vertices(streets: DataFrame, *keep: str) -> DataFrame:
 
 
 def segments_of_vertices(vertices: DataFrame, street: str = "street_id") -> DataFrame:
-    """Segments from vertex rows by matching each vertex with its successor.
-
-    The match is on (street, part, seq), so a street with very many vertices is spread evenly.
-    """
-    key = [street, "part", "seq"]
-    heads = vertices.select(*key, F.col("x").alias("ax"), F.col("y").alias("ay"))
-    tails = vertices.select(street, "part", (F.col("seq") - 1).alias("seq"),
-                            F.col("x").alias("bx"), F.col("y").alias("by"))
-    return heads.join(tails, key).withColumn("length", geo.distance(
-        F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    """Segments from vertex rows: each vertex with its successor, in one ordered pass over a street's part."""
+    ordered = running(vertices.select(street, "part", "seq", F.col("x").alias("ax"), F.col("y").alias("ay")),
+                      [street, "part"], ["seq"], following={"_next": "seq", "bx": "ax", "by": "ay"})
+    return (ordered.filter(F.col("_next") == F.col("seq") + 1)
+            .select(street, "part", "seq", "ax", "ay", "bx", "by", geo.distance(
+                F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("length")))
 
 
 _BLOCK = 64
