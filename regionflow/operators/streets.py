@@ -494,8 +494,8 @@ def close_gaps(streets: DataFrame, radius: float, id_column: str, tol: float = 1
     points = ends.select("node", F.col("node.x").alias("px"), F.col("node.y").alias("py"))
     bridges = nearest_street(points, segs, radius, own.unionByName(beyond).distinct())
     bridges = cut_lineage(dedupe_facing(bridges, own.withColumnRenamed("id", "owner")))
-    joined = insert_vertex(streets, dedupe_points(
-        bridges.select("id", "part", "at", "x", "y").distinct(), tol), id_column, tol)
+    spaced = cut_lineage(dedupe_points(cut_lineage(bridges.select("id", "part", "at", "x", "y").distinct()), tol))
+    joined = insert_vertex(streets, spaced, id_column, tol)
     connector = {c: F.lit(None).cast(streets.schema[c].dataType) for c in streets.columns}
     connector[id_column] = F.concat(F.lit("000"), F.col("id"))
     connector["parts"] = F.array(F.array(F.col("node"), geo.point(F.col("x"), F.col("y"))))
