@@ -156,7 +156,8 @@ def train_network(snippets: list[str], labels: list[str], seed: int = 5) -> Netw
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` rows ``snippet, label``: texts of each language with equal chance, one snippet from anywhere.
 
-    Every text with a label takes part in the draw. Snippets are whole, half, or an eighth of ``TRAIN_CHARS`` long.
+    Every text with a label takes part in the draw, copies once. Snippets are whole, half, or an eighth of
+    ``TRAIN_CHARS`` long. Tasks drop what is drawn too late, so little more than the sample leaves them.
     """
     labelled = docs.select(docs[text].alias("t"), docs[lang].alias("label")).filter(
         F.col("label").isNotNull() & F.rlike(F.coalesce("t", F.lit("")), F.lit(r"\p{L}")))
@@ -166,7 +167,9 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", row
                         (F.pmod(F.xxhash64("t", F.lit(2)), F.lit(4)) + 1).cast("int"))
     start = F.pmod(F.xxhash64("t", F.lit(3)), F.greatest(F.length("t") - size, F.lit(0)) + 1).cast("int") + 1
     narrow = labelled.select("label", draw.alias("draw"), F.substring("t", start, size).alias("snippet"))
-    return (narrow.join(counts, "label").withColumn("draw", F.col("draw") * F.col("n"))
+    latest = 1.5 * rows / max(1, counts.count())
+    return (narrow.join(counts, "label").withColumn("draw", F.col("draw") * F.col("n")).filter(F.col("draw") < latest)
+            .groupBy("draw", "label").agg(F.min("snippet").alias("snippet"))
             .orderBy("draw", "label", "snippet").limit(rows).select("snippet", "label"))
 
 
