@@ -18,7 +18,7 @@ from regionflow.llm.common import stored
 #: Rows from which pivots are drawn; the pivots; the length of a vector's list.
 SAMPLE_ROWS, PIVOTS, PREFIX = 2_048, 256, 64
 #: Part of each block that is reranked, and the least number of vectors.
-RERANKED, LEAST_RERANKED = 0.15, 128
+RERANKED, LEAST_RERANKED = 0.25, 256
 #: Vectors of a block and queries of a piece, on average.
 BLOCK_ROWS, PIECE_ROWS = 4_096, 2_048
 
@@ -39,7 +39,11 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def draw_pivots(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE_ROWS):
     """At most ``count`` different vectors out of a sample of ``sample`` rows, as a matrix."""
     import numpy as np
-    drawn = rows.orderBy(F.xxhash64("v"), "vec_id").limit(sample).select("v").collect()
+    draw, top = F.pmod(F.xxhash64("v"), F.lit(1 << 40)), 1 << 40
+    n = rows.count()
+    # tasks drop most of what will not be drawn, and copies, so little more than the sample leaves them
+    early = rows.filter(draw < int(min(1.0, 3 * sample / max(1, n)) * top)).select("v").distinct()
+    drawn = early.orderBy(draw, "v").limit(sample).collect()
     return np.array(list(dict.fromkeys(tuple(r["v"]) for r in drawn))[:count])
 
 
