@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from regionflow.llm.common import attach_by_digest, not_null_id, stored, whole_text
 from regionflow.llm.shingles import Shingler, set_digest
+from regionflow.llm.url_filter import superset_filter
 from regionflow.operators.graph import connected_components
 
 #: Cells of the count sketch; the broadcast order table has one byte each.
@@ -55,7 +56,8 @@ def _sketch(docs: DataFrame, width: int):
                 every = np.concatenate(sets) & np.uint64(SKETCH_CELLS - 1)
                 cells += np.bincount(every.astype(np.int64), minlength=SKETCH_CELLS)
         if some:
-            parts = np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32).reshape(_SKETCH_PARTS, size)
+            # a task's counts end at 255, which is frequent enough for any order
+            parts = np.minimum(cells, 255).astype(np.uint8).reshape(_SKETCH_PARTS, size)
             yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()),
                                               pa.array([p.tobytes() for p in parts], pa.binary())],
                                              names=["part", "cells"])
@@ -67,7 +69,7 @@ def _sketch(docs: DataFrame, width: int):
         sums = {}
         for batch in batches:
             for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(cells, np.uint32).astype(np.int64)
+                values = np.frombuffer(cells, np.uint8).astype(np.int64)
                 sums[part] = sums[part] + values if part in sums else values
         kinds = [np.log2(np.maximum(v, 1)).round().astype(np.uint8).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(kinds, pa.binary())],
@@ -104,12 +106,18 @@ def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, _SETS)
 
 
-def _verified(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(units: DataFrame, source: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``u, v`` among candidates.
 
     ``units`` has ``unit, side, node, label``: in each unit every node of side 0 (at most ``BLOCK_NODES``) is tested
-    against every node of side 1 with another label. Side 1 streams past, so it may be of any length.
+    against every node of side 1 with another label. Side 1 streams past, so it may be of any length. Texts are
+    fetched by the rows that ``nodes`` names; a filter of bounded size spares most others the way.
     """
+    units = stored(units)
+    wanted = nodes.select("node", "key", "content").join(units, "node")
+    passing = superset_filter(wanted.select(F.xxhash64("key", "content").alias("k")).distinct(), "k")
+    rows = source.filter(passing.contains(F.xxhash64("key", "content"))).join(wanted, ["key", "content"])
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -148,7 +156,7 @@ def _verified(units: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()),
                                               pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
 
-    return (units.join(texts, "node").repartition("unit").sortWithinPartitions("unit", "side")
+    return (rows.repartition("unit").sortWithinPartitions("unit", "side")
             .select("unit", "side", "node", "label", "text").mapInArrow(run, "u bigint, v bigint").distinct())
 
 
@@ -247,23 +255,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
     """
     content = F.xxhash64(whole_text(docs[text]))
     source = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), content.alias("content"),
-                         whole_text(docs[text]).alias("text"))
+                         whole_text(docs[text]).alias("text")).withColumn("key", not_null_id(F.col("doc_id")))
     order = _sketch(source.select("text"), width)
-    every = stored(_sets(source, order, width, percent).withColumn("row", F.monotonically_increasing_id()))
+    every = stored(_sets(source.select("doc_id", "content", "text"), order, width, percent).select(
+        F.monotonically_increasing_id().alias("row"), "*", F.xxhash64("prefix", F.lit(1)).alias("g1"),
+        F.xxhash64("prefix", F.lit(2)).alias("g2")))
     rows = every.filter("n > 0")
+    narrow = rows.select(F.col("row").alias("node"), not_null_id(F.col("doc_id")).alias("key"), "content", "n", "sig",
+                         "g1", "g2")
     # One node per distinct set; a group of nodes with equal size and prefix posts once, under its first node.
-    nodes = rows.groupBy("sig").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"))
-    first = stored(rows.join(nodes.select("row", "low"), "row").select(
-        F.col("row").alias("node"), "doc_id", "content", "n", "sig", "low", "prefix",
-        F.xxhash64("prefix", F.lit(1)).alias("g1"), F.xxhash64("prefix", F.lit(2)).alias("g2")))
-    groups = first.groupBy("n", "g1", "g2").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("size"))
-    groups = stored(groups)
+    nodes = rows.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
+    first = stored(narrow.join(nodes.select("node", "low"), "node"))
+    groups = stored(first.groupBy("n", "g1", "g2").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("size")))
     member = stored(first.select("node", "n", "g1", "g2").join(groups.filter("size > 1"), ["n", "g1", "g2"])
                     .select("gid", "node", "n"))
-    posts = first.join(groups.select(F.col("gid").alias("node")), "node", "left_semi")
-    tokens = posts.select("node", F.explode("prefix").alias("token"))
+    # Tokens of all rows are counted, so copies only let more tokens through; groups' first nodes alone are posted.
+    tokens = rows.select(F.col("row").alias("node"), F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").count().filter("count > 1").select("token")
-    posted = stored(tokens.join(shared, "token")).join(first.select("node", "n"), "node")
+    posting = first.select("node", "n").join(groups.select(F.col("gid").alias("node")), "node", "left_semi")
+    posted = tokens.join(shared, "token").join(posting, "node")
     own_list = member.select("node", "n", F.xxhash64("gid", F.lit("group")).alias("token"))
     lists = stored(posted.select("node", "n", "token").unionByName(own_list))
     # Step 1: the first of each list against the others.
@@ -272,17 +282,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
              .select(F.col("h.node").alias("node"), F.col("h.n").alias("n"), "node2", "n2")
              .filter((F.col("node") != F.col("node2")) & _fits(percent)).select("node", "node2").distinct())
     tried = stored(tried.withColumns({"label": F.col("node"), "label2": F.col("node2")}))
-    listed = lists.select("node").unionByName(member.select("node")).distinct()
-    wanted = first.join(listed, "node").select("node", not_null_id(F.col("doc_id")).alias("_id"), "content")
-    texts = stored(source.withColumn("_id", not_null_id(F.col("doc_id"))).join(wanted, ["_id", "content"])
-                   .select("node", "text"))
-    links = stored(_verified(_stars(tried), texts, width, percent))
+    links = stored(_verified(_stars(tried), source, first, width, percent))
     labels = _relabelled(first.select("node"), links)
     # Step 2: whatever still differs inside a list, expanded to the members of its groups.
     shown = member.select(F.col("gid").alias("node"), F.col("node").alias("_member"))
     expanded = (lists.join(shown, "node", "left").select(F.coalesce("_member", "node").alias("node"), "n", "token")
                 .unionByName(own_list).distinct())
-    more = stored(_verified(_residual_units(expanded.join(labels, "node"), percent), texts, width, percent))
+    more = stored(_verified(_residual_units(expanded.join(labels, "node"), percent), source, first, width, percent))
     labels = _relabelled(first.select("node"), links.unionByName(more))
     lows = first.select("node", "low", "sig").join(labels, "node")
     found = lows.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -96,6 +96,13 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str) -> Cascade:
         other, now = now, stored(wrong)
 
 
+def superset_filter(keys: DataFrame, key: str) -> Cascade:
+    """One level over ``keys``: it passes all of them and few others (more, if the keys are too many for its bound)."""
+    keys = stored(keys.select(key))
+    size = min(MOST_BITS, max(1024, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+    return Cascade([(stored(_bits(keys, key, size, 0)), size)])
+
+
 def listed_hosts(hosts: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """Distinct hosts with one of ``terms`` between dots and hyphens: the block list that a term list stands for."""
     return hosts.select("host").distinct().filter(
