@@ -37,10 +37,10 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def draw_pivots(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE_ROWS):
-    """At most ``count`` different vectors out of a sample of ``sample`` rows, as a matrix."""
+    """At most ``count`` different vectors out of a sample of ``sample`` different ones, as a matrix."""
     import numpy as np
     draw, top = F.pmod(F.xxhash64("v"), F.lit(1 << 40)), 1 << 40
-    n = rows.count()
+    n = rows.select(draw).distinct().count()  # copies share a draw and enter once
     # tasks drop most of what will not be drawn, and copies, so little more than the sample leaves them
     early = rows.filter(draw < int(min(1.0, 3 * sample / max(1, n)) * top)).select("v").distinct()
     drawn = early.orderBy(draw, "v").limit(sample).collect()

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from regionflow.llm import language_id, nearest, pii, url_filter
@@ -130,6 +131,19 @@ def test_neighbours(spark, monkeypatch):
     assert nearest.nearest_neighbours(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("different", [1, 20])
+def test_neighbours_among_many_copies(spark, different):
+    """Pivots are drawn from the different vectors, so copies cost none of them."""
+    some = spark.createDataFrame([([float(k), 1.0, -k * k / 7.0],) for k in range(60)], "v array<double>")
+    latest = [r["v"] for r in some.orderBy(F.pmod(F.xxhash64("v"), F.lit(1 << 40)).desc()).collect()][:different]
+    vectors = spark.createDataFrame([(k, latest[k % different]) for k in range(10_000)],
+                                    "vec_id bigint, embedding array<double>")
+    assert len(nearest.draw_pivots(nearest.usable(vectors, "vec_id", "embedding"))) == different
+    found = nearest.nearest_neighbours(vectors, F.col("vec_id") % 1000 == 0).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == [(q, k) for q in range(0, 10_000, 1000) for k in range(1, 11)]
+    assert all(r["score"] == 0 and r["vec_id"] % different == r["query_id"] % different for r in found)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     network = language_id.fit(docs.filter(~language_id.held_out(docs["doc_id"])), rows=1500)
