@@ -84,6 +84,27 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_personal_data_beyond_the_base_rules(spark):
+    """Values that no base rule matches are added whatever the corpus holds; clean numbers are not."""
+    private = [("email", "Please write, ", "jane.roe(at)example(dot)org", " soon"), ("email", "mail: ", "max [at] uni.de", ", thanks"),
+               ("phone", "my phone is ", "555 010 9999", " at home"), ("phone", "Tel. ", "(030) 901820-77", "."),
+               ("phone", "call ", "+(1) 555-010-9999", " now"), ("card", "pay with card ", "4111.1111.1111.1111", " today"),
+               ("card", "Visa ", "4222222222222", "; ok"), ("card", "amex: ", "378282246310005", " end"),
+               ("card", "it was ", "5500.0000.0000.0004", " then")]
+    clean = ["about 5550109999 grains of sand", "order 4111.1111.1111.1111 came", "card 4111.1111.1111.1112 no", "we met (at) noon",
+             "phone of 2024-05-17 is new", "token = 681c09b8e90e7e8c9575180f595f646cf29690", "pi is 3.14159265358979", "999.1.2.3.4 of it",
+             "ISBN 978-3-16-148410-0", "hotel 5550109999 grains", "from 12.05.2019 14.06.2020 on", "invoice phone 5550109999"]
+    texts = [b + v + a for _, b, v, a in private] + clean
+    base_only = [f"word {k} +1 (555) 010-{1000 + k} and a{k}@b.org" for k in range(60)]
+    for more in ([], base_only):
+        docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id bigint, text string")
+        rows = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+        for k, text in enumerate(texts):
+            added = [tuple(s) for s in rows[k]["spans"] if s not in rows[k]["base"]]
+            want = [(private[k][0], len(private[k][1]), len(private[k][1]) + len(private[k][2]))] if k < len(private) else []
+            assert added == want and not rows[k]["base"], text
+
+
 def test_boosting_learns_and_calibrates():
     """A rule over two features is found again, and the threshold keeps its precision on other cells."""
     rng = random.Random(6)
