@@ -11,7 +11,8 @@
    is linked then needs no further test. Lists that still hold several components are tested in full between
    components: short lists as pairs, long ones as blocks against blocks inside tasks, which emit only links.
 
-The result are links that connect exactly the true components, and the components themselves.
+Components need no more links than connect them. ``count_links`` asks for the links of each document as well: then
+every candidate pair is tested, also inside components, and none is lost.
 """
 from __future__ import annotations
 
@@ -243,10 +244,23 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return center.unionByName(around)
 
 
+def _links_of(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``sig, n_links`` of each row of a set: copies of the sets that link with it, and its other copies."""
+    copies = stored(first.select("sig", "node").join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "sig"))
+    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    others = (both.join(copies.select(F.col("node").alias("v"), "copies"), "v")
+              .groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("others")))
+    return copies.join(others, "node", "left").select(
+        "sig", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", count_links: bool = False) -> DataFrame:
     """One row ``doc_id, n_shingles, component_id, component, content`` per row of ``docs``.
 
+    With ``count_links`` also ``n_links``: how many other rows link with the row, equal texts among them. All pairs of
+    different sets that link are then made, as many as there are.
+
     Two documents link when 100 * intersection >= percent * union of their distinct shingles of ``width`` words;
     ``component_id`` is the smallest id reachable by links. ``component`` numbers components, ``content`` hashes
     texts. NULL, empty and blank texts have no shingles and link with nothing (``component`` is NULL). NULL ids take part; a
@@ -292,13 +306,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
     labels = _relabelled(first.select("node"), links.unionByName(more))
     lows = first.select("node", "low", "sig").join(labels, "node")
     found = lows.groupBy("label").agg(F.min("low").alias("component_id"))
-    answer = stored(lows.join(found, "label").select("sig", "component_id", F.col("label").alias("component")))
+    answer = lows.join(found, "label").select("sig", "component_id", F.col("label").alias("component"))
+    counted = []
+    if count_links:
+        apart = expanded.withColumn("label", F.col("node"))  # no two nodes share a label, so every pair is tested
+        pairs = stored(_verified(_residual_units(apart, percent), source, first, width, percent))
+        answer = answer.join(_links_of(pairs, rows, first), "sig")
+        counted = ["n_links"]
+    answer = stored(answer)
     linked = attach_by_digest(rows.select("doc_id", "content", "n", "sig"), answer, "sig").select(
-        "doc_id", "content", "n", "component_id", "component")
+        "doc_id", "content", "n", "component_id", "component", *counted)
     alone = every.filter("n = 0").select("doc_id", "content", "n", F.col("doc_id").alias("component_id"),
-                                         F.lit(None).cast("bigint").alias("component"))
+                                         F.lit(None).cast("bigint").alias("component"),
+                                         *[F.lit(0).cast("bigint").alias(name) for name in counted])
     return linked.unionByName(alone).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id",
-                                            "component", "content")
+                                            "component", "content", *counted)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id",

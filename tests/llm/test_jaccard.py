@@ -71,6 +71,21 @@ def test_components(spark, monkeypatch, percent, width, short):
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, brute(rows, percent, width)))
 
 
+@pytest.mark.parametrize("short", [32, 3])
+def test_every_link_is_counted(spark, monkeypatch, short):
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 8 if short == 3 else 128)
+    texts = families(5, 3, 20, 80) + families(9, 10, 3, 30) + [None, "", "one", "One", "the same text again and again"] * 3
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "one"), (3, texts[3])]
+    sets = [shingles(t, 4) for _, t in rows]
+    want = [(doc, sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets) if j != k) if a else 0)
+            for k, ((doc, _), a) in enumerate(zip(rows, sets))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_join.near_duplicates(docs, count_links=True).select("doc_id", "n_links").collect()
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, map(tuple, got))) == sorted(map(key, want)) and max(n for _, n in want) > 2
+
+
 def test_one_of_each_component_stays(spark):
     texts = families(2, 4, 6, 60) + ["", None]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, content string")
