@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionflow.llm.common import stored
+
 #: Bytes of a window.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -161,7 +163,9 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", row
     """
     labelled = docs.select(docs[text].alias("t"), docs[lang].alias("label")).filter(
         F.col("label").isNotNull() & F.rlike(F.coalesce("t", F.lit("")), F.lit(r"\p{L}")))
-    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # copies share a hash, so this counts different texts; hashes alone are shuffled
+    counts = stored(labelled.select("label", F.xxhash64("t", F.lit(1)).alias("h")).distinct()
+                    .groupBy("label").agg(F.count(F.lit(1)).alias("n")))  # so that the join knows how small it is
     draw = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
     size = F.element_at(F.array(*map(F.lit, (TRAIN_CHARS, TRAIN_CHARS, TRAIN_CHARS // 2, TRAIN_CHARS // 8))),
                         (F.pmod(F.xxhash64("t", F.lit(2)), F.lit(4)) + 1).cast("int"))

@@ -182,6 +182,17 @@ def test_language(spark):
     assert language_id.identify(odd.limit(0), network).count() == 0
 
 
+def test_copies_do_not_crowd_a_language_out(spark):
+    """A language whose rows are copies of one text enters the sample as one that has the text once."""
+    rows = [(f"text number {k} of many", "en") for k in range(300)]
+    latest = spark.createDataFrame([(f"ein Satz {k}",) for k in range(40)], "t string").orderBy(
+        F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 40)).desc()).first()["t"]
+    docs = spark.createDataFrame(rows + [(latest, "de")] * 3000, "text string, lang string")
+    once = spark.createDataFrame(rows + [(latest, "de")], "text string, lang string")
+    sample = lambda d: sorted(map(tuple, language_id.training_sample(d, rows=600).collect()))
+    assert sample(docs) == sample(once) and sum(label == "de" for _, label in sample(docs)) == 1
+
+
 def test_windows_cover_every_byte():
     """Long texts: the folded tables over windows equal a plain convolution over the whole text."""
     rng = np.random.default_rng(1)
