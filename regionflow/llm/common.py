@@ -88,6 +88,50 @@ def attach_by_digest(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
             .unionByName(rows.join(heavy, key, "left_anti").join(found, key)))
 
 
+#: Bytes of text that a task turns into Python strings at once (a longer text is taken alone).
+SLICE_BYTES = 2_000_000
+
+
+def text_slices(column, most: int = SLICE_BYTES):
+    """``start, texts`` of consecutive parts of an Arrow text column with about ``most`` bytes each; NULL as empty.
+
+    Only one part exists as Python strings at a time, however many rows a batch has and however long they are.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begin = 0
+    while begin < len(sizes):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield begin, [text or "" for text in column.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns named by their places, so that no name of theirs clashes with a helper column."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def column_of(docs: DataFrame, name: str) -> Column:
+    """A column of ``numbered(docs)`` by its name in ``docs``; exactly so written if names differ in case only."""
+    names = docs.columns
+    if name in names:
+        return F.col(f"c{names.index(name)}")
+    return F.col(f"c{[n.lower() for n in names].index(name.lower())}")
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row`` beside key columns made with :func:`column_of`."""
+    return numbered(docs).select(F.struct("*").alias("row"), *[key.alias(name) for name, key in keys.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that :func:`packed` made, as they were."""
+    return rows.select("row.*").toDF(*docs.columns)
+
+
 def not_null_id(column: Column) -> Column:
     """An id as text that is never NULL; NULL has a value of its own."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))

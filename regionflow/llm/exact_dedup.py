@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import digest, heavy_keys, not_null_id, stored, whole_text
+from regionflow.llm.common import column_of, digest, heavy_keys, not_null_id, numbered, packed, stored, unpacked, whole_text
 
 
 def normalised(text: Column) -> Column:
@@ -25,7 +25,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     others; a group of only NULL ids keeps NULL. Of rows that repeat the smallest id exactly one is kept. Other
     columns are left out, whatever their names; an empty table gives an empty one.
     """
-    keyed = stored(docs.select(docs[doc_id].alias("doc_id"), digest(normalised(docs[text])).alias("digest")))
+    keyed = stored(numbered(docs).select(column_of(docs, doc_id).alias("doc_id"),
+                                         digest(normalised(column_of(docs, text))).alias("digest")))
     heavy = F.broadcast(stored(heavy_keys(keyed.select(F.hex("digest").alias("digest")), "digest"))
                         .select(F.unhex("digest").alias("digest")))
     # One row per heavy digest: verified winner and size.
@@ -52,8 +53,7 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with equal texts one stays. NULLs and empty tables as in :func:`exact_duplicates`.
     """
     stay = exact_duplicates(docs, doc_id, text).filter("kept").select(
-        not_null_id(F.col("doc_id")).alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumns({"_id": not_null_id(docs[doc_id]), "_digest": digest(normalised(docs[text]))})
-    place = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
-    return (marked.join(stay, ["_id", "_digest"], "left_semi").withColumn("_place", place)
-            .filter("_place = 1").select(docs.columns))
+        not_null_id(F.col("doc_id")).alias("key"), "digest")
+    rows = packed(docs, key=not_null_id(column_of(docs, doc_id)), digest=digest(normalised(column_of(docs, text))))
+    place = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
+    return unpacked(rows.join(stay, ["key", "digest"], "left_semi").withColumn("place", place).filter("place = 1"), docs)

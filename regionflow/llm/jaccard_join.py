@@ -21,7 +21,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import attach_by_digest, not_null_id, stored, whole_text
+from regionflow.llm.common import (attach_by_digest, column_of, not_null_id, numbered, packed, stored, text_slices, unpacked,
+                                   whole_text)
 from regionflow.llm.shingles import Shingler, set_digest
 from regionflow.llm.url_filter import superset_filter
 from regionflow.operators.graph import connected_components
@@ -48,17 +49,15 @@ def _sketch(docs: DataFrame, width: int):
     def count(batches):
         import numpy as np
         import pyarrow as pa
-        shingler, cells = Shingler(width), np.zeros(SKETCH_CELLS, np.int64)
-        some = False
+        # a task's counts end at 255, which is frequent enough for any order
+        shingler, cells = Shingler(width), np.zeros(SKETCH_CELLS, np.uint8)
         for batch in batches:
-            sets = shingler.sets(batch.column(0).to_pylist())
-            some = some or any(map(len, sets))
-            if sets:
-                every = np.concatenate(sets) & np.uint64(SKETCH_CELLS - 1)
-                cells += np.bincount(every.astype(np.int64), minlength=SKETCH_CELLS)
-        if some:
-            # a task's counts end at 255, which is frequent enough for any order
-            parts = np.minimum(cells, 255).astype(np.uint8).reshape(_SKETCH_PARTS, size)
+            for _, texts in text_slices(batch.column(0)):
+                hashes = np.concatenate(shingler.sets(texts))
+                where, times = np.unique(hashes & np.uint64(SKETCH_CELLS - 1), return_counts=True)
+                cells[where] = np.minimum(cells[where] + times, 255)
+        if cells.any():
+            parts = cells.reshape(_SKETCH_PARTS, size)
             yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()),
                                               pa.array([p.tobytes() for p in parts], pa.binary())],
                                              names=["part", "cells"])
@@ -69,9 +68,11 @@ def _sketch(docs: DataFrame, width: int):
         import pyarrow as pa
         sums = {}
         for batch in batches:
-            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(cells, np.uint8).astype(np.int64)
-                sums[part] = sums[part] + values if part in sums else values
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(cells.as_buffer(), np.uint8)
+                if part not in sums:
+                    sums[part] = np.zeros(size, np.int64)
+                sums[part] += values
         kinds = [np.log2(np.maximum(v, 1)).round().astype(np.uint8).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(kinds, pa.binary())],
                                          names=["part", "cells"])
@@ -90,24 +91,25 @@ def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
         import pyarrow as pa
         shingler, classes = Shingler(width), np.frombuffer(order.value, np.uint8)
         for batch in batches:
-            texts, sizes, sigs, prefixes = batch.column(2).to_pylist(), [], [], []
-            for hashes in shingler.sets(texts):
-                n = len(hashes)
-                sizes.append(n)
-                sigs.append(set_digest(hashes))
-                rank = classes[(hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)]
-                kept = np.argsort(rank, kind="stable")[:prefix_length(n, percent) if n else 0]
-                prefixes.append(hashes[kept].view(np.int64))
-            bounds = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "content", "n", "sig", "prefix"])
+            for start, texts in text_slices(batch.column(2)):
+                sizes, sigs, prefixes = [], [], []
+                for hashes in shingler.sets(texts):
+                    n = len(hashes)
+                    sizes.append(n)
+                    sigs.append(set_digest(hashes))
+                    rank = classes[(hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)]
+                    kept = np.argsort(rank, kind="stable")[:prefix_length(n, percent) if n else 0]
+                    prefixes.append(hashes[kept].view(np.int64))
+                bounds = np.cumsum([0, *map(len, prefixes)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)),
+                     pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))],
+                    names=["doc_id", "content", "n", "sig", "prefix"])
     return docs.mapInArrow(run, _SETS)
 
 
-def _verified(units: DataFrame, source: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(units: DataFrame, source: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``u, v`` among candidates.
 
     ``units`` has ``unit, side, node, label``: in each unit every node of side 0 (at most ``BLOCK_NODES``) is tested
@@ -146,16 +148,18 @@ def _verified(units: DataFrame, source: DataFrame, nodes: DataFrame, width: int,
                             yield min(node, part[k][0]), max(node, part[k][0])
 
         for batch in batches:
-            units_, sides, nodes, labels, whole = (batch.column(k).to_pylist() for k in range(5))
-            sets, links, rows = shingler.sets(whole), [], []
-            for unit, side, node, label, hashes in zip(units_, sides, nodes, labels, sets):
-                if unit != now:
-                    links += tested(rows)
-                    now, left, rows = unit, [], []
-                (rows if side else left).append((node, label, hashes))
-            links += tested(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()),
-                                              pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
+            for start, texts in text_slices(batch.column(4)):
+                units_, sides, nodes, labels = (batch.column(k).slice(start, len(texts)).to_pylist() for k in range(4))
+                links, rows = [], []
+                for unit, side, node, label, hashes in zip(units_, sides, nodes, labels, shingler.sets(texts)):
+                    if unit != now:
+                        links += tested(rows)
+                        now, left, rows = unit, [], []
+                    (rows if side else left).append((node, label, hashes))
+                links += tested(rows)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()),
+                                                      pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
 
     return (rows.repartition("unit").sortWithinPartitions("unit", "side")
             .select("unit", "side", "node", "label", "text").mapInArrow(run, "u bigint, v bigint").distinct())
@@ -190,14 +194,14 @@ def _fits(percent: int):
     return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
 
 
-def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label``: the label of a node without links is itself."""
     found = connected_components(links).select("node", "component")
     return stored(nodes.join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("label")))
 
 
-def _residual_units(lists: DataFrame, percent: int) -> DataFrame:
+def residual_units(lists: DataFrame, percent: int) -> DataFrame:
     """Units that test every pair of nodes with different labels in one list; ``lists`` has ``token, node, n, label``."""
     sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min("label").alias("_a"),
                                        F.max("label").alias("_b")).filter("_a <> _b")
@@ -207,11 +211,11 @@ def _residual_units(lists: DataFrame, percent: int) -> DataFrame:
     pairs = (short.join(other, "token").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2"))
                                                & _fits(percent))
              .select("node", "node2", "label", "label2").distinct())
-    stars = _stars(pairs)
+    alone = stars(pairs)
     # Long lists: nodes that share one are numbered inside their joint component and cut into blocks.
     long = open_lists.filter(F.col("_m") > SHORT_LIST).select("token", "node", "label")
     if long.isEmpty():
-        return stars
+        return alone
     hub = long.groupBy("token").agg(F.min("node").alias("u"))
     joint = connected_components(long.join(hub, "token").select("u", F.col("node").alias("v")))
     members = joint.groupBy("component").agg(F.count(F.lit(1)).alias("_m"))
@@ -228,10 +232,10 @@ def _residual_units(lists: DataFrame, percent: int) -> DataFrame:
     left = met.join(filled, "block").select("unit", F.lit(0).alias("side"), "node", "label")
     right = met.join(filled.withColumnRenamed("block", "block2"), "block2").select(
         "unit", F.lit(1).alias("side"), "node", "label")
-    return stars.unionByName(left).unionByName(right)
+    return alone.unionByName(left).unionByName(right)
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
+def stars(pairs: DataFrame) -> DataFrame:
     """Units of one node against its partners; a node with many partners stands in several units."""
     counts = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_m"), F.first("label").alias("label"))
     cut = F.ceil(F.col("_m") / 512).cast("int")
@@ -254,6 +258,13 @@ def _links_of(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
         "sig", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
+def text_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, content, text, key`` of every row: the key names the row beside a hash of its text."""
+    whole, number = whole_text(column_of(docs, text)), column_of(docs, doc_id).cast("bigint")
+    return numbered(docs).select(number.alias("doc_id"), F.xxhash64(whole).alias("content"), whole.alias("text"),
+                                 not_null_id(number).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id: str = "doc_id",
                     text: str = "text", count_links: bool = False) -> DataFrame:
     """One row ``doc_id, n_shingles, component_id, component, content`` per row of ``docs``.
@@ -267,9 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
     component of only NULL ids has a NULL id. Repeated rows have equal sets. Other columns are left out, whatever
     their names; an empty table gives an empty one.
     """
-    content = F.xxhash64(whole_text(docs[text]))
-    source = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), content.alias("content"),
-                         whole_text(docs[text]).alias("text")).withColumn("key", not_null_id(F.col("doc_id")))
+    source = text_rows(docs, doc_id, text)
     order = _sketch(source.select("text"), width)
     every = stored(_sets(source.select("doc_id", "content", "text"), order, width, percent).select(
         F.monotonically_increasing_id().alias("row"), "*", F.xxhash64("prefix", F.lit(1)).alias("g1"),
@@ -296,21 +305,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
              .select(F.col("h.node").alias("node"), F.col("h.n").alias("n"), "node2", "n2")
              .filter((F.col("node") != F.col("node2")) & _fits(percent)).select("node", "node2").distinct())
     tried = stored(tried.withColumns({"label": F.col("node"), "label2": F.col("node2")}))
-    links = stored(_verified(_stars(tried), source, first, width, percent))
-    labels = _relabelled(first.select("node"), links)
+    links = stored(verified(stars(tried), source, first, width, percent))
+    labels = relabelled(first.select("node"), links)
     # Step 2: whatever still differs inside a list, expanded to the members of its groups.
     shown = member.select(F.col("gid").alias("node"), F.col("node").alias("_member"))
     expanded = (lists.join(shown, "node", "left").select(F.coalesce("_member", "node").alias("node"), "n", "token")
                 .unionByName(own_list).distinct())
-    more = stored(_verified(_residual_units(expanded.join(labels, "node"), percent), source, first, width, percent))
-    labels = _relabelled(first.select("node"), links.unionByName(more))
+    more = stored(verified(residual_units(expanded.join(labels, "node"), percent), source, first, width, percent))
+    labels = relabelled(first.select("node"), links.unionByName(more))
     lows = first.select("node", "low", "sig").join(labels, "node")
     found = lows.groupBy("label").agg(F.min("low").alias("component_id"))
     answer = lows.join(found, "label").select("sig", "component_id", F.col("label").alias("component"))
     counted = []
     if count_links:
         apart = expanded.withColumn("label", F.col("node"))  # no two nodes share a label, so every pair is tested
-        pairs = stored(_verified(_residual_units(apart, percent), source, first, width, percent))
+        pairs = stored(verified(residual_units(apart, percent), source, first, width, percent))
         answer = answer.join(_links_of(pairs, rows, first), "sig")
         counted = ["n_links"]
     answer = stored(answer)
@@ -334,9 +343,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc
     best = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(key).alias("k"))
     keep = (best.select("k.doc_id", "k.content")
             .unionByName(found.filter(F.col("component").isNull()).select("doc_id", "content"))
-            .select(not_null_id(F.col("doc_id")).alias("_id"), F.col("content").alias("_content")).distinct())
-    marked = docs.withColumns({"_id": not_null_id(docs[doc_id].cast("bigint")),
-                               "_content": F.xxhash64(whole_text(docs[text]))})
-    place = F.row_number().over(Window.partitionBy("_id", "_content").orderBy("_id"))
-    return (marked.join(keep, ["_id", "_content"], "left_semi").withColumn("_place", place)
-            .filter("_place = 1").select(docs.columns))
+            .select(not_null_id(F.col("doc_id")).alias("key"), "content").distinct())
+    rows = packed(docs, key=not_null_id(column_of(docs, doc_id).cast("bigint")),
+                  content=F.xxhash64(whole_text(column_of(docs, text))))
+    place = F.row_number().over(Window.partitionBy("key", "content").orderBy("key"))
+    stay = rows.join(keep, ["key", "content"], "left_semi").withColumn("place", place).filter("place = 1")
+    return unpacked(stay, docs)

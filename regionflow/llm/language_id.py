@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionflow.llm.common import stored
+from regionflow.llm.common import column_of, numbered, stored, text_slices
 
 #: Bytes of a window.
 WINDOW = 256
@@ -26,6 +26,8 @@ FILTERS = 12
 EMBEDDED = 8
 #: Rows of the training sample and characters of each: the bound of what comes to the driver (about 3 MB).
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 256
+#: Further rows of the draw, not trained on, that say which scores known languages get.
+CALIBRATION_ROWS = 1_000
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Windows computed at once: their filter outputs stay in the cache.
 BLOCK_WINDOWS = 32
@@ -185,12 +187,56 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRA
     return train_network([r["snippet"] for r in sample], [r["label"] for r in sample])
 
 
+class Predictor:
+    """Languages and scores of texts by a network; without one every text is unknown."""
+
+    def __init__(self, network: Network | None):
+        self.network, self.folded = network, network and _folded(network)
+
+    def _windows(self, codes, total: int):
+        import numpy as np
+        network = self.network
+        found = np.empty((total, len(network.languages)), np.float32)
+        for a in range(0, total, BLOCK_WINDOWS):
+            count = min(BLOCK_WINDOWS, total - a)
+            top = _strongest(self.folded, codes, a, count) + network.bias
+            found[a:a + count] = _softmax(np.maximum(top, 0) @ network.dense + network.dense_bias)
+        return found
+
+    def _means(self, texts: list[str]):
+        import numpy as np
+        codes, counts, sizes = _codes(texts)
+        probable = self._windows(codes, int(counts.sum()))
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        inside = np.arange(len(probable)) - np.repeat(starts, counts)
+        weight = np.clip(np.repeat(sizes, counts) - inside * WINDOW, 0, WINDOW).astype(np.float64)
+        weight[starts] = np.maximum(weight[starts], 1)
+        summed = np.add.reduceat(probable * weight[:, None], starts, axis=0)
+        return summed / np.add.reduceat(weight, starts)[:, None]
+
+    def __call__(self, texts: list[str]):
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        lettered = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.network else []
+        block, held = [], 0
+        for k in [*lettered, None]:
+            if k is not None:
+                block.append(k)
+                held += len(texts[k])
+            if block and (k is None or held > 500_000):
+                for j, row in zip(block, self._means([texts[j] for j in block])):
+                    best = int(row.argmax())
+                    langs[j], scores[j] = self.network.languages[best], float(min(1.0, row[best]))
+                block, held = [], 0
+        return langs, scores
+
+
 def identify(docs: DataFrame, network: Network | None, text: str = "text", lang_pred: str = "lang_pred",
              score: str = "score") -> DataFrame:
     """All columns of ``docs`` with the language of each whole text and its score (0 to 1).
 
-    NULL texts and texts without letters are ``und`` with score 0; so is every text if nothing could be learnt. A
-    column of ``docs`` named like an output column is replaced; repeated rows stay; an empty table gives an empty one.
+    NULL texts and texts without letters are ``und`` with score 0; so is every text if nothing could be learnt. Of
+    equal scores the first language in code-point order wins. A column of ``docs`` named like an output column is
+    replaced; repeated rows stay; an empty table gives an empty one; a text may be of any length.
     """
     kept = [f for f in docs.schema.fields if f.name not in (lang_pred, score)]
     schema = T.StructType([*kept, T.StructField(lang_pred, T.StringType(), False),
@@ -198,46 +244,15 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", lang_
     names = [f.name for f in kept]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        folded = network and _folded(network)
-
-        def windows(codes, total):
-            found = np.empty((total, len(network.languages)), np.float32)
-            for a in range(0, total, BLOCK_WINDOWS):
-                count = min(BLOCK_WINDOWS, total - a)
-                top = _strongest(folded, codes, a, count) + network.bias
-                found[a:a + count] = _softmax(np.maximum(top, 0) @ network.dense + network.dense_bias)
-            return found
-
-        def predict(texts):
-            codes, counts, sizes = _codes(texts)
-            probable = windows(codes, int(counts.sum()))
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            inside = np.arange(len(probable)) - np.repeat(starts, counts)
-            weight = np.clip(np.repeat(sizes, counts) - inside * WINDOW, 0, WINDOW).astype(np.float64)
-            weight[starts] = np.maximum(weight[starts], 1)
-            summed = np.add.reduceat(probable * weight[:, None], starts, axis=0)
-            return summed / np.add.reduceat(weight, starts)[:, None]
-
+        predict = Predictor(network)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            lettered = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if network else []
-            block, held = [], 0
-            for k in [*lettered, None]:
-                if k is not None:
-                    block.append(k)
-                    held += len(texts[k])
-                if block and (k is None or held > 500_000):
-                    answer = predict([texts[j] for j in block])
-                    for j, row in zip(block, answer):
-                        best = int(row.argmax())
-                        langs[j], scores[j] = network.languages[best], float(min(1.0, row[best]))
-                    block, held = [], 0
-            columns = [batch.column(batch.schema.get_field_index(name)) for name in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*names, lang_pred, score])
+            places = [batch.schema.get_field_index(name) for name in names]
+            for start, texts in text_slices(batch.column(batch.schema.get_field_index(text))):
+                langs, scores = predict(texts)
+                columns = [batch.column(k).slice(start, len(texts)) for k in places]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                                 names=[*names, lang_pred, score])
 
     return docs.mapInArrow(run, schema)
 
@@ -247,7 +262,39 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, network: Network | None, least_score: float = 0.3) -> DataFrame:
-    """Rows whose language is known with at least ``least_score`` (little above an even guess), columns as they were."""
-    found = identify(docs.select("*"), network, lang_pred="_lang_pred", score="_lang_score")
-    return found.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score)).select(docs.columns)
+def fit_calibrated(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Network | None, float]:
+    """A network as :func:`fit` trains it, and the least score of a text in a language that it knows.
+
+    That score lies half way between an even guess and what 99 of 100 snippets reach that were drawn like those of
+    the training but not trained on; without enough of them it is the even guess.
+    """
+    import numpy as np
+    sample = training_sample(docs, text, lang, TRAIN_ROWS + CALIBRATION_ROWS).collect()  # bounded like in ``fit``
+    if not sample:
+        return None, 1.0
+    network = train_network([r["snippet"] for r in sample[:TRAIN_ROWS]], [r["label"] for r in sample[:TRAIN_ROWS]])
+    even, unseen = 1.0 / len(network.languages), sample[TRAIN_ROWS:]
+    if len(unseen) < CALIBRATION_ROWS // 10:
+        return network, even
+    reached = float(np.quantile(Predictor(network)([r["snippet"] for r in unseen])[1], 0.01))
+    return network, even + max(0.0, reached - even) / 2
+
+
+def keep_identified(docs: DataFrame, network: Network | None, least_score: float, text: str = "text") -> DataFrame:
+    """Rows whose language is known with at least ``least_score``, with all their columns, whatever their names.
+
+    Rows without letters (NULL and empty texts too) go, and all rows if there is no network. Rows are decided where
+    they stand; repeated rows stay or go together; an empty table gives an empty one; a text may be of any length.
+    """
+    rows = numbered(docs)
+    place = rows.columns.index(rows.select(column_of(docs, text)).columns[0])
+
+    def run(batches):
+        import pyarrow as pa
+        predict = Predictor(network)
+        for batch in batches:
+            for start, texts in text_slices(batch.column(place)):
+                known = [lang != UNKNOWN and score >= least_score for lang, score in zip(*predict(texts))]
+                yield batch.slice(start, len(texts)).filter(pa.array(known))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import WORD, not_null_id, stored, whole_text
+from regionflow.llm.common import WORD, column_of, not_null_id, numbered, packed, stored, unpacked, whole_text
 from regionflow.scale import dense_index
 
 #: Rows that meet in one chunk of the reduction tree, on average.
@@ -144,8 +144,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     of its source. Repeated rows and NULL ids are mixed like any row. Other columns are left out, whatever their
     names; an empty table gives an empty one.
     """
-    rows = stored(docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[source].cast("string").alias("source"),
-                              word_count(docs[text]).alias("size"), F.xxhash64(whole_text(docs[text])).alias("content")))
+    number, name, whole = (column_of(docs, c) for c in (doc_id, source, text))
+    rows = stored(numbered(docs).select(number.cast("bigint").alias("doc_id"), name.cast("string").alias("source"),
+                                        word_count(whole).alias("size"), F.xxhash64(whole_text(whole)).alias("content")))
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     counts = stored(counts)
     targets = stored(source_targets(counts.select("source", "source_size"), weights, most))
@@ -181,14 +182,13 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
 
     Rows that share id, source and text are alike here: one of them stands for their copies together.
     """
-    keys = ["_id", "_source", "_content"]
+    keys = ["key", "source", "content"]
     taken = (mix_sources(docs, doc_id=doc_id, source=source, text=text, **mix)
-             .groupBy(not_null_id(F.col("doc_id")).alias("_id"), not_null_id(F.col("source")).alias("_source"),
-                      F.col("content").alias("_content"))
-             .agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0"))
-    marked = docs.withColumns({"_id": not_null_id(docs[doc_id].cast("bigint")), "_source": not_null_id(docs[source]),
-                               "_content": F.xxhash64(whole_text(docs[text]))})
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_id"))
-    once = marked.join(taken, keys).withColumn("_place", place).filter("_place = 1")
-    return (once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(docs.columns))
+             .groupBy(not_null_id(F.col("doc_id")).alias("key"), not_null_id(F.col("source")).alias("source"), "content")
+             .agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"))
+    number, name, whole = (column_of(docs, c) for c in (doc_id, source, text))
+    rows = packed(docs, key=not_null_id(number.cast("bigint")), source=not_null_id(name.cast("string")),
+                  content=F.xxhash64(whole_text(whole)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("key"))
+    once = rows.join(taken, keys).withColumn("place", place).filter("place = 1")
+    return unpacked(once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

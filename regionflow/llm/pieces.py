@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from regionflow.llm.common import tokenizer_file
+from regionflow.llm.common import text_slices, tokenizer_file
 
 #: Chunks that a task keeps at once.
 TABLE_CHUNKS = 250_000
-#: Characters of text that a task splits at once (a longer text is taken alone).
-BLOCK_CHARS = 2_000_000
+#: Bytes of text that a task splits at once (a longer text is taken alone).
+BLOCK_BYTES = 1_000_000
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -119,10 +119,9 @@ def encode_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "piece_b
         import pyarrow as pa
         table = ChunkTable(tokenizer_file(tokenizer), end)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for part in blocks(texts, BLOCK_CHARS):
-                flat, bounds = table.encode(texts[part])
-                cut = batch.slice(part.start, part.stop - part.start)
+            for start, texts in text_slices(batch.column(batch.schema.get_field_index(text)), BLOCK_BYTES):
+                flat, bounds = table.encode(texts)
+                cut = batch.slice(start, len(texts))
                 columns = [cut.column(cut.schema.get_field_index(name)) for name in names]
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())))
                 if decode:

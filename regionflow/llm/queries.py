@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionflow.llm import (exact_dedup, jaccard_join, language_id, mixing, nearest, pieces, pii, secret_scan,
-                            token_counts, url_filter)
+from regionflow.llm import (alignment, exact_dedup, jaccard_join, language_id, minhash, mixing, nearest, pieces, pii,
+                            secret_scan, spelling, token_counts, url_filter)
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,7 +72,9 @@ def op9(spark, folder):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@_query("op10_jaccard_join", r"""
+def _jaccard_sql(percent: int, more: str = "") -> str:
+    """Components of documents whose sets of 4-word shingles reach ``percent``, from all pairs that share one."""
+    return r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -82,15 +84,60 @@ s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words)
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_ FROM s a JOIN s b USING (shingle) GROUP BY ALL),
 e AS (SELECT u, v FROM i JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
-      WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+      WHERE 100 * both_ >= PERCENT * (x.n + y.n - both_)),
 r AS (SELECT u AS doc_id, u AS seen FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.seen)
-SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_idMORE
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""".replace(
+        "PERCENT", str(percent)).replace("MORE", more)
+
+
+@_query("op10_jaccard_join", _jaccard_sql(85))
 def op10(spark, folder):
     return jaccard_join.near_duplicates(_table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id")
 
 
+@_query("op13_minhash_dedup", _jaccard_sql(80, ", coalesce(min(r.seen), d.doc_id) = d.doc_id AS kept"))
+def op13(spark, folder):
+    return minhash.sketched_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op11_token_alignment")
+def op11(spark, folder):
+    return alignment.aligned_tokens(_table(spark, folder, "documents"))
+
+
+# The CRC-32 is a fold over bytes with the usual table; near words share what a deletion leaves.
+@_query("op12_spelling_variants", r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM counted),
+coded AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(length(x) // 2),
+    lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM bytes, crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0
+      THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, pos, left(word, pos - 1) || substr(word, pos + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM words)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (pos, rest) WHERE a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+                  row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM near),
+judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+                  CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+    FROM words w LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (word)),
+chain AS (SELECT word, word AS root, 0 AS d FROM judged
+    UNION ALL SELECT c.word, j.form, d + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word) USING (word)""")
+def op12(spark, folder):
+    return spelling.spelling_variants(_table(spark, folder, "documents"))
+
+
 @_query("op5_url_filter", r"""
 WITH p AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
