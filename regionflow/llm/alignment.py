@@ -1,8 +1,9 @@
 """Alignment of two tokenizers: groups of tokens between common byte offsets, and how often token pairs are linked.
 
-1. A task encodes whole texts by both tokenizers. Per text a dictionary maps the cumulative end of each token to its
-   index, one for each side; the ends in both dictionaries, sorted, slice both id lists into groups, and the links of
-   each slice are expanded (a large slice by its distinct ids, so that work follows the distinct pairs).
+1. A task encodes whole texts by both tokenizers and takes the cumulative ends of the tokens in bytes. A dictionary from
+   ends to indices, for the first side as an array addressed by the end, is met with the ends of the second; the
+   common ends, sorted, slice both id lists into groups, and the links of each slice are expanded (a large slice by
+   its distinct ids, so that work follows the distinct pairs).
 2. Texts of a few megabytes form a block. A block lists its distinct id pairs once, with the number of its documents
    that hold each; a document keeps places in that list. So what is shuffled by pair is a row per block and pair, and
    a pair that every document holds is as rare there as any other.
@@ -11,21 +12,24 @@
 """
 from __future__ import annotations
 
-from itertools import accumulate, count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.llm.common import column_of, numbered, stored, text_slices, tokenizer_file
+from regionflow.llm.pieces import ChunkTable
 
-#: Bytes of text in a block (a longer text is a block of its own), and in one call of a tokenizer.
-BLOCK_BYTES, CALL_BYTES = 4_000_000, 500_000
+#: Characters of text in a block (a longer text is a block of its own), and bytes aligned at once.
+BLOCK_CHARS, SLICE_BYTES = 4_000_000, 500_000
 #: A slice with more links is expanded by its distinct ids.
 SMALL_SLICE = 4096
 #: Multiplier of the first id in a pair's number; ids of the second tokenizer are smaller.
 PAIR = 1 << 24
 
 MARK = "▁"
+#: How texts of byte-level vocabularies are cut into words before merging; a fixed value of the format.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters outside these are left to the vocabulary's own library.
+_UNCOMMON = r"[^\t\n\r -~\u00a1-\u024f\u0391-\u03ce\u0410-\u044f]"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -36,9 +40,16 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level vocabulary of the tokenizers library: texts to ids, and the bytes of every id."""
+    """A byte-level vocabulary of the tokenizers library: texts, after a space, to ids; and the bytes of every id.
+
+    Where merges are ranked by id, as in this format's first vocabularies, texts of common characters are encoded by
+    ranks, which gives the same ids in a quarter of the time; the rest by the library itself.
+    """
 
     def __init__(self, name: str):
+        import re
+
+        import tiktoken
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(tokenizer_file(name))
         self.model.no_truncation()
@@ -47,71 +58,166 @@ class ByteLevel:
         alphabet, size = byte_alphabet(), self.model.get_vocab_size(with_added_tokens=True)
         entries = [self.model.id_to_token(k) or "" for k in range(size)]
         self.bytes = [bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else e.encode() for e in entries]
+        added = set(self.model.get_added_tokens_decoder())
+        ranks = {raw: k for k, raw in enumerate(self.bytes) if k not in added}
+        self.ranked = tiktoken.Encoding(name, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.uncommon = re.compile(_UNCOMMON)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]):
+        """Ids of all texts end to end, and how many each has."""
+        import numpy as np
+        found = [None if self.uncommon.search(t) else self.ranked.encode_ordinary(" " + t) for t in texts]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        if rest:
+            batch = self.model.encode_batch([" " + texts[k] for k in rest], add_special_tokens=False)
+            for k, ids in zip(rest, batch):
+                found[k] = ids.ids
+        return np.array([k for ids in found for k in ids], np.int64), np.array(list(map(len, found)), np.int64)
 
 
 class Pieces:
-    """A sentencepiece vocabulary that puts a space before a text."""
+    """A sentencepiece vocabulary that puts a space before a text and whose pieces do not cross white space."""
 
     def __init__(self, name: str):
-        import sentencepiece
-        self.model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(name))
+        self.table = ChunkTable(tokenizer_file(name), end=False)
+        self.model = self.table.model
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(MARK, " ").encode()
                       for k, p in enumerate(pieces)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]):
+        import numpy as np
+        ids, bounds = self.table.encode(texts)
+        return ids.astype(np.int64), np.diff(bounds)
 
 
 def tokenizer(name: str):
     return Pieces(name) if name.endswith(".model") else ByteLevel(name)
 
 
-def cuts(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> tuple[list[int], list[int]]:
-    """Tokens of either side before each common end, in order; the last group ends with both texts."""
-    ends_a = dict(zip(accumulate(map(sizes_a.__getitem__, a)), count(1)))
-    ends_b = dict(zip(accumulate(map(sizes_b.__getitem__, b)), count(1)))
-    common = sorted(ends_a.keys() & ends_b.keys())
-    return list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
+def _ranges(starts, sizes):
+    """The numbers ``start .. start + size - 1`` of each pair, end to end."""
+    import numpy as np
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Side:
+    """One tokenizer's tables: bytes and decimal digits of its ids, end to end."""
+
+    def __init__(self, name: str):
+        import numpy as np
+        self.encoder = tokenizer(name)
+        raw = self.encoder.bytes
+        self.size = np.array(list(map(len, raw)), np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        wide = len(str(len(raw)))
+        self.digits = np.frombuffer(b"".join(str(k).encode().ljust(wide + 1) for k in range(len(raw))),
+                                    np.uint8).reshape(len(raw), wide + 1)
+        self.written = np.array([len(str(k)) for k in range(len(raw))], np.int64)
+
+    def spelled(self, ids):
+        return self.raw[_ranges(self.start[ids], self.size[ids])]
+
 
+class Tokens:
+    """Ids of one side for several texts."""
 
-def written(a: list[int], b: list[int], upto_a: list[int], upto_b: list[int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    parts, i, j = [], 0, 0
-    for k, m in zip(upto_a, upto_b):
-        if k - i == 1 and m - j == 1:
-            parts.append(f"{a[i]}|{b[j]}")
-        else:
-            parts.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-        i, j = k, m
-    return ";".join(parts)
+    def __init__(self, side: Side, texts: list[str]):
+        self.side = side
+        self.ids, self.count = side.encoder.encode(texts)
 
+    def owner(self):
+        import numpy as np
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    def spells(self, raw, sizes):
+        """Which texts, ``sizes`` bytes each in ``raw``, the tokens spell."""
+        import numpy as np
+        owner, long = self.owner(), self.side.size[self.ids]
+        fits = np.bincount(owner, long, len(sizes)) == sizes
+        mine, theirs = fits[owner], np.repeat(fits, sizes)
+        same = self.side.spelled(self.ids[mine]) == raw[theirs]
+        wrong = np.repeat(np.arange(len(sizes)), sizes)[theirs][~same]
+        fits[wrong] = False
+        return fits
+
+    def keep(self, texts) -> None:
+        import numpy as np
+        self.ids = self.ids[texts[self.owner()]]
+        self.count = np.where(texts, self.count, 0)
+
+
+def groups_of(a: Tokens, b: Tokens):
+    """Tokens of either side before each common end; texts that follow each other have a common end between them."""
+    import numpy as np
+    ends_a, ends_b = np.cumsum(a.side.size[a.ids]), np.cumsum(b.side.size[b.ids])
+    index = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.int64)  # of the token that ends there, from 1
+    index[ends_a] = np.arange(1, len(ends_a) + 1)
+    met = index[ends_b]
+    return met[met > 0], np.flatnonzero(met > 0) + 1
 
-def link_pairs(a, b, upto_a, upto_b):
-    """Distinct pair numbers of a text's links, sorted, how many links each has, and the number of links."""
+
+def written(a: Tokens, b: Tokens, upto_a, upto_b):
+    """All groups as ``a1,a2|b1;a3|b2,b3;`` in one buffer, and where each token's text ends, in the order written."""
+    import numpy as np
+    from_a, from_b = np.concatenate([[0], upto_a])[:-1], np.concatenate([[0], upto_b])[:-1]
+    place_a = np.arange(len(a.ids)) + np.repeat(from_b, upto_a - from_a)
+    place_b = np.arange(len(b.ids)) + np.repeat(upto_a, upto_b - from_b)
+    wide = max(a.side.digits.shape[1], b.side.digits.shape[1])
+    text, size = np.zeros((len(a.ids) + len(b.ids), wide), np.uint8), np.zeros(len(a.ids) + len(b.ids), np.int64)
+    for tokens, place, last, close in ((a, place_a, upto_a, b"|"), (b, place_b, upto_b, b";")):
+        text[place, :tokens.side.digits.shape[1]] = tokens.side.digits[tokens.ids]
+        size[place] = tokens.side.written[tokens.ids]
+        mark = np.full(len(tokens.ids), ord(","), np.uint8)
+        mark[last - 1] = close[0]
+        text[place, size[place]] = mark
+    return text[np.arange(wide) <= size[:, None]], np.cumsum(size + 1)
+
+
+def links_of(a: Tokens, b: Tokens, upto_a, upto_b, text):
+    """``text, pair number, links`` of every group's links (a text may repeat a pair); and the links of each group."""
     import numpy as np
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    upto_a, upto_b = np.array(upto_a, np.int64), np.array(upto_b, np.int64)
-    from_a, from_b = np.concatenate([[0], upto_a[:-1]]), np.concatenate([[0], upto_b[:-1]])
+    from_a, from_b = np.concatenate([[0], upto_a])[:-1], np.concatenate([[0], upto_b])[:-1]
     wide = upto_b - from_b
     links = (upto_a - from_a) * wide
     small = links <= SMALL_SLICE
-    every = links[small]
-    inside = np.arange(every.sum()) - np.repeat(np.cumsum(every) - every, every)
-    across = np.repeat(wide[small], every)
-    numbers = [a[np.repeat(from_a[small], every) + inside // across] * PAIR
-               + b[np.repeat(from_b[small], every) + inside % across]]
-    times = [np.ones(len(inside), np.int64)]
+    every, across = links[small], np.repeat(wide[small], links[small])
+    inside = _ranges(np.zeros(len(every), np.int64), every)
+    texts, times = [np.repeat(text[small], every)], [np.ones(len(inside), np.int64)]
+    numbers = [a.ids[np.repeat(from_a[small], every) + inside // across] * PAIR
+               + b.ids[np.repeat(from_b[small], every) + inside % across]]
     for k in np.flatnonzero(~small).tolist():
-        ids_a, n_a = np.unique(a[from_a[k]:upto_a[k]], return_counts=True)
-        ids_b, n_b = np.unique(b[from_b[k]:upto_b[k]], return_counts=True)
+        ids_a, n_a = np.unique(a.ids[from_a[k]:upto_a[k]], return_counts=True)
+        ids_b, n_b = np.unique(b.ids[from_b[k]:upto_b[k]], return_counts=True)
         numbers.append((ids_a[:, None] * PAIR + ids_b[None, :]).ravel())
         times.append((n_a[:, None] * n_b[None, :]).ravel())
-    numbers, back = np.unique(np.concatenate(numbers), return_inverse=True)
-    return numbers, np.bincount(back, np.concatenate(times), len(numbers)).astype(np.int64), int(links.sum())
+        texts.append(np.full(len(times[-1]), text[k]))
+    return np.concatenate(texts), np.concatenate(numbers), np.concatenate(times), links
+
+
+def align(texts: list[str], one: Side, two: Side):
+    """Columns ``n_a, n_b, n_groups, n_links``, digests and links (``text, pair number, links``) of several texts."""
+    import hashlib
+
+    import numpy as np
+    coded = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes, raw = np.array(list(map(len, coded)), np.int64), np.frombuffer(b"".join(coded), np.uint8)
+    a, b = Tokens(one, texts), Tokens(two, texts)
+    good = (sizes > 1) & a.spells(raw, sizes) & b.spells(raw, sizes)
+    a.keep(good)
+    b.keep(good)
+    upto_a, upto_b = groups_of(a, b)
+    text = a.owner()[upto_a - 1]
+    texts_of, numbers, times, links = links_of(a, b, upto_a, upto_b, text)
+    sums = np.stack([a.count, b.count, np.bincount(text, minlength=len(texts)),
+                     np.bincount(text, links, len(texts)).astype(np.int64)], 1)
+    buffer, ends = written(a, b, upto_a, upto_b)
+    last = np.concatenate([[0], ends])[np.cumsum(a.count + b.count)].tolist()
+    view = memoryview(np.ascontiguousarray(buffer))
+    digests = [hashlib.sha256(view[begin:end - 1]).hexdigest() if end > begin else ""
+               for begin, end in zip([0, *last], last)]
+    return sums, digests, (texts_of, numbers, times)
 
 
 _BLOCKS = ("block bigint, is_doc boolean, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
@@ -122,52 +228,43 @@ def _blocks(docs: DataFrame, first: str, second: str) -> DataFrame:
     """Rows of documents (places in the block's list and links of each) and one row per block (its pairs, and how
     many of its documents hold each)."""
     def run(batches):
-        import hashlib
-        import os
-
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        one, two = tokenizer(first), tokenizer(second)
-        sizes_one, sizes_two = list(map(len, one.bytes)), list(map(len, two.bytes))
-        block, rows, lists, held = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def aligned(text, a, b):
-            whole = b" " + text.encode("utf-8", "surrogatepass")
-            if not text or any(b"".join(map(side.bytes.__getitem__, ids)) != whole for side, ids in ((one, a), (two, b))):
-                return (0, 0, 0, 0, ""), (np.zeros(0, np.int64),) * 2
-            upto_a, upto_b = cuts(a, b, sizes_one, sizes_two)
-            numbers, times, links = link_pairs(a, b, upto_a, upto_b)
-            digest = hashlib.sha256(written(a, b, upto_a, upto_b).encode()).hexdigest()
-            return (len(a), len(b), len(upto_a), links, digest), (numbers, times)
+        one, two = Side(first), Side(second)
+        block, rows, found, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def closed():
-            pairs, at, docs_ = np.unique(np.concatenate([n for n, _ in lists]), return_inverse=True, return_counts=True)
-            bounds = np.cumsum([0, *[len(n) for n, _ in lists], 0])
-            total = len(rows)
-            ids, a, b, groups, links, digests = zip(*rows)
+            """The block's rows: pairs are numbered, then the links of each document's pairs added up."""
+            text, number, times = (np.concatenate(column) for column in zip(*(links for _, links in found)))
+            pairs, place = np.unique(number, return_inverse=True)
+            width, total = max(1, len(pairs)), len(rows)
+            key, back = np.unique(text * width + place, return_inverse=True)
+            times = np.bincount(back, times, len(key)).astype(np.int64)
+            at, doc = key % width, key // width
+            holding = np.bincount(at, minlength=len(pairs))
+            bounds = np.concatenate([np.searchsorted(doc, np.arange(total)), [len(key)] * 2])
+            sums = np.concatenate([s for s, _ in found])
+            ids, digests = zip(*rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array([block] * (total + 1), pa.int64()), pa.array([True] * total + [False]),
-                 pa.array([*ids, None], pa.int64()), *[pa.array([*c, None], pa.int64()) for c in (a, b, groups, links)],
+                 pa.array([*ids, None], pa.int64()), *[pa.array([*c.tolist(), None], pa.int64()) for c in sums.T],
                  pa.array([*digests, None], pa.string()),
                  pa.ListArray.from_arrays(pa.array([0] * (total + 1) + [len(pairs)], pa.int32()), pa.array(pairs)),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at.astype(np.int32))),
-                 pa.ListArray.from_arrays(pa.array([*bounds[:-1], bounds[-1] + len(docs_)], pa.int32()),
-                                          pa.array(np.concatenate([*[t for _, t in lists], docs_])))],
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at, pa.int32())),
+                 pa.ListArray.from_arrays(pa.array([*bounds[:-1], len(key) + len(pairs)], pa.int32()),
+                                          pa.array(np.concatenate([times, holding])))],
                 names=[f.split()[0] for f in _BLOCKS.split(", ")])
 
         for batch in batches:
-            for start, texts in text_slices(batch.column(1), CALL_BYTES):
-                ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                for number, text, a, b in zip(ids, texts, one.encode(texts), two.encode(texts)):
-                    row, found = aligned(text, a, b)
-                    rows.append((number, *row))
-                    lists.append(found)
-                    held += len(text)
-                    if held >= BLOCK_BYTES:
-                        yield closed()
-                        block, rows, lists, held = block + 1, [], [], 0
+            for start, texts in text_slices(batch.column(1), SLICE_BYTES):
+                sums, digests, (text, number, times) = align(texts, one, two)
+                found.append((sums, (text + len(rows), number, times)))
+                rows += zip(batch.column(0).slice(start, len(texts)).to_pylist(), digests)
+                held += sum(map(len, texts))
+                if held >= BLOCK_CHARS:
+                    yield closed()
+                    block, rows, found, held = block + 1, [], [], 0
         if rows:
             yield closed()
 

@@ -15,6 +15,8 @@ from test_jaccard import families
 
 ODD = [(None, "a b <|endoftext|> c▁d"), (7001, None), (7002, ""), (7003, "<|endoftext|> x"), (7006, "  "),
        (7004, "  two  spaces \n\t日本語 emoji 😀 \x00 end "), (7004, "ß" * 9000), (7005, " ".join(map(str, range(40000)))),
+       (7007, "it's 's x's  y\u00a0 z\u2003w \u00ad é 'll \n a\nb \t\tc 12 3.4, <a b> …  "), (7008, "é " * 3000 + " "), (7009, " x"),
+       (7010, "x y\n"), (7011, "x y\n x  y"), (7012, "▁"), (7013, "x ▁ y"), (7014, "x y ▁x"), (7015, "▁x"), (7016, "x ▁x y"),
        (7006, "the same words"), (7006, "the same words")]
 
 
@@ -30,7 +32,7 @@ def brute_alignment(rows):
     held, found = Counter(), []
     for number, text in rows:
         text = text or ""
-        a, b, whole = a_side.encode([text])[0], b_side.encode([text])[0], (" " + text).encode()
+        a, b, whole = a_side.model.encode(" " + text, add_special_tokens=False).ids, b_side.model.encode(text), (" " + text).encode()
         sides = [[side.bytes[i] for i in ids] for side, ids in ((a_side, a), (b_side, b))]
         if not text or any(b"".join(parts) != whole for parts in sides):
             found.append((number, 0, 0, 0, Counter(), ""))
@@ -61,9 +63,10 @@ def brute_alignment(rows):
              sum(n * held[pair] for pair, n in links.items()), digest) for d, a, b, g, links, digest in found]
 
 
-@pytest.mark.parametrize("block,small", [(alignment.BLOCK_BYTES, alignment.SMALL_SLICE), (20_000, 2)])
+@pytest.mark.parametrize("block,small", [(alignment.BLOCK_CHARS, alignment.SMALL_SLICE), (20_000, 2)])
 def test_alignment(spark, docs, monkeypatch, block, small):
-    monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
+    monkeypatch.setattr(alignment, "BLOCK_CHARS", block)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", min(block, alignment.SLICE_BYTES))
     monkeypatch.setattr(alignment, "SMALL_SLICE", small)
     rows, table = docs
     got = sorted(map(tuple, alignment.aligned_tokens(table).collect()), key=str)
