@@ -7,7 +7,8 @@
    rarest ones, one more than a single edit can change, are posted. Words one edit apart share one of them, by text
    and, up to the edit's shift, by place. The edit lies right or left of the shared gram, so what stands on its other
    side is equal as well: a list is filed under the gram, its place and the text on one side, which keeps it short.
-4. Lists are merged by a join whose condition verifies the pair.
+4. Lists are merged by a join whose condition verifies the pair: first the sets of their letters, as bits, which one
+   edit changes by two at most, then the words themselves.
 """
 from __future__ import annotations
 
@@ -89,16 +90,17 @@ def frequent_grams(words: DataFrame, longest: int = LONGEST, share: float = SHAR
 
 
 def _postings(words: DataFrame, frequent, longest: int) -> DataFrame:
-    """``list, longer, word, n``: where a word stands as one of equal length and where as the longer one of a pair."""
+    """``list, longer, word, n, letters``: where a word stands as one of equal length and where as the longer one of a pair."""
     def run(batches):
         import pyarrow as pa
         dictionaries = {q: GramDictionary(frequent.value, q) for q in range(3, longest + 1)}
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                at, lists, longer = [], [], []
+                at, lists, longer, letters = [], [], [], []
                 for k, word in enumerate(part.column(0).to_pylist()):
                     marked, length = f"{MARK}{word}{MARK}", len(word)
+                    letters.append(sum(1 << k for k in {ord(c) % 63 for c in word}))
                     for more in (0, 1) if length > LEAST_LENGTH else (0,):
                         grams = dictionaries[longest_gram(length - more, longest)].rarest(marked)
                         for place, gram in grams:
@@ -108,12 +110,15 @@ def _postings(words: DataFrame, frequent, longest: int) -> DataFrame:
                             lists.append(f"{length - more}>{place - more}>{marked[place:]}")
                         at += [k] * (2 * len(grams))
                         longer += [more == 1] * (2 * len(grams))
+                at = pa.array(at, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists, pa.string()), pa.array(longer, pa.bool_()), part.column(0).take(pa.array(at, pa.int32())),
-                     part.column(1).take(pa.array(at, pa.int32()))], names=["list", "longer", "word", "n"])
+                    [pa.array(lists, pa.string()), pa.array(longer, pa.bool_()), part.column(0).take(at),
+                     part.column(1).take(at), pa.array(letters, pa.int64()).take(at)],
+                    names=["list", "longer", "word", "n", "letters"])
 
-    return words.select("word", "n").mapInArrow(run, "list string, longer boolean, word string, n bigint").select(
-        F.xxhash64("list").alias("list"), "longer", "word", "n")
+    schema = "list string, longer boolean, word string, n bigint, letters bigint"
+    return words.select("word", "n").mapInArrow(run, schema).select(
+        F.xxhash64("list").alias("list"), "longer", "word", "n", "letters")
 
 
 def near_words(words: DataFrame, longest: int = LONGEST, share: float = SHARE, least: int = LEAST_FREQUENT) -> DataFrame:
@@ -121,8 +126,10 @@ def near_words(words: DataFrame, longest: int = LONGEST, share: float = SHARE, l
     with the mark) that one inserted, deleted or replaced code point tells apart; each once."""
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words, longest, share, least))
     posted = stored(_postings(words, frequent, longest))
-    other = posted.select("list", "longer", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    verified = F.levenshtein("word", "near", 1) == 1
+    other = posted.select("list", "longer", F.col("word").alias("near"), F.col("n").alias("near_n"),
+                          F.col("letters").alias("near_letters"))
+    verified = ((F.bit_count(F.col("letters").bitwiseXOR(F.col("near_letters"))) <= 2)
+                & (F.levenshtein("word", "near", 1) == 1))
     pairs = (posted.filter("not longer").drop("longer").join(other, "list")
              .filter((F.col("longer") | (F.col("word") < F.col("near"))) & verified)
              .select("word", "n", "near", "near_n"))
