@@ -98,8 +98,8 @@ def strictly_inside(rings: Column, x: Column, y: Column) -> Column:
     return ~on_border(rings, x, y) & crosses_odd(rings, x, y)
 
 
-def segment_cuts(rings: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Sorted positions (0..1) at which segment a->b meets the edges of ``rings``, with 0 and 1."""
+def cut_positions(ax, ay, bx, by, cx, cy, ex, ey) -> Column:
+    """Positions (0..1) on a->b where it meets c-e: one, or the ends of a common piece on one carrier."""
     dx, dy = bx - ax, by - ay
 
     def position(px, py):
@@ -107,20 +107,21 @@ def segment_cuts(rings: Column, ax: Column, ay: Column, bx: Column, by: Column)
         return F.when(F.abs(dx) >= F.abs(dy), F.try_divide(px - ax, dx)).otherwise(
             F.try_divide(py - ay, dy))
 
-    def cuts(s: Column) -> Column:
-        cx, cy, ex, ey = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
-        cross = dx * (ey - cy) - dy * (ex - cx)
-        t = F.try_divide((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx), cross)
-        u = F.try_divide((cx - ax) * dy - (cy - ay) * dx, cross)
-        single = F.when(t.between(0, 1) & u.between(0, 1), F.array(t))
-        parallel = F.filter(
-            F.array(F.when(on_segment(ax, ay, bx, by, cx, cy), position(cx, cy)),
-                    F.when(on_segment(ax, ay, bx, by, ex, ey), position(ex, ey))),
-            lambda v: v.isNotNull())
-        return F.coalesce(F.when(cross == 0, parallel).otherwise(single),
-                          F.array().cast("array<double>"))
-
-    inner = F.flatten(F.transform(flat_segments(rings), cuts))
+    cross = dx * (ey - cy) - dy * (ex - cx)
+    t = F.try_divide((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx), cross)
+    u = F.try_divide((cx - ax) * dy - (cy - ay) * dx, cross)
+    single = F.when(t.between(0, 1) & u.between(0, 1), F.array(t))
+    parallel = F.filter(
+        F.array(F.when(on_segment(ax, ay, bx, by, cx, cy), position(cx, cy)),
+                F.when(on_segment(ax, ay, bx, by, ex, ey), position(ex, ey))),
+        lambda v: v.isNotNull())
+    return F.coalesce(F.when(cross == 0, parallel).otherwise(single), F.array().cast("array<double>"))
+
+
+def segment_cuts(rings: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Sorted positions (0..1) at which segment a->b meets the edges of ``rings``, with 0 and 1."""
+    inner = F.flatten(F.transform(flat_segments(rings), lambda s: cut_positions(
+        ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
     return F.array_sort(F.array_distinct(
         F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
 

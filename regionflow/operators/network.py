@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from regionflow.errors import DataError
 from regionflow.functions import geometry as geo
 from regionflow.operators import graph
-from regionflow.operators.spatial import box_join, with_box
+from regionflow.operators.coverage import polygons_containing, ring_edges
 from regionflow.operators.streets import SOURCE_ID, segments
 from regionflow.scale import attach, cut_lineage, with_totals
 
@@ -19,17 +19,14 @@ c = F.col
 def polygon_matches(streets: DataFrame, polygons: DataFrame, street_id: str, region_id: str) -> DataFrame:
     """Pairs ``street_id, region_id`` where the polygon contains the whole street.
 
-    A contained street has its first vertex in the polygon's box, so each street is searched from
-    that one vertex only.
+    Streets and polygon borders are cut where they meet; a street is contained by the polygons that cover all its
+    pieces (see :mod:`regionflow.operators.coverage`), not by one on whose border it merely lies.
     """
-    start = F.element_at(F.element_at("parts", 1), 1)
-    lines = streets.filter(c("parts").isNotNull()).select(
-        c(street_id).alias("_street"), c("parts").alias("_parts"), start.alias("_p"))
-    lines = with_box(lines, "_l", c("_p.x"), c("_p.y"), c("_p.x"), c("_p.y"))
-    areas = polygons.select(c(region_id).alias("_region"), c("rings").alias("_rings"),
-                            geo.bounds(c("rings")).alias("_b"))
-    areas = with_box(areas, "_r", c("_b.x0"), c("_b.y0"), c("_b.x1"), c("_b.y1")).drop("_b")
-    pairs = box_join(lines.drop("_p"), areas, geo.contains_line(c("_rings"), c("_parts")))
+    lines = cut_lineage(streets.select(c(street_id).alias("_street"), F.posexplode(geo.flat_segments(c("parts"))).alias("n", "_s"))
+                        .select("_street", "n", "_s.a.x", "_s.a.y", "_s.b").toDF("_street", "n", "ax", "ay", "_b")
+                        .select("_street", "n", "ax", "ay", c("_b.x").alias("bx"), c("_b.y").alias("by")))
+    edges = cut_lineage(ring_edges(polygons.select(c(region_id).alias("_region"), "rings"), "_region"))
+    pairs = polygons_containing(lines, edges, "_street", "_region")
     return pairs.select(c("_street").alias(street_id), c("_region").alias("region_id"))
 
 

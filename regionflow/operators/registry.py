@@ -16,6 +16,7 @@ from regionflow.errors import DataError, NoDatasetError
 from regionflow.functions import geometry as geo
 from regionflow.functions.projection import transform_parts
 from regionflow.functions.units import convert_unit
+from regionflow.operators.coverage import covered_points, identified, polygons_meeting, ring_edges
 from regionflow.operators.network import edge_nodes, region_edges
 from regionflow.operators.spatial import box_join, with_box
 from regionflow.operators.streets import SOURCE_ID, SOURCE_SHARE, convex_hull, dissolved_rings
@@ -54,12 +55,12 @@ def scope_covers(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """Points (``x, y`` + any columns) with every scoped ``dataset_id`` covering them, border included.
 
     ``scopes``: one dissolved polygon per dataset, ``dataset_id, rings``. Datasets without a
-    scope are valid everywhere and have no row here.
+    scope are valid everywhere and have no row here. The
+    scopes' edges are rows of a grid (see :mod:`regionflow.operators.coverage`); no scope is held as one value.
     """
-    left = with_box(points, "_l", c("x"), c("y"), c("x"), c("y"))
-    right = with_box(scopes.select("dataset_id", c("rings").alias("_rings"), geo.bounds(c("rings")).alias("_b")),
-                     "_r", c("_b.x0"), c("_b.y0"), c("_b.x1"), c("_b.y1")).drop("_b")
-    return box_join(left, right, geo.covers_point(c("_rings"), c("x"), c("y"))).drop("_rings")
+    numbered = identified(points)
+    edges = cut_lineage(ring_edges(scopes, "dataset_id"))
+    return covered_points(numbered, edges, "dataset_id").join(numbered, "_pid").select(*points.columns, "dataset_id")
 
 
 def region_coverage(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -178,11 +179,9 @@ def fetch_in_region(features: DataFrame, hulls: DataFrame) -> DataFrame:
 
     Payload without a ``rings`` column is not spatial: regions do not narrow it, see :class:`TableDataset`.
     """
-    left = with_box(features.withColumn("_b", geo.bounds(c("rings"))), "_l",
-                    c("_b.x0"), c("_b.y0"), c("_b.x1"), c("_b.y1")).drop("_b")
-    right = with_box(hulls.select("region_id", c("rings").alias("_hull"), geo.bounds(c("rings")).alias("_b")),
-                     "_r", c("_b.x0"), c("_b.y0"), c("_b.x1"), c("_b.y1")).drop("_b")
-    return box_join(left, right, geo.polygons_meet(c("rings"), c("_hull"))).drop("_hull")
+    numbered = identified(features, "_fid")
+    pairs = polygons_meeting(numbered, hulls, "_fid", "region_id")
+    return numbered.join(pairs, "_fid").drop("_fid")
 
 
 def category_shares(cells: DataFrame, categories: list[str], mapping: dict[str, str | None] | None = None
