@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionflow.scale import attach, cut_lineage
+from regionflow.scale import attach, cut_lineage, running, with_totals
 
 c = F.col
 
@@ -105,20 +105,44 @@ def spanning_tree(connections: DataFrame) -> DataFrame:
 
 
 def root_tree(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, parent, depth, root`` by breadth-first rounds from ``root`` rows (column ``node``)."""
-    links = cut_lineage(_both_ways(tree.select(c("a").alias("u"), c("b").alias("v"))))
-    front = cut_lineage(roots.select("node", F.lit(None).cast(roots.schema["node"].dataType).alias("parent"),
-                                     F.lit(0).alias("depth"), c("node").alias("root")))
-    rooted = front
+    """``node, parent, depth, root`` of the trees ``a, b`` that hold a row of ``roots`` (column ``node``).
+
+    An Euler tour: each link is walked both ways, and after the way into a node comes the way to the neighbour that
+    follows in the node's sorted circle of neighbours. The tour of a rooted tree is cut where it would start again at
+    the root; its ways are ranked by pointer doubling. The earlier way over a link leads down, and the depth is the
+    running sum of ways down and up. Rounds are logarithmic in the size of a tree, also where it is one long path.
+    Every tree needs one root at most; trees without one are left out.
+    """
+    ways = _both_ways(tree.select(c("a").alias("u"), c("b").alias("v"))).filter(c("a") != c("b")).distinct()
+    around = with_totals(running(cut_lineage(ways), ["a"], ["b"], following={"_after": "b"}), ["a"], _first=F.min("b"))
+    starts = roots.select("node").distinct()
+    # The row of node a and neighbour b says what follows the way from b into a.
+    ends_here = c("_after").isNull() & c("_root").isNotNull()
+    tour = around.join(starts.select(c("node").alias("a"), F.lit(True).alias("_root")), "a", "left").select(
+        c("b").alias("u"), c("a").alias("v"), F.when(~ends_here, c("a")).alias("pu"),
+        F.when(~ends_here, F.coalesce("_after", "_first")).alias("pv"),
+        F.when(ends_here, c("a")).alias("root"), F.when(ends_here, 0).otherwise(1).cast("long").alias("left"))
+    tour, ranked = cut_lineage(tour), -1
     while True:
-        front = cut_lineage(
-            front.join(links, front["node"] == links["a"])
-            .filter(c("parent").isNull() | (c("b") != c("parent")))
-            .select(c("b").alias("node"), c("a").alias("parent"),
-                    (c("depth") + 1).alias("depth"), "root"))
-        if front.isEmpty():
-            return rooted
-        rooted = rooted.unionByName(front)
+        done = tour.filter(c("pu").isNull()).count()
+        if done == ranked:  # each round ranks more ways of every rooted tour, so only unrooted ones are left
+            break
+        ranked = done
+        further = tour.select(c("u").alias("pu"), c("v").alias("pv"), c("pu").alias("_pu"), c("pv").alias("_pv"),
+                              c("root").alias("_root"), c("left").alias("_left"))
+        step = tour.filter(c("pu").isNotNull()).join(further, ["pu", "pv"]).select(
+            "u", "v", c("_pu").alias("pu"), c("_pv").alias("pv"), c("_root").alias("root"),
+            (c("left") + c("_left")).alias("left"))
+        tour = cut_lineage(tour.filter(c("pu").isNull()).unionByName(step))
+    ranks = tour.filter(c("root").isNotNull()).select("root", "u", "v", (-c("left")).alias("at"))
+    back = ranks.select(c("u").alias("v"), c("v").alias("u"), c("at").alias("_back"))
+    walked = ranks.join(back, ["u", "v"]).withColumn("_down", c("at") < c("_back"))
+    walked = running(cut_lineage(walked.withColumn("_step", F.when(c("_down"), 1).otherwise(-1))), ["root"], ["at"],
+                     sums={"_depth": "_step"})
+    kind = roots.schema["node"].dataType
+    return (starts.select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), c("node").alias("root"))
+            .unionByName(walked.filter("_down").select(c("v").alias("node"), c("u").alias("parent"),
+                                                       c("_depth").cast("int").alias("depth"), "root")))
 
 
 def propagate_capacity(rooted: DataFrame, capacity: DataFrame, grid_efficiency: float,
@@ -186,14 +210,21 @@ def shortest_from_groups(edges: DataFrame, sources: DataFrame, max_length: float
 def walk_back(ends: DataFrame, best: DataFrame) -> DataFrame:
     """Nodes of the shortest paths that end at ``ends`` (``source, target, node``).
 
-    Rows ``source, target, back, node``; ``back`` counts from the end of the path.
+    Rows ``source, target, back, node``; ``back`` counts from the end of the path. Jump pointers lead 1, 2, 4, ...
+    nodes back; a path is unrolled by its longest jumps first, each round from all nodes found so far, so every node
+    is found once, by the binary digits of its ``back``. Rounds are logarithmic in the longest path.
     """
-    steps = best.filter(c("pred").isNotNull()).select("source", "node", "pred")
-    current = cut_lineage(ends.select("source", "target", F.lit(0).alias("back"), "node"))
-    rows = current
-    while True:
-        current = cut_lineage(current.join(steps, ["source", "node"]).select(
-            "source", "target", (c("back") + 1).alias("back"), c("pred").alias("node")))
-        if current.isEmpty():
-            return rows
-        rows = rows.unionByName(current)
+    sources = ends.select("source").distinct()
+    jump = cut_lineage(best.filter(c("pred").isNotNull()).join(sources, "source", "left_semi")
+                       .select("source", "node", c("pred").alias("to")))
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        further = jump.select("source", c("node").alias("to"), c("to").alias("_next"))
+        jump = cut_lineage(jump.join(further, ["source", "to"]).select("source", "node", c("_next").alias("to")))
+    rows = cut_lineage(ends.select("source", "target", F.lit(0).alias("back"), "node"))
+    for power in reversed(range(len(jumps))):
+        found = rows.join(jumps[power], ["source", "node"]).select(
+            "source", "target", (c("back") + (1 << power)).alias("back"), c("to").alias("node"))
+        rows = cut_lineage(rows.unionByName(found))
+    return rows

@@ -88,3 +88,53 @@ def test_capacity_equals_the_recursion(spark):
     def grid(x):
         return capacity[x] * 1.3 + sum(grid(y) / 0.9 / 0.8 for y, p in parent.items() if p == x)
     assert found == pytest.approx({x: grid(x) for x in range(n)})
+
+
+@pytest.fixture
+def cuts(monkeypatch):
+    """How often a loop has cut its lineage."""
+    made, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: made.append(1) or cut(df))
+    return made
+
+
+def test_rooted_trees(spark):
+    rng = random.Random(6)
+    links = [(f"n{rng.randrange(k):03d}", f"n{k:03d}") for k in range(1, 120)] + [("x1", "x2"), ("x2", "x3"), ("y1", "y2")]
+    links = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in links]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    want = {}
+    for root in ("n017", "x2", "alone"):  # y has no root
+        todo = [(root, None, 0)]
+        for node, parent, depth in todo:
+            want[node] = (parent, depth, root)
+            todo += [(other, node, depth + 1) for other in near.get(node, []) if other != parent]
+    tree = spark.createDataFrame(links, "a string, b string")
+    got = graph.root_tree(tree, spark.createDataFrame([("n017",), ("x2",), ("alone",)], "node string")).collect()
+    assert {r.node: (r.parent, r.depth, r.root) for r in got} == want and len(got) == len(want)
+    assert graph.root_tree(tree.limit(0), spark.createDataFrame([("n017",)], "node string")).count() == 1
+
+
+def test_long_path_is_rooted_in_few_rounds(spark, cuts):
+    n = 10_000
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    tree = spark.createDataFrame(list(zip(order, order[1:])), "a int, b int")
+    got = {r.node: (r.parent, r.depth) for r in graph.root_tree(tree, spark.createDataFrame([(order[0],)], "node int")).collect()}
+    assert got == {v: (order[k - 1] if k else None, k) for k, v in enumerate(order)}
+    assert len(cuts) < 22
+
+
+def test_long_path_is_unrolled_in_few_rounds(spark, cuts):
+    n = 10_000
+    best = spark.createDataFrame([(s, k, None if k == 0 else k - 1) for s in (1, 2) for k in range(n)],
+                                 "source int, node int, pred int")
+    ends = spark.createDataFrame([(1, 7, n - 1), (2, 8, 4097), (2, 9, 0)], "source int, target int, node int")
+    rows = graph.walk_back(ends, best)
+    for target, last in ((7, n - 1), (8, 4097), (9, 0)):
+        got = rows.filter(F.col("target") == target).orderBy("back").select("back", "node").collect()
+        assert [tuple(r) for r in got] == [(k, last - k) for k in range(last + 1)]
+    assert len(cuts) < 34
