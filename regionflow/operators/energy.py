@@ -249,15 +249,23 @@ def street_constraint(types: DataFrame, edges: DataFrame) -> DataFrame:
     return present.join(bound, "source_street_id").select("technology", "region_id").distinct()
 
 
-def place_central(locations: DataFrame, types: DataFrame, allowed: DataFrame) -> DataFrame:
+def place_central(locations: DataFrame, types: DataFrame, allowed: DataFrame,
+                  profiles: DataFrame | None = None) -> DataFrame:
     """Central technologies (and CHPs) in every listed region: ``commodity, region_id`` joined to
-    the types; ``allowed`` comes from :func:`street_constraint`."""
+    the types; ``allowed`` comes from :func:`street_constraint`. An instance has its type's profile names unless
+    ``profiles`` (``technology, region_id, availability_profile, output_profile``) names others for it."""
     rows = locations.select("commodity", "region_id").distinct().join(
         of_kind(types, "central").withColumn("commodity", c("commodity_out")), "commodity")
     free = rows.filter(F.coalesce(F.size("streets"), F.lit(0)) <= 0)
     bound = rows.filter(F.size("streets") > 0).join(
         allowed.withColumnRenamed("technology", "name"), ["name", "region_id"], "left_semi")
-    return free.unionByName(bound).select("kind", "name", "ord", "region_id", *_TYPE_FIELDS)
+    placed = free.unionByName(bound).select("kind", "name", "ord", "region_id", *_TYPE_FIELDS)
+    if profiles is None:
+        return placed
+    names = ["availability_profile", "output_profile"]
+    own = profiles.select(c("technology").alias("name"), "region_id", *[c(n).alias(f"_{n}") for n in names])
+    return placed.join(own, ["name", "region_id"], "left").select(
+        "kind", "name", "ord", "region_id", *[F.coalesce(f"_{n}", n).alias(n) if n in names else c(n) for n in _TYPE_FIELDS])
 
 
 def distribute_capacity(placed: DataFrame, sources: DataFrame, shares: DataFrame, strict: bool = True) -> DataFrame:

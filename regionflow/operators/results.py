@@ -264,17 +264,20 @@ def grid_overview(grid_name: str, types: DataFrame, assets: DataFrame, demands:
 
 
 def pipe_status(pipes: DataFrame, results: DataFrame, year: int, metric: str = "capacity") -> DataFrame:
-    """Active directed pipes with their value; inactive pairs once: ``region_in, region_out, active, value``."""
-    column = GRID_METRICS[metric]
+    """Active directed pipes with their value; inactive pairs once: ``region_in, region_out, active, value``.
+
+    If ``pipes`` has a column ``technology``, each type's pipes are judged by that type's results and the column is kept.
+    """
+    column, own = GRID_METRICS[metric], [n for n in pipes.columns if n == "technology"]
     live = active_rows(slice_results(results, year), column).select(
-        c("region_id_from").alias("region_in"), c("region_id_to").alias("region_out"), c(column).alias("value"))
-    known = pipes.select("region_in", "region_out").distinct()
-    active = known.join(live, ["region_in", "region_out"]).select("region_in", "region_out", F.lit(True).alias("active"), "value")
-    rest = known.join(live, ["region_in", "region_out"], "left_anti")
-    once = rest.select(F.least("region_in", "region_out").alias("region_in"),
+        *own, c("region_id_from").alias("region_in"), c("region_id_to").alias("region_out"), c(column).alias("value"))
+    key = [*own, "region_in", "region_out"]
+    known = pipes.select(key).distinct()
+    active = known.join(live, key).select(*key, F.lit(True).alias("active"), "value")
+    rest = known.join(live, key, "left_anti")
+    once = rest.select(*own, F.least("region_in", "region_out").alias("region_in"),
                        F.greatest("region_in", "region_out").alias("region_out")).distinct()
-    return active.unionByName(once.select("region_in", "region_out", F.lit(False).alias("active"),
-                                          F.lit(None).cast("double").alias("value")))
+    return active.unionByName(once.select(*key, F.lit(False).alias("active"), F.lit(None).cast("double").alias("value")))
 
 
 # --- names with region suffixes ----------------------------------------------------------------------------

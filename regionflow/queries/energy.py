@@ -12,7 +12,7 @@ from regionflow.scale import cut_lineage
 
 c = F.col
 
-_POWER = dict(opex_cost_energy=0.0, opex_cost_power=13.67, capex_cost_power=440.03)
+_POWER = dict(opex_cost_energy=0.0, opex_cost_power=12.5, capex_cost_power=430.75)
 TYPES = [
     dict(kind="decentral", name="boiler", commodity_in="gas", commodity_out="warmth", efficiency=0.9,
          technical_lifetime=20, lifetime_existing=20.0, **_POWER),
@@ -23,10 +23,10 @@ TYPES = [
     dict(kind="decentral", name="pool_heater", commodity_in="power", commodity_out="water", efficiency=1.0,
          technical_lifetime=25, lifetime_existing=25.0, **_POWER),
     dict(kind="central", name="plant", commodity_in="gas", commodity_out="heat_in", efficiency=0.95,
-         technical_lifetime=25, capex_cost_base=200000.0, max_capacity={0: 4180.0, 5: 9000.0},
+         technical_lifetime=25, capex_cost_base=150000.0, max_capacity={0: 4000.0, 5: 9000.0},
          max_capacity_per_unit=500.0, lifetime_existing=25.0, **_POWER),
     dict(kind="central", name="sewage", commodity_in="power", commodity_out="heat_in", efficiency=2.8,
-         technical_lifetime=20, capex_cost_base=80000.0, max_capacity=1418.0, streets=["H7", "H12", "H40"],
+         technical_lifetime=20, capex_cost_base=60000.0, max_capacity=1500.0, streets=["H7", "H12", "H40"],
          availability_profile="flow", lifetime_existing=15.0, **_POWER),
     dict(kind="chp", name="cogen", commodity_in="gas", commodity_out="heat_in", commodity_out_2="power",
          efficiency=0.48, loss=0.11, technical_lifetime=15, capex_cost_base=0.0, lifetime_existing=15.0, **_POWER),
@@ -314,30 +314,33 @@ def street_constraint(spark, folder):
 
 
 def placed(spark, folder):
-    k = c("c_custkey")
-    locations = table(spark, folder, "customer").filter(k % 4 == 0).select(
-        F.lit("heat_in").alias("commodity"), F.floor(k / 4).alias("region_id")).filter(c("region_id") % 3 != 2)
+    """Every region is a location; the plants of every fifth have an availability profile of their own."""
+    region = F.floor(c("c_custkey") / 4)
+    regions = table(spark, folder, "customer").select(region.alias("region_id")).distinct()
     allowed = op.street_constraint(types(spark), _street_edges(spark, folder))
-    return op.place_central(locations, types(spark), allowed)
+    own = regions.filter(c("region_id") % 5 == 0).select(
+        F.lit("plant").alias("technology"), "region_id", F.concat(F.lit("flow_"), c("region_id").cast("string")).alias(
+            "availability_profile"), F.lit(None).cast("string").alias("output_profile"))
+    return op.place_central(regions.select(F.lit("heat_in").alias("commodity"), "region_id"), types(spark), allowed, own)
 
 
 PLACED_SQL = """
-    plc AS (SELECT r.region_id, t.name, t.kind FROM (SELECT DISTINCT c_custkey // 4 AS region_id FROM customer
-                WHERE c_custkey % 4 = 0 AND c_custkey // 4 % 3 <> 2) r,
+    plc AS (SELECT r.region_id, t.name, t.kind, CASE WHEN t.name = 'sewage' THEN 'flow'
+                WHEN t.name = 'plant' AND r.region_id % 5 = 0 THEN 'flow_' || r.region_id END AS availability_profile
+            FROM (SELECT DISTINCT c_custkey // 4 AS region_id FROM customer) r,
             (VALUES ('plant', 'central'), ('sewage', 'central'), ('cogen', 'chp')) t(name, kind)
             WHERE t.name <> 'sewage' OR r.region_id IN (1, 3, 10))"""
 
 
-@query("region_id:i name:s kind:s", f"WITH {PLACED_SQL} SELECT * FROM plc")
+@query("region_id:i name:s kind:s availability_profile:s", f"WITH {PLACED_SQL} SELECT * FROM plc")
 def place_central(spark, folder):
     return placed(spark, folder)
 
 
 def central(spark, folder):
-    k = c("c_custkey")
-    sources = table(spark, folder, "customer").filter((k % 4 == 0) & (F.floor(k / 4) % 3 != 2)).select(
-        F.lit("heat_in").alias("commodity"), F.floor(k / 4).alias("region_id"),
-        (F.greatest(c("c_acctbal"), F.lit(0.0)) / 10).alias("total"))
+    sources = table(spark, folder, "customer").groupBy(
+        F.lit("heat_in").alias("commodity"), F.floor(c("c_custkey") / 4).alias("region_id")).agg(
+        F.sum(F.greatest(c("c_acctbal"), F.lit(0.0)) / 10).alias("total"))
     given = [("heat_in", None, "plant", 0.8), ("heat_in", None, "cogen", 0.2), ("heat_in", 1, "cogen", 1.0),
              ("heat_in", 3, "sewage", 0.5), ("heat_in", 3, "plant", 0.5)]
     shares = config_frame(spark, given, "commodity string, region_id long, technology string, share double")
@@ -346,12 +349,12 @@ def central(spark, folder):
 
 CENTRAL_SQL = f"""
     {PLACED_SQL},
-    cen AS (SELECT region_id, name, kind, CASE
+    cen AS (SELECT region_id, name, kind, availability_profile, total * CASE
                 WHEN region_id = 1 THEN CASE WHEN name = 'cogen' THEN 1.0 ELSE 0 END
                 WHEN region_id = 3 THEN CASE WHEN name IN ('sewage', 'plant') THEN 0.5 ELSE 0 END
-                WHEN name = 'plant' THEN 0.8 WHEN name = 'cogen' THEN 0.2 ELSE 0 END
-                * (SELECT CASE WHEN c_acctbal > 0 THEN c_acctbal / 10 ELSE 0 END FROM customer WHERE c_custkey = region_id * 4)
-                AS existing_capacity FROM plc)"""
+                WHEN name = 'plant' THEN 0.8 WHEN name = 'cogen' THEN 0.2 ELSE 0 END AS existing_capacity
+            FROM plc JOIN (SELECT c_custkey // 4 AS region_id, sum(CASE WHEN c_acctbal > 0 THEN c_acctbal / 10 ELSE 0 END) AS total
+                           FROM customer GROUP BY 1) USING (region_id))"""
 
 
 @query("region_id:i name:s existing_capacity:d4", f"WITH {CENTRAL_SQL} SELECT * FROM cen")
@@ -421,7 +424,7 @@ def capacity_trajectory(spark, folder):
     SELECT kind, name, region_id, 2025 AS year, existing_capacity AS value FROM ast
     UNION ALL SELECT kind, name, region_id, y, v FROM ast JOIN (VALUES
         ('boiler', 2026, NULL), ('pump', 2026, NULL), ('exchanger', 2026, NULL), ('pool_heater', 2026, NULL),
-        ('heat_grid', 2026, NULL), ('plant', 2026, 4180.0), ('plant', 2030, 9000.0), ('sewage', 2026, 1418.0),
+        ('heat_grid', 2026, NULL), ('plant', 2026, 4000.0), ('plant', 2030, 9000.0), ('sewage', 2026, 1500.0),
         ('cogen', 2026, NULL)) m(name, y, v) USING (name)""")
 def max_capacity_trajectory(spark, folder):
     rows = op.max_capacity_trajectory(all_assets(spark, folder), 2025)
@@ -430,7 +433,7 @@ def max_capacity_trajectory(spark, folder):
 
 @query("name:s region_id:i existing_capacity:d4", f"""
     WITH {CENTRAL_SQL} SELECT name, region_id, existing_capacity * 9 AS existing_capacity FROM cen
-    WHERE (name = 'plant' AND existing_capacity * 9 > 4180) OR (name = 'sewage' AND existing_capacity * 9 > 1418)""")
+    WHERE (name = 'plant' AND existing_capacity * 9 > 4000) OR (name = 'sewage' AND existing_capacity * 9 > 1500)""")
 def existing_within_max(spark, folder):
     rows = central(spark, folder).withColumn("existing_capacity", c("existing_capacity") * 9)
     return op.existing_within_max(rows)

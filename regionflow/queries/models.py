@@ -141,8 +141,8 @@ def demand_rows(spark, folder):
     WITH {en.DECENTRAL_SQL},
     firsts AS (SELECT demand, series, min(region_id) AS first FROM dem GROUP BY 1, 2)
     SELECT name || '_D' || region_id AS conversion_process_name, {scope_sql('commodity_in', 'region_id')} AS commodity_in,
-           {scope_sql('commodity_out', 'region_id')} AS commodity_out, efficiency, '13.67' AS opex_cost_power,
-           '440.03' AS capex_cost_power, {_OPEN('existing_capacity')} AS cap_max,
+           {scope_sql('commodity_out', 'region_id')} AS commodity_out, efficiency, '12.5' AS opex_cost_power,
+           '430.75' AS capex_cost_power, {_OPEN('existing_capacity')} AS cap_max,
            CASE WHEN existing_capacity <> 0 THEN '[2025 ' || {number_sql('existing_capacity * 0.001')} || ';' || CAST(2025 + lifetime AS INT) || ' 0]' END AS cap_res_max,
            CASE WHEN series IS NOT NULL THEN demand || '_' || first END AS output_profile
     FROM dec LEFT JOIN firsts USING (demand, series)""")
@@ -164,10 +164,10 @@ def grid_rows(spark, folder):
     WITH {en.CENTRAL_SQL}
     SELECT name || '_D' || region_id AS conversion_process_name, CASE name WHEN 'plant' THEN 'gas' ELSE 'power' END AS commodity_in,
            'heat_in_D' || region_id AS commodity_out, CASE name WHEN 'plant' THEN 0.95 ELSE 2.8 END AS efficiency,
-           CASE name WHEN 'plant' THEN '200.0' ELSE '80.0' END AS capex_cost_base, CASE name WHEN 'plant' THEN 0.5 END AS cap_max_unit,
-           '[2025 ' || {number_sql('existing_capacity * 0.001')} || CASE name WHEN 'plant' THEN ';2026 4.18;2030 9]' ELSE ';2026 1.418]' END AS cap_max,
+           CASE name WHEN 'plant' THEN '150.0' ELSE '60.0' END AS capex_cost_base, CASE name WHEN 'plant' THEN 0.5 END AS cap_max_unit,
+           '[2025 ' || {number_sql('existing_capacity * 0.001')} || CASE name WHEN 'plant' THEN ';2026 4;2030 9]' ELSE ';2026 1.5]' END AS cap_max,
            CASE name WHEN 'plant' THEN {_KEPT('existing_capacity', 25)} ELSE {_KEPT('existing_capacity', 15)} END AS cap_res_min,
-           CASE name WHEN 'sewage' THEN 'flow' END AS availability_profile
+           availability_profile
     FROM cen WHERE kind = 'central'""")
 def central_rows(spark, folder):
     return _table(spark, folder, "central")

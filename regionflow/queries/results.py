@@ -322,18 +322,19 @@ def grid_overview(spark, folder):
     return found.withColumns({n: text(n) for n in ("demands", "central", "grid_fed")})
 
 
-@query("region_in:i region_out:i active:b value:d2", f"""
-    WITH {_OUT}, p AS (SELECT DISTINCT region, region + 1 AS nxt FROM out WHERE kind = 'pipe'),
-    live AS (SELECT region, cap_active AS v FROM out WHERE kind = 'pipe' AND brand = 'Brand#3' AND year = 1996 AND cap_active > 20)
-    SELECT region AS region_in, nxt AS region_out, TRUE AS active, v AS value FROM live JOIN p USING (region)
-    UNION ALL SELECT DISTINCT region, nxt, FALSE, NULL FROM p ANTI JOIN live USING (region)
-    UNION ALL SELECT region + 500000, region + 500001, FALSE, NULL FROM p WHERE region % 9 = 0""")
+@query("technology:s region_in:i region_out:i active:b value:d2", f"""
+    WITH {_OUT}, p AS (SELECT DISTINCT brand, region, region + 1 AS nxt FROM out WHERE kind = 'pipe'),
+    live AS (SELECT brand, region, cap_active AS v FROM out WHERE kind = 'pipe' AND year = 1996 AND cap_active > 20)
+    SELECT brand AS technology, region AS region_in, nxt AS region_out, TRUE AS active, v AS value FROM live JOIN p USING (brand, region)
+    UNION ALL SELECT DISTINCT brand, region, nxt, FALSE, NULL FROM p ANTI JOIN live USING (brand, region)
+    UNION ALL SELECT brand, region + 500000, region + 500001, FALSE, NULL FROM p WHERE region % 9 = 0""")
 def pipe_status(spark, folder):
-    """Pipes of one type; the two directions of an unused pair appear once."""
-    known = _pipes(spark, folder).select("region_in", "region_out").distinct()
-    far = known.filter("region_in % 9 = 0").select((c("region_in") + 500000).alias("a"), (c("region_in") + 500001).alias("b"))
-    known = known.union(far).union(far.select("b", "a"))
-    found = op.pipe_results(outputs(spark, folder), _pipes(spark, folder), SCOPED).filter("technology = 'Brand#3'")
+    """Pipes of every type; the two directions of an unused pair appear once."""
+    known = _pipes(spark, folder).select(c("name").alias("technology"), "region_in", "region_out").distinct()
+    far = known.filter("region_in % 9 = 0").select(
+        "technology", (c("region_in") + 500000).alias("a"), (c("region_in") + 500001).alias("b"))
+    known = known.union(far).union(far.select("technology", "b", "a"))
+    found = op.pipe_results(outputs(spark, folder), _pipes(spark, folder), SCOPED)
     found = found.withColumn("capacity", F.when(c("capacity") > 20, c("capacity")).otherwise(0.0))
     return op.pipe_status(known, found, 1996)
 
