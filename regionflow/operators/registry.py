@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from regionflow.errors import DataError, NoDatasetError
 from regionflow.functions import geometry as geo
 from regionflow.functions.projection import transform_parts
-from regionflow.functions.units import convert_unit
+from regionflow.functions.units import conversion_factor, convert_unit
 from regionflow.operators.coverage import covered_points, identified, polygons_meeting, ring_edges
 from regionflow.operators.network import edge_nodes, region_edges
 from regionflow.operators.spatial import box_join, with_box
@@ -167,11 +167,23 @@ def street_value_by_region(edges: DataFrame, values: DataFrame) -> DataFrame:
     for name in (SOURCE_ID, SOURCE_SHARE):
         if name not in edges.columns:
             raise DataError(f"edges carry no '{name}'; build the network first")
-    inside = region_edges(edges)
-    shares = inside.groupBy("region_id", c(SOURCE_ID).alias("street_id")).agg(F.sum(SOURCE_SHARE).alias("_share"))
-    priced = shares.join(values, "street_id", "left")
-    return priced.groupBy("region_id").agg(
-        F.coalesce(F.sum(c("value") * c("_share")), F.lit(0.0)).alias("value"))
+    return _priced(region_edges(edges), values, ["region_id"]).select("region_id", "value")
+
+
+def _priced(edges: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """``by, value`` of edges with a region, by what ``values`` says of a street (and of the dataset, if in ``by``)."""
+    shares = edges.groupBy(*by, c(SOURCE_ID).alias("street_id")).agg(F.sum(SOURCE_SHARE).alias("_share"))
+    priced = shares.join(values, ["street_id", *[n for n in by if n in values.columns]], "left")
+    return priced.groupBy(*by).agg(F.coalesce(F.sum(c("value") * c("_share")), F.lit(0.0)).alias("value"))
+
+
+def street_values_routed(edges: DataFrame, routed: DataFrame, values: DataFrame) -> DataFrame:
+    """``region_id, dataset_id, value``: each region's edges priced by its own dataset, all datasets in one scan.
+
+    ``routed``: ``region_id, dataset_id``; ``values``: ``dataset_id, street_id, value``.
+    """
+    asked = region_edges(edges).join(routed.select("region_id", "dataset_id"), "region_id")
+    return _priced(asked, values, ["region_id", "dataset_id"])
 
 
 def fetch_in_region(features: DataFrame, hulls: DataFrame) -> DataFrame:
@@ -357,19 +369,35 @@ class Registry:
                   unit: str | None = None) -> DataFrame:
         """The answers of the best covering datasets for all regions, in ``unit`` if one is given."""
         scopes = self.scopes()
+        # read by the routing and by every answer
+        regions = Regions(cut_lineage(region_edges(regions.edges)))
         routed = cut_lineage(route(regions.ids, region_coverage(regions.nodes, scopes),
                                    self.catalog(), scopes, key))
-        used = [r.dataset_id for r in routed.select("dataset_id").distinct().collect()]
+        used = sorted(r.dataset_id for r in routed.select("dataset_id").distinct().collect())
+        # Street values of any number of datasets are summed in one scan of the edges.
+        shared = [n for n in used if type(self.datasets[n]).answer is StreetValueDataset.answer]
         answers = []
-        for number in sorted(used):
+        if len(shared) > 1:
+            values = reduce(DataFrame.unionByName, [self.datasets[n].payload.select(
+                F.lit(n).alias("dataset_id"), "street_id", "value") for n in shared])
+            rows = street_values_routed(regions.edges, routed.filter(c("dataset_id").isin(shared)), values)
+            if unit is not None:
+                factors = [F.lit(v) for n in shared for v in (n, self._factor(n, unit))]
+                rows = rows.withColumn("value", c("value") * F.element_at(F.create_map(*factors), c("dataset_id")))
+            answers.append(rows.select("region_id", "value"))
+        for number in used if len(shared) < 2 else [n for n in used if n not in shared]:
             dataset = self.datasets[number]
-            asked = regions.only(routed.filter(c("dataset_id") == number))
-            rows = dataset.answer(asked, dict(params or {}))
+            rows = dataset.answer(regions.only(routed.filter(c("dataset_id") == number)), dict(params or {}))
             if unit is not None:
                 rows = convert_unit(rows, "value", dataset.unit, unit)
             answers.append(rows)
         return reduce(lambda a, b: a.unionByName(b), answers)
 
+    def _factor(self, number: int, unit: str) -> float:
+        if self.datasets[number].unit is None:
+            raise DataError(f"value has no unit, but {unit} is requested")
+        return conversion_factor(self.datasets[number].unit, unit)
+
 
 # --- checks -------------------------------------------------------------------------------------------
 
