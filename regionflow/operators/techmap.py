@@ -13,7 +13,7 @@ from regionflow.functions.units import MODEL_SCALE, model_units
 from regionflow.operators.catalog import YEARS, Scenario, year_values
 from regionflow.operators.energy import (
     capacity_trajectory, demand_by_year, grid_cost, max_capacity_trajectory, rebase_years, require_empty)
-from regionflow.scale import attach, dense_index
+from regionflow.scale import attach, cut_lineage, dense_index, running
 
 c = F.col
 
@@ -205,16 +205,29 @@ def dimension(names: DataFrame, column: str, output: str) -> DataFrame:
 # --- profiles ---------------------------------------------------------------------------------------
 
 def profile_hashes(profiles: DataFrame) -> DataFrame:
-    """``series, profile_hash`` of the normalised values in hour order.
+    """``series, profile_hash`` of the values in hour order, each as a share of the series' sum.
 
-    A series has at most the hours of a year, so it is gathered; the sum runs in hour order, so
-    proportional series give equal values and equal hashes.
+    No series is gathered: a digest adds up two hashes of (position, share) over the rows, so it merges over tasks in any
+    order; the series' sum is added up in decimals, which no order changes. Series with equal digests are compared row by row with the first of them; one that
+    differs after all has its own name as its digest. A NULL value is a share of its own.
     """
-    gathered = profiles.groupBy("series").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("hour", "value"))), lambda e: e["value"]).alias("_v"))
-    total = F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + v)
-    shares = F.transform("_v", lambda v: F.try_divide(v, c("_t")).cast("string"))
-    return gathered.withColumn("_t", total).select("series", F.sha1(F.array_join(shares, " ", "null")).alias("profile_hash"))
+    totals = profiles.groupBy("series").agg(F.coalesce(
+        F.try_sum(c("value").try_cast("decimal(38,20)")).cast("double"), F.sum("value")).alias("_t"))
+    shares = cut_lineage(running(
+        attach(profiles.select("series", "hour", "value"), totals, ["series"], "inner").withColumn(
+            "share", F.coalesce(F.try_divide("value", "_t").cast("string"), F.lit("null"))
+        ).select("series", "hour", "share"), ["series"], ["hour", "share"], number="at"))
+    wide = "decimal(20,0)"
+    sums = [F.sum(F.xxhash64("at", "share", F.lit(k)).cast(wide)).cast("string") for k in (1, 2)]
+    digests = cut_lineage(shares.groupBy("series").agg(F.count(F.lit(1)).alias("_n"), *[s.alias(f"_s{k}") for k, s in enumerate(sums)])
+                          .select("series", F.sha1(F.concat_ws(" ", F.col("_n").cast("string"), "_s0", "_s1")).alias("profile_hash")))
+    # Equal digests: each series against the first with its digest, place by place.
+    first = digests.groupBy("profile_hash").agg(F.min("series").alias("_first"))
+    others = digests.join(first, "profile_hash").filter(c("series") != c("_first")).select("series", "_first")
+    theirs = shares.select(c("series").alias("_first"), "at", c("share").alias("_share"))
+    differing = (attach(shares, others, ["series"], "inner").join(theirs, ["_first", "at"])
+                 .filter(c("share") != c("_share")).select("series").distinct().withColumn("_own", F.sha1("series")))
+    return digests.join(differing, "series", "left").select("series", F.coalesce("_own", "profile_hash").alias("profile_hash"))
 
 
 def profile_names(demands: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Registry, topology, system and model tables end to end on a small town; sources and sinks."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,22 @@ def test_profile_names(spark, tmp_path, demands, names):
     assert {p.name for p in (tmp_path / "p").glob("name=*")} == {f"name={n}" for n in names}
 
 
+def test_profile_digests_tell_series_apart(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [rng.uniform(0, 9) for _ in range(500)]
+    series = {"a": base, "b": list(base), "twice": [2 * v for v in base], "late": [*base[1:], base[0]], "short": base[:-1],
+              "other": [*base[:-1], base[-1] + 1e-9], "null": [None, *base[1:]], "none": [None, None]}
+    rows = [(n, h, v) for n, values in series.items() for h, v in enumerate(values)]
+    rng.shuffle(rows)
+    profiles = spark.createDataFrame(rows, "series string, hour int, value double").repartition(7)
+    found = {r.series: r.profile_hash for r in techmap.profile_hashes(profiles).collect()}
+    assert found["a"] == found["b"] == found["twice"] and len(set(found.values())) == len(series) - 2
+    # with a digest that tells nothing apart but lengths, the comparison row by row still does
+    monkeypatch.setattr(techmap.F, "xxhash64", lambda *columns: F.lit(1))
+    blind = {r.series: r.profile_hash for r in techmap.profile_hashes(profiles).collect()}
+    assert blind["a"] == blind["b"] == blind["twice"] and len(set(blind.values())) == len(series) - 2
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "s.txt").write_text("1 2\n3 x\n")
     assert [(r.series, r.hour, r.value) for r in readers.read_series(spark, str(tmp_path / "s.txt")).orderBy("hour").collect()] \
