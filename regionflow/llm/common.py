@@ -114,12 +114,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
 
-def column_of(docs: DataFrame, name: str) -> Column:
-    """A column of ``numbered(docs)`` by its name in ``docs``; exactly so written if names differ in case only."""
+def place_of(docs: DataFrame, name: str) -> int:
+    """Place of a column; the one exactly so written if names differ in case only."""
     names = docs.columns
-    if name in names:
-        return F.col(f"c{names.index(name)}")
-    return F.col(f"c{[n.lower() for n in names].index(name.lower())}")
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def column_of(docs: DataFrame, name: str) -> Column:
+    """A column of ``numbered(docs)`` by its name in ``docs``."""
+    return F.col(f"c{place_of(docs, name)}")
 
 
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionflow.llm.common import column_of, numbered, stored, text_slices
+from regionflow.llm.common import numbered, place_of, stored, text_slices
 
 #: Bytes of a window.
 WINDOW = 256
@@ -238,23 +238,22 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", lang_
     equal scores the first language in code-point order wins. A column of ``docs`` named like an output column is
     replaced; repeated rows stay; an empty table gives an empty one; a text may be of any length.
     """
-    kept = [f for f in docs.schema.fields if f.name not in (lang_pred, score)]
-    schema = T.StructType([*kept, T.StructField(lang_pred, T.StringType(), False),
-                           T.StructField(score, T.DoubleType(), False)])
-    names = [f.name for f in kept]
+    rows, own = numbered(docs), place_of(docs, text)
+    places = [k for k, name in enumerate(docs.columns) if name not in (lang_pred, score)]
+    schema = T.StructType([*[rows.schema[k] for k in places], T.StructField("lang_pred", T.StringType(), False),
+                           T.StructField("score", T.DoubleType(), False)])
 
     def run(batches):
         import pyarrow as pa
         predict = Predictor(network)
         for batch in batches:
-            places = [batch.schema.get_field_index(name) for name in names]
-            for start, texts in text_slices(batch.column(batch.schema.get_field_index(text))):
+            for start, texts in text_slices(batch.column(own)):
                 langs, scores = predict(texts)
                 columns = [batch.column(k).slice(start, len(texts)) for k in places]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                                 names=[*names, lang_pred, score])
+                                                 names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[k] for k in places], lang_pred, score)
 
 
 def held_out(doc_id):
@@ -266,28 +265,34 @@ def fit_calibrated(docs: DataFrame, text: str = "text", lang: str = "lang") -> t
     """A network as :func:`fit` trains it, and the least score of a text in a language that it knows.
 
     That score lies half way between an even guess and what 99 of 100 snippets reach that were drawn like those of
-    the training but not trained on; without enough of them it is the even guess.
+    the training but not trained on (an eighth of a small sample); with fewer than 50 of them it is the even guess.
     """
     import numpy as np
     sample = training_sample(docs, text, lang, TRAIN_ROWS + CALIBRATION_ROWS).collect()  # bounded like in ``fit``
     if not sample:
         return None, 1.0
-    network = train_network([r["snippet"] for r in sample[:TRAIN_ROWS]], [r["label"] for r in sample[:TRAIN_ROWS]])
-    even, unseen = 1.0 / len(network.languages), sample[TRAIN_ROWS:]
-    if len(unseen) < CALIBRATION_ROWS // 10:
+    held_back = min(CALIBRATION_ROWS, len(sample) // 8)
+    learnt, unseen = sample[:len(sample) - held_back][:TRAIN_ROWS], sample[len(sample) - held_back:]
+    network = train_network([r["snippet"] for r in learnt], [r["label"] for r in learnt])
+    even = 1.0 / len(network.languages)
+    if len(unseen) < 50:
         return network, even
     reached = float(np.quantile(Predictor(network)([r["snippet"] for r in unseen])[1], 0.01))
     return network, even + max(0.0, reached - even) / 2
 
 
-def keep_identified(docs: DataFrame, network: Network | None, least_score: float, text: str = "text") -> DataFrame:
-    """Rows whose language is known with at least ``least_score``, with all their columns, whatever their names.
+def keep_identified(docs: DataFrame, network: Network | None, least_score: float | None = None,
+                    text: str = "text") -> DataFrame:
+    """Rows whose language is known with at least ``least_score`` (by default that of an even guess), with all their
+    columns, whatever their names.
 
     Rows without letters (NULL and empty texts too) go, and all rows if there is no network. Rows are decided where
     they stand; repeated rows stay or go together; an empty table gives an empty one; a text may be of any length.
     """
+    if least_score is None:
+        least_score = 1.0 / len(network.languages) if network else 1.0
     rows = numbered(docs)
-    place = rows.columns.index(rows.select(column_of(docs, text)).columns[0])
+    place = place_of(docs, text)
 
     def run(batches):
         import pyarrow as pa

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from regionflow.llm.common import text_slices, tokenizer_file
+from regionflow.llm.common import numbered, place_of, text_slices, tokenizer_file
 
 #: Chunks that a task keeps at once.
 TABLE_CHUNKS = 250_000
@@ -109,25 +109,26 @@ def encode_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "piece_b
     ``docs`` named like an output column is replaced. Repeated rows stay repeated; an empty table gives an empty one.
     The ids are those of the library for the whole text, at any length; no sampling, no begin id.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ({ids, decoded} if decode else {ids})]
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    rows, own = numbered(docs), place_of(docs, text)
+    places = [k for k, name in enumerate(docs.columns) if name not in ((ids, decoded) if decode else (ids,))]
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
     if decode:
-        added.append(T.StructField(decoded, T.StringType(), False))
-    names = [f.name for f in kept]
+        added.append(T.StructField("decoded", T.StringType(), False))
+    schema = T.StructType([*[rows.schema[k] for k in places], *added])
 
     def run(batches):
         import pyarrow as pa
         table = ChunkTable(tokenizer_file(tokenizer), end)
         for batch in batches:
-            for start, texts in text_slices(batch.column(batch.schema.get_field_index(text)), BLOCK_BYTES):
+            for start, texts in text_slices(batch.column(own), BLOCK_BYTES):
                 flat, bounds = table.encode(texts)
                 cut = batch.slice(start, len(texts))
-                columns = [cut.column(cut.schema.get_field_index(name)) for name in names]
+                columns = [cut.column(k) for k in places]
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())))
                 if decode:
-                    rows = flat.tolist()
-                    lists = [rows[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                    every = flat.tolist()
+                    lists = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                     columns.append(pa.array(table.model.decode(lists, num_threads=1), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in added]])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*kept, *added]))
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[k] for k in places], *((ids, decoded) if decode else (ids,)))
