@@ -41,6 +41,17 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def finished(df: DataFrame) -> DataFrame:
+    """``df`` after the driver has let go of the steps before it, so that their shuffle files are removed now.
+
+    Spark removes them when the driver's garbage collection finds their plans unused, which on a calm driver is late.
+    """
+    import gc
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def whole_text(column: str | Column) -> Column:
     """The text, with NULL as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import (attach_by_digest, column_of, not_null_id, numbered, packed, stored, text_slices, unpacked,
+from regionflow.llm.common import (attach_by_digest, column_of, finished, not_null_id, numbered, packed, stored, text_slices, unpacked,
                                    whole_text)
 from regionflow.llm.shingles import Shingler, set_digest
 from regionflow.llm.url_filter import superset_filter
@@ -119,6 +119,7 @@ def verified(units: DataFrame, source: DataFrame, nodes: DataFrame, width: int,
     units = stored(units)
     wanted = nodes.select("node", "key", "content").join(units, "node")
     passing = superset_filter(wanted.select(F.xxhash64("key", "content").alias("k")).distinct(), "k")
+    finished(units)
     rows = source.filter(passing.contains(F.xxhash64("key", "content"))).join(wanted, ["key", "content"])
 
     def run(batches):
@@ -304,14 +305,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
     tried = (lists.select(F.col("node").alias("node2"), F.col("n").alias("n2"), "token").join(hubs, "token")
              .select(F.col("h.node").alias("node"), F.col("h.n").alias("n"), "node2", "n2")
              .filter((F.col("node") != F.col("node2")) & _fits(percent)).select("node", "node2").distinct())
-    tried = stored(tried.withColumns({"label": F.col("node"), "label2": F.col("node2")}))
-    links = stored(verified(stars(tried), source, first, width, percent))
+    tried = finished(stored(tried.withColumns({"label": F.col("node"), "label2": F.col("node2")})))
+    links = finished(stored(verified(stars(tried), source, first, width, percent)))
     labels = relabelled(first.select("node"), links)
     # Step 2: whatever still differs inside a list, expanded to the members of its groups.
     shown = member.select(F.col("gid").alias("node"), F.col("node").alias("_member"))
     expanded = (lists.join(shown, "node", "left").select(F.coalesce("_member", "node").alias("node"), "n", "token")
                 .unionByName(own_list).distinct())
-    more = stored(verified(residual_units(expanded.join(labels, "node"), percent), source, first, width, percent))
+    more = finished(stored(verified(residual_units(expanded.join(labels, "node"), percent), source, first, width, percent)))
     labels = relabelled(first.select("node"), links.unionByName(more))
     lows = first.select("node", "low", "sig").join(labels, "node")
     found = lows.groupBy("label").agg(F.min("low").alias("component_id"))
