@@ -175,36 +175,119 @@ def propagate_capacity(rooted: DataFrame, capacity: DataFrame, grid_efficiency:
                         (c("grid") / grid_efficiency).alias("inflow"))
 
 
-def shortest_from_groups(edges: DataFrame, sources: DataFrame, max_length: float | None = None) -> DataFrame:
+def contract(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace every chain of nodes with two neighbours by one link; the nodes of ``keep`` (``node``) stay.
+
+    ``edges``: ``u, v, length, owner``; of parallel ones the shortest counts. Returns the links ``u, v, length, owner,
+    chain`` (u < v; ``chain``, the smallest node inside, is NULL for an edge that stays) and the edges of the chains
+    ``u, v, ku, kv, chain``, where ``ku`` and ``kv`` are NULL at the outer ends. Chains that lead back to their start
+    are left out, so are closed rings without a node that stays. Lengths are summed exactly, in any order the same.
+    """
+    plain = cut_lineage(edges.filter(c("u") != c("v")).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                        .agg(F.min(F.struct("length", "owner")).alias("_e")).select("u", "v", "_e.length", "_e.owner"))
+    inner = cut_lineage(_both_ways(plain).groupBy(c("a").alias("node")).count().filter("count = 2").select("node")
+                        .join(keep.select("node").distinct(), "node", "left_anti"))
+    between = (plain.select("u", "v").join(inner.withColumnRenamed("node", "u"), "u", "left_semi")
+               .join(inner.withColumnRenamed("node", "v"), "v", "left_semi"))
+    labels = connected_components(between, inner)
+    filed = cut_lineage(
+        plain.join(labels.select(c("node").alias("u"), c("component").alias("ku")), "u", "left")
+        .join(labels.select(c("node").alias("v"), c("component").alias("kv")), "v", "left")
+        .withColumn("chain", F.coalesce("ku", "kv")))
+    end = F.when(c("ku").isNull(), c("u")).when(c("kv").isNull(), c("v"))
+    chains = (filed.filter(c("chain").isNotNull()).groupBy("chain")
+              .agg(F.min(end).alias("u"), F.max(end).alias("v"),
+                   F.sum(c("length").cast("decimal(38,15)")).cast("double").alias("length"))
+              .filter(c("u") < c("v")))
+    links = (filed.filter(c("chain").isNull()).select("u", "v", "length", "owner", "chain")
+             .unionByName(chains.withColumn("owner", F.lit(None).cast(plain.schema["owner"].dataType)))
+             .groupBy("u", "v").agg(F.min(F.struct("length", "chain", "owner")).alias("_e"))
+             .select("u", "v", "_e.length", "_e.owner", "_e.chain"))
+    return cut_lineage(links), filed.filter(c("chain").isNotNull()).select("u", "v", "ku", "kv", "chain")
+
+
+def chain_places(inside: DataFrame) -> DataFrame:
+    """``chain, node, place`` (from 0 at the smaller outer end, ``size`` in all) of the nodes in chains of :func:`contract`.
+
+    A chain is rooted as a tree at its first node, so rounds are logarithmic in its length.
+    """
+    outer = F.when(c("ku").isNull(), F.struct(c("u").alias("end"), c("v").alias("node"))).when(
+        c("kv").isNull(), F.struct(c("v").alias("end"), c("u").alias("node")))
+    first = cut_lineage(inside.groupBy("chain").agg(F.min(outer).alias("_o")).select("chain", c("_o.node").alias("node")))
+    steps = inside.filter(c("ku").isNotNull() & c("kv").isNotNull()).select(c("u").alias("a"), c("v").alias("b"))
+    rooted = root_tree(steps, first.select("node"))
+    places = rooted.join(first.select("chain", c("node").alias("root")), "root").select(
+        "chain", "node", c("depth").alias("place"))
+    return cut_lineage(with_totals(cut_lineage(places), ["chain"], size=F.count(F.lit(1))))
+
+
+#: Rounds after which the appended labels of a search are merged to one per source and node, and ended sources leave.
+_MERGE_ROUNDS = 4
+
+
+def shortest_from_groups(edges: DataFrame, sources: DataFrame, max_length: float | None = None,
+                         own_ways: bool = False) -> DataFrame:
     """Shortest length from each source group to every reachable node, with predecessor.
 
-    ``edges``: ``u, v, length``; ``sources``: ``source, node``. Returns ``source, node, dist,
-    pred`` (NULL at sources; equal lengths: smallest predecessor). All groups relax together;
-    only nodes whose distance just improved are expanded. ``max_length`` bounds the search.
+    ``edges``: ``u, v, length``, and ``chain``, ``owner`` if known; ``sources``: ``source, node``. Returns ``source,
+    node, dist, pred, chain, owner, third``: ``chain`` is that of the last step. ``third`` says that the way uses an edge
+    owned by another than its source; edges without length count only once they belong to two others, and ``owner``
+    is the first of these. ``pred`` is NULL at sources; of ways of one length the one with fewest steps counts, then
+    the one with the smallest predecessor. All groups relax together; only nodes whose distance just improved are
+    expanded, and improvements are appended. ``max_length`` bounds the search. With ``own_ways`` only the rows that are
+    not ``third`` are complete, and a source ends when none of those can appear or change any more: no new one was
+    found, and every new way is at least as long as all of them.
     """
-    links = cut_lineage(_both_ways(edges, "length").groupBy("a", "b").agg(F.min("length").alias("length")))
-    kind = sources.schema["node"].dataType
-    front = cut_lineage(sources.select("source", "node").distinct().withColumns({
-        "dist": F.lit(0.0), "pred": F.lit(None).cast(kind)}))
-    best = front
+    node_kind, source_kind = (sources.schema[name].dataType for name in ("node", "source"))
+    for name, kind in (("chain", node_kind), ("owner", source_kind)):
+        if name not in edges.columns:
+            edges = edges.withColumn(name, F.lit(None).cast(kind))
+    links = cut_lineage(_both_ways(edges, "length", "chain", "owner").groupBy("a", "b").agg(
+        F.min(F.struct("length", "chain", "owner")).alias("_e")).select(
+        "a", "b", c("_e.length").alias("_length"), c("_e.chain").alias("_chain"), c("_e.owner").alias("_owner")))
+    label = ["dist", "pred", "chain", "owner", "third"]
+    front = cut_lineage(sources.select("source", "node").distinct().select(
+        "source", "node", F.lit(0.0).alias("dist"), F.lit(None).cast(node_kind).alias("pred"),
+        F.lit(None).cast(node_kind).alias("chain"), F.lit(None).cast(edges.schema["owner"].dataType).alias("owner"),
+        F.lit(False).alias("third")))
+    found = [front]
+
+    def every() -> DataFrame:
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        return rows
+
+    def merged() -> DataFrame:  # a later label of a node is always a shorter one
+        return every().groupBy("source", "node").agg(F.min(F.struct(*label)).alias("_l")).select("source", "node", "_l.*")
+
+    foreign = c("_owner").isNotNull() & (c("_owner") != c("source"))
+    passed = foreign & ((c("_length") > 0) | F.coalesce(c("owner") != c("_owner"), F.lit(False)))
     while True:
-        steps = (front.join(links, front["node"] == links["a"])
-                 .select("source", c("b").alias("node"), (c("dist") + c("length")).alias("dist"),
-                         c("a").alias("pred")))
+        steps = front.join(links, front["node"] == links["a"]).select(
+            "source", c("b").alias("node"), (c("dist") + c("_length")).alias("dist"), c("a").alias("pred"),
+            c("_chain").alias("chain"), F.when(foreign, F.coalesce("owner", "_owner")).otherwise(c("owner")).alias("owner"),
+            (c("third") | passed).alias("third"))
         if max_length is not None:
             steps = steps.filter(c("dist") <= max_length)
-        offers = steps.groupBy("source", "node").agg(F.min(F.struct("dist", "pred")).alias("o"))
-        known = best.select("source", "node", c("dist").alias("_d"), c("pred").alias("_p"))
+        offers = steps.select("source", "node", F.struct(*label).alias("_offer"), F.lit(None).cast("double").alias("_known"))
+        known = every().select("source", "node", F.lit(None).cast(offers.schema["_offer"].dataType).alias("_offer"),
+                               c("dist").alias("_known"))
         improved = cut_lineage(
-            offers.join(known, ["source", "node"], "left")
-            .filter(c("_d").isNull() | (c("o.dist") < c("_d"))
-                    | ((c("o.dist") == c("_d")) & c("_p").isNotNull() & (c("o.pred") < c("_p"))))
-            .select("source", "node", c("o.dist").alias("dist"), c("o.pred").alias("pred")))
+            offers.unionByName(known).groupBy("source", "node").agg(F.min("_offer").alias("_offer"), F.min("_known").alias("_known"))
+            .filter(c("_offer").isNotNull() & (c("_known").isNull() | (c("_offer.dist") < c("_known"))))
+            .select("source", "node", "_offer.*"))
         if improved.isEmpty():
-            return best
-        best = cut_lineage(best.join(improved.select("source", "node"), ["source", "node"], "left_anti")
-                           .unionByName(improved))
+            return merged()
+        found.append(improved)
         front = improved
+        if len(found) > _MERGE_ROUNDS:
+            found = [cut_lineage(merged())]
+            if own_ways:
+                reach = found[0].groupBy("source").agg(F.max(F.when(~c("third"), c("dist"))).alias("_far"))
+                going = improved.groupBy("source").agg(F.bool_or(~c("third")).alias("_going"))
+                front = attach(improved, reach.join(going, "source"), ["source"]).filter(
+                    c("_going") | (c("dist") < c("_far"))).select(improved.columns)
 
 
 def walk_back(ends: DataFrame, best: DataFrame) -> DataFrame:

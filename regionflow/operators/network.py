@@ -1,6 +1,8 @@
 """Street networks: regions of streets, edges, regional sub-networks and their connections."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from regionflow.functions import geometry as geo
 from regionflow.operators import graph
 from regionflow.operators.coverage import polygons_containing, ring_edges
 from regionflow.operators.streets import SOURCE_ID, segments
-from regionflow.scale import attach, cut_lineage, with_totals
+from regionflow.scale import attach, cut_lineage, running, with_totals
 
 c = F.col
 
@@ -212,29 +214,58 @@ def touching_regions(nodes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.lit(0.0).alias("length"), F.count(F.lit(1)).alias("shared"))
 
 
-def region_distances(edges: DataFrame, nodes: DataFrame, max_length: float | None = None
-                     ) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Search:
+    """Labels of a search over contracted edges, and the edges of the chains that were contracted."""
+
+    best: DataFrame
+    inside: DataFrame
+
+
+def region_distances(edges: DataFrame, nodes: DataFrame, max_length: float | None = None,
+                     over_third_regions: bool = True) -> tuple[DataFrame, Search]:
     """Shortest connections between regions that do not touch.
 
     Returns ``(a, b, length, node)`` with ``a < b`` and the end node in ``b`` (ties: smallest
-    node), and the predecessor table they were read from.
+    node), and the search they were read from. Without ``over_third_regions`` only pairs whose shortest way uses no
+    edge of a third region are searched for and returned. Chains of nodes that lie in no region and have two
+    neighbours are one step of the search, so its rounds follow the junctions.
     """
+    links, inside = graph.contract(edges.select("u", "v", "length", c("region_id").alias("owner")), nodes)
     sources = nodes.select(c("region_id").alias("source"), "node")
-    best = graph.shortest_from_groups(edges, sources, max_length)
+    best = cut_lineage(graph.shortest_from_groups(links, sources, max_length, own_ways=not over_third_regions))
     touching = touching_regions(nodes).select("a", "b")
     reached = (best.join(nodes.select("node", c("region_id").alias("b")), "node")
                .filter(c("source") < c("b")))
-    pairs = reached.groupBy(c("source").alias("a"), "b").agg(
-        F.min(F.struct("dist", "node")).alias("_m")).select("a", "b", c("_m.dist").alias("length"), "_m.node")
-    return pairs.join(touching, ["a", "b"], "left_anti"), best
+    pairs = reached.groupBy(c("source").alias("a"), "b").agg(F.min(F.struct("dist", "node", "third", "owner")).alias("_m"))
+    if not over_third_regions:
+        pairs = pairs.filter(~c("_m.third") & (c("_m.owner").isNull() | (c("_m.owner") == c("b"))))
+    pairs = pairs.select("a", "b", c("_m.dist").alias("length"), "_m.node")
+    return pairs.join(touching, ["a", "b"], "left_anti"), Search(best, inside)
+
 
+def connection_paths(pairs: DataFrame, search: Search) -> DataFrame:
+    """Path vertices of each connection from ``a`` to ``b``: ``a, b, seq, node``.
 
-def connection_paths(pairs: DataFrame, best: DataFrame) -> DataFrame:
-    """Path vertices of each connection from ``a`` to ``b``: ``a, b, seq, node``."""
-    rows = graph.walk_back(pairs.select(c("a").alias("source"), c("b").alias("target"), "node"), best)
-    rows = with_totals(rows, ["source", "target"], _hops=F.max("back"))
-    return rows.select(c("source").alias("a"), c("target").alias("b"),
-                       (c("_hops") - c("back")).alias("seq"), "node")
+    The ways over contracted links are unrolled first; then the nodes of the chains that they use take their places.
+    """
+    rows = graph.walk_back(pairs.select(c("a").alias("source"), c("b").alias("target"), "node"), search.best)
+    steps = search.best.filter(c("chain").isNotNull()).select("source", "node", "pred", "chain")
+    hops = cut_lineage(with_totals(rows, ["source", "target"], _hops=F.max("back")).join(steps, ["source", "node"], "left")
+                       .select("source", "target", (c("_hops") - c("back")).alias("_hop"), "node", "pred", "chain"))
+    used = hops.filter(c("chain").isNotNull()).select("chain").distinct()
+    places = graph.chain_places(cut_lineage(search.inside.join(used, "chain", "left_semi")))
+    sizes = places.filter("place = 0").select("chain", "size")
+    hops = cut_lineage(hops.join(sizes, "chain", "left").withColumn("_size", F.coalesce("size", F.lit(0))))
+    hops = cut_lineage(running(hops, ["source", "target"], ["_hop"], sums={"_before": "_size"})
+                       .withColumn("seq", c("_hop") + c("_before")))
+    between = hops.filter(c("chain").isNotNull()).select(
+        "source", "target", "chain", "seq", "_size", (c("pred") < c("node")).alias("_up")).join(
+        places.select("chain", "node", "place"), "chain").select(
+        "source", "target", F.when(c("_up"), c("seq") - c("_size") + c("place")).otherwise(c("seq") - 1 - c("place")).alias("seq"),
+        "node")
+    return hops.select("source", "target", "seq", "node").unionByName(between).select(
+        c("source").alias("a"), c("target").alias("b"), c("seq").cast("int").alias("seq"), "node")
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
@@ -260,13 +291,9 @@ def region_connections(edges: DataFrame, over_third_regions: bool = False,
     """
     nodes = cut_lineage(edge_nodes(region_edges(edges), "region_id").select("region_id", "node"))
     touching = touching_regions(nodes).select("a", "b", "length")
-    pairs, best = region_distances(edges, nodes, max_length)
+    pairs, search = region_distances(edges, nodes, max_length, over_third_regions)
     pairs = cut_lineage(pairs)
-    paths = cut_lineage(connection_paths(pairs, best))
-    if not over_third_regions:
-        foreign = cut_lineage(foreign_connections(paths, edges))
-        pairs = pairs.join(foreign, ["a", "b"], "left_anti")
-        paths = paths.join(foreign, ["a", "b"], "left_anti")
+    paths = cut_lineage(connection_paths(pairs, search))
     return touching.unionByName(pairs.select("a", "b", "length")), paths
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from regionflow.operators import graph
+from regionflow.operators import graph, network
 
 
 def random_edges(seed, n, m):
@@ -138,3 +138,74 @@ def test_long_path_is_unrolled_in_few_rounds(spark, cuts):
         got = rows.filter(F.col("target") == target).orderBy("back").select("back", "node").collect()
         assert [tuple(r) for r in got] == [(k, last - k) for k in range(last + 1)]
     assert len(cuts) < 34
+
+
+def region_network(seed):
+    """Edges ``u, v, length, region``: small owned stars, joined by unowned chains of several lengths."""
+    rng = random.Random(seed)
+    names = iter(rng.sample(range(10_000), 300))
+    regions, edges = [], []
+    for region in range(5):
+        nodes = [next(names) for _ in range(rng.randint(2, 4))]
+        regions.append(nodes)
+        edges += [(a, b, rng.uniform(1, 9), region) for a, b in zip(nodes, nodes[1:])]
+    free = [next(names) for _ in range(3)]
+    places = [x for nodes in regions for x in nodes] + free
+    for _ in range(14):
+        a, b = rng.choice(places), rng.choice(places)  # also back to the start
+        way = [a, *[next(names) for _ in range(rng.randint(0, 6) if a != b else 3)], b]
+        edges += [(x, y, rng.uniform(1, 9), None) for x, y in zip(way, way[1:])]
+    ring = [next(names) for _ in range(5)]  # closed, reached by nothing
+    return edges + [(x, y, 1.0, None) for x, y in zip(ring, ring[1:] + ring[:1])]
+
+
+def test_region_distances_over_chains(spark):
+    edges = region_network(3)
+    owned, near = {}, {}
+    for a, b, w, region in edges:
+        if region is not None:
+            owned.setdefault(region, set()).update((a, b))
+        for x, y in ((a, b), (b, a)):
+            if (y not in near.setdefault(x, {})) or w < near[x][y][0]:
+                near[x][y] = (w, region)
+    want, kept = {}, {}
+    for a in owned:
+        heap, seen = [(0.0, s, (s,)) for s in owned[a]], {}
+        while heap:
+            d, x, way = heapq.heappop(heap)
+            if x not in seen:
+                seen[x] = d, way
+                for y, (w, _) in near[x].items():
+                    heapq.heappush(heap, (d + w, y, (*way, y)))
+        for b in owned:
+            reached = [(seen[x][0], x) for x in owned[b] if x in seen]
+            if a < b and reached and not owned[a] & owned[b]:
+                d, x = min(reached)
+                way = seen[x][1]
+                want[a, b] = d, list(way)
+                if all(near[p][q][1] in (None, a, b) for p, q in zip(way, way[1:])):
+                    kept[a, b] = want[a, b]
+    frame = spark.createDataFrame(edges, "u int, v int, length double, region_id int")
+    nodes = spark.createDataFrame([(r, x) for r, xs in owned.items() for x in xs], "region_id int, node int")
+    assert kept and len(kept) < len(want)
+    for over, truth in ((True, want), (False, kept)):
+        pairs, search = network.region_distances(frame, nodes, over_third_regions=over)
+        got = {(r.a, r.b): r.length for r in pairs.collect()}
+        assert got == pytest.approx({pair: d for pair, (d, _) in truth.items()})
+        ways = {}
+        for r in network.connection_paths(pairs, search).orderBy("a", "b", "seq").collect():
+            ways.setdefault((r.a, r.b), []).append((r.seq, r.node))
+        assert ways == {pair: list(enumerate(way)) for pair, (_, way) in truth.items()}
+
+
+def test_ways_without_length_and_ways_through_others(spark):
+    # 1 -(0)- own edge of 2 without length - 3's edge in between; the direct way of 1 to 4 is longer than that through 2.
+    edges = [(1, 2, 1.0, 1), (2, 3, 2.0, None), (3, 4, 0.0, 2), (4, 5, 2.0, None), (5, 6, 1.0, 3), (2, 7, 3.0, None),
+             (7, 6, 9.0, None), (6, 8, 1.0, None), (8, 9, 1.0, 4)]
+    frame = spark.createDataFrame(edges, "u int, v int, length double, region_id int")
+    nodes = spark.createDataFrame([(r, x) for a, b, _, r in edges if r for x in (a, b)], "region_id int, node int")
+    got = {(r.a, r.b): r.length for r in network.region_distances(frame, nodes, over_third_regions=False)[0].collect()}
+    assert got == {(1, 2): 2.0, (2, 3): 2.0, (3, 4): 1.0}
+    every = {(r.a, r.b): r.length for r in network.region_distances(frame, nodes)[0].collect()}
+    assert every == {(1, 2): 2.0, (1, 3): 4.0, (1, 4): 6.0, (2, 3): 2.0, (2, 4): 4.0, (3, 4): 1.0}
+    assert network.region_distances(frame.limit(0), nodes.limit(0))[0].count() == 0
