@@ -229,9 +229,11 @@ def grid_assets(lengths: DataFrame, decentral: DataFrame, grid_records: list[dic
 def pipe_to_grid(types: DataFrame, strict: bool = True) -> DataFrame:
     """``pipe, grid``: the grid type with the pipe's commodities swapped; first by order."""
     pipes, grids = of_kind(types, "pipe"), of_kind(types, "grid")
-    pairs = pipes.select(c("name").alias("pipe"), c("commodity_in").alias("i"), c("commodity_out").alias("o")).join(
-        grids.select(c("name").alias("grid"), "ord", c("commodity_in").alias("o"), c("commodity_out").alias("i")),
-        ["i", "o"], "left").groupBy("pipe").agg(F.min_by("grid", "ord").alias("grid"))
+    # one grid per pair of commodities before the join: many types may share a pair
+    first = grids.groupBy(c("commodity_out").alias("i"), c("commodity_in").alias("o")).agg(
+        F.min_by("name", "ord").alias("grid"), F.min("ord").alias("ord"))
+    wanted = pipes.select(c("name").alias("pipe"), c("commodity_in").alias("i"), c("commodity_out").alias("o"))
+    pairs = attach(wanted, first, ["i", "o"]).groupBy("pipe").agg(F.min_by("grid", "ord").alias("grid"))
     if strict:
         require_empty(pairs.filter(c("grid").isNull()).select("pipe"), "no grid type fits the pipe")
     return pairs

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from regionflow.operators import energy
 from regionflow.functions.text import colour_of, general_format, two_places
 from regionflow.scale import attach, dense_index, running, with_totals
 
@@ -68,3 +69,15 @@ def test_colour_is_the_digest_modulo_the_palette(spark):
     for r in found:
         base = r.n.split("_D")[0]
         assert r.c == PALETTE[int(hashlib.md5(base.encode()).hexdigest(), 16) % 20]
+
+
+def test_many_types_of_one_pair_of_commodities(spark):
+    """Grids are reduced to one per pair of commodities before they meet the pipes: no product of both."""
+    kinds = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, "pipe").otherwise("grid").alias("kind"), F.col("id").alias("ord"),
+        F.col("id").cast("string").alias("name"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("commodity_in"),
+        F.when(F.col("id") % 2 == 0, "b").otherwise("a").alias("commodity_out"))
+    found = energy.pipe_to_grid(kinds)
+    assert {r.grid for r in found.collect()} == {"1"} and found.count() == 200
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan.split("Join", 1)[1]
