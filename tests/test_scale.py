@@ -4,9 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from regionflow.operators import energy
 from regionflow.functions.text import colour_of, general_format, two_places
-from regionflow.scale import attach, dense_index, running, with_totals
+from regionflow.operators import energy
+from regionflow.scale import attach, cut_lineage, dense_index, running, with_totals
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,13 @@ def test_many_types_of_one_pair_of_commodities(spark):
     assert {r.grid for r in found.collect()} == {"1"} and found.count() == 200
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan.split("Join", 1)[1]
+
+
+def test_cut_lineage_forgets_guessed_sizes(spark):
+    """Rows joined to themselves in rounds keep the size of their files, not a guess squared each round."""
+    rows = spark.range(10).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit("x").alias("a.b c"))
+    for _ in range(8):
+        ends = rows.select(F.col("a").alias("b"), F.col("b").alias("end"))
+        rows = cut_lineage(rows.join(ends, "b").select("a", F.col("end").alias("b"), "`a.b c`"))
+    assert rows.columns == ["a", "b", "a.b c"] and rows.count() == 10
+    assert int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
