@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from regionflow.functions import geometry as geo
 from regionflow.functions.text import colour_of, general_format, two_places
-from regionflow.operators import energy
+from regionflow.operators import energy, streets
 from regionflow.scale import attach, cut_lineage, dense_index, running, with_totals
 
 
@@ -91,3 +92,19 @@ def test_cut_lineage_forgets_guessed_sizes(spark):
         rows = cut_lineage(rows.join(ends, "b").select("a", F.col("end").alias("b"), "`a.b c`"))
     assert rows.columns == ["a", "b", "a.b c"] and rows.count() == 10
     assert int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
+
+
+def test_close_gaps_knows_the_size_of_its_streets(spark, monkeypatch):
+    """Streets made by few source rows are not guessed to be few: what is guessed small is broadcast."""
+    copies = spark.range(40).select(F.explode(F.sequence(F.col("id") * 50, F.col("id") * 50 + 49)).alias("k"))
+    streets_of = copies.select(F.col("k").cast("string").alias("fid"), F.lit(1.0).alias("value"), geo.line(
+        (F.lit(0.0), F.col("k") * 100.0), (F.lit(50.0), F.col("k") * 100.0)).alias("parts"))
+    seen, edges = [], streets.street_edges
+
+    def recorded(rows, id_column):
+        seen.append(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return edges(rows, id_column)
+
+    monkeypatch.setattr(streets, "street_edges", recorded)
+    assert streets.close_gaps(streets_of, 5.0, "fid").count() == 2000
+    assert min(seen) >= 2000 * 32
