@@ -5,9 +5,10 @@ length goes through a rectifier, and a dense layer with softmax gives the window
 average of all its windows, weighted by their bytes; windows lie end to end and filters look past a window's end, so
 every byte sequence of every whole text is seen.
 
-The network is trained in numpy on the driver, on at most ``TRAIN_ROWS`` snippets of bounded length, drawn evenly from
-the languages. Inside tasks the embedding and the filters are folded into tables of byte pairs, so a filter costs one
-or two look-ups per byte.
+The network begins on the driver with at most ``TRAIN_ROWS`` snippets of bounded length, drawn evenly from the
+languages; then every window of every labelled text trains it: each task goes on with a copy over its own rows, and
+the copies are averaged. Inside tasks the embedding and the filters are folded into tables of byte pairs, so a filter
+costs one or two look-ups per byte.
 """
 from __future__ import annotations
 
@@ -24,11 +25,13 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDED = 8
-#: Rows of the training sample and characters of each: the bound of what comes to the driver (about 3 MB).
+#: Snippets that the network begins with and characters of each: the bound of what comes to the driver (about 3 MB).
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 256
-#: Further rows of the draw, not trained on, that say which scores known languages get.
-CALIBRATION_ROWS = 1_000
 EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Windows of a step and rate of the round over all texts.
+ROUND_BATCH, ROUND_RATE = 512, 0.001
+#: Steps of the scores that are counted.
+SCORES = 10_000
 #: Windows computed at once: their filter outputs stay in the cache.
 BLOCK_WINDOWS = 32
 
@@ -97,10 +100,25 @@ def _softmax(logits):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train_network(snippets: list[str], labels: list[str], seed: int = 5) -> Network:
+def _adam(params: dict, state: dict, grads: dict, rate: float) -> None:
+    """One step of Adam; ``state`` holds the moments and the number of steps and begins empty."""
+    import numpy as np
+    if not state:
+        state.update(step=0, first={k: np.zeros_like(v) for k, v in params.items()},
+                     second={k: np.zeros_like(v) for k, v in params.items()})
+    state["step"] += 1
+    first, second, step = state["first"], state["second"], state["step"]
+    for name, g in grads.items():
+        first[name] = 0.9 * first[name] + 0.1 * g
+        second[name] = 0.999 * second[name] + 0.001 * g * g
+        params[name] = (params[name] - rate * (first[name] / (1 - 0.9 ** step)) / (
+            np.sqrt(second[name] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+
+
+def train_network(snippets: list[str], labels: list[str], seed: int = 5, languages: list[str] | None = None) -> Network:
     """Adam on the cross-entropy of windows; gradients of a filter flow only to the place of its maximum."""
     import numpy as np
-    languages = sorted(set(labels))
+    languages = sorted(languages or set(labels))
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
     total = FILTERS * len(WIDTHS)
@@ -114,9 +132,8 @@ def train_network(snippets: list[str], labels: list[str], seed: int = 5) -> Netw
     raw = [s.encode("utf-8", "surrogatepass")[:WINDOW] for s in snippets]
     x = np.frombuffer(b"".join(r.ljust(WINDOW + max(WIDTHS), b"\0") for r in raw), np.uint8).reshape(len(raw), -1)
     y = np.array([languages.index(label) for label in labels])
-    weight = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y].astype(np.float32)
-    first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    step = 0
+    weight = (len(y) / (len(languages) * np.maximum(1, np.bincount(y, minlength=len(languages)))))[y].astype(np.float32)
+    state: dict = {}
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
         for a in range(0, len(x), BATCH):
@@ -148,31 +165,145 @@ def train_network(snippets: list[str], labels: list[str], seed: int = 5) -> Netw
                     np.add.at(seen, (xb[np.arange(m)[:, None], at + k], np.arange(FILTERS)[None, :]), g)
                     grads[f"w{w}"][k] = params["e"].T @ seen
                     grads["e"] += seen @ params[f"w{w}"][k].T
-            step += 1
-            for name, g in grads.items():
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.999 * second[name] + 0.001 * g * g
-                params[name] = (params[name] - RATE * (first[name] / (1 - 0.9 ** step)) / (
-                    np.sqrt(second[name] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+            _adam(params, state, grads, RATE)
     return wrap()
 
 
+class _Round:
+    """Training of a copy of a network over windows as they come; the same gradients as :func:`train_network`."""
+
+    def __init__(self, network: Network):
+        self.languages, self.state, self.windows = network.languages, {}, 0
+        self.params = {"e": network.embedding, "b": network.bias, "d": network.dense, "c": network.dense_bias,
+                       **{f"w{w}": own for w, own in zip(WIDTHS, network.filters)}}
+
+    def network(self) -> Network:
+        p = self.params
+        return Network(self.languages, p["e"], [p[f"w{w}"] for w in WIDTHS], p["b"], p["d"], p["c"])
+
+    def flat(self):
+        import numpy as np
+        return np.concatenate([self.params[name].ravel() for name in sorted(self.params)]).astype(np.float64)
+
+    def restored(self, values) -> Network:
+        import numpy as np
+        at = 0
+        for name in sorted(self.params):
+            shape, size = self.params[name].shape, self.params[name].size
+            self.params[name] = np.asarray(values[at:at + size], np.float32).reshape(shape)
+            at += size
+        return self.network()
+
+    def learn(self, texts: list[str], labels, weights) -> None:
+        """Every window of the texts, shuffled; a window counts by its bytes times its text's weight."""
+        import numpy as np
+        codes, counts, sizes = _codes(texts)
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        inside = np.arange(int(counts.sum())) - np.repeat(starts, counts)
+        share = np.clip(np.repeat(sizes, counts) - inside * WINDOW, 0, WINDOW) / WINDOW
+        weight, label = (share * np.repeat(weights, counts)).astype(np.float32), np.repeat(labels, counts)
+        seen = np.flatnonzero(weight)
+        order = np.random.default_rng(len(seen)).permutation(seen)
+        # at most ROUND_BATCH windows a step, and all steps of about the same size
+        for rows in np.array_split(order, -(-len(order) // ROUND_BATCH)) if len(order) else []:
+            x = codes[rows[:, None] * WINDOW + np.arange(WINDOW + max(WIDTHS))[None, :]]
+            self._step(x, label[rows], weight[rows])
+            self.windows += len(rows)
+
+    def _step(self, x, y, weight) -> None:
+        import numpy as np
+        p, m = self.params, len(x)
+        first, later = _folded(self.network())
+        place = np.empty((m, FILTERS * len(WIDTHS)), np.int64)
+        top = np.empty(place.shape, np.float32)
+        for a in range(0, m, BLOCK_WINDOWS):
+            one = x[a:a + BLOCK_WINDOWS].astype(np.int64)
+            two = (one[:, :-1] << 8) | one[:, 1:]
+            out = first.take(two[:, :WINDOW], axis=0)
+            for columns, k, table in later:
+                out[:, :, columns] += table.take((two if len(table) > 256 else one)[:, k:k + WINDOW], axis=0)
+            out = np.ascontiguousarray(out.transpose(0, 2, 1))
+            place[a:a + BLOCK_WINDOWS] = out.argmax(axis=2)
+            top[a:a + BLOCK_WINDOWS] = out.max(axis=2)
+        top += p["b"]
+        hidden = np.maximum(top, 0)
+        error = _softmax(hidden @ p["d"] + p["c"])
+        error[np.arange(m), y] -= 1
+        error *= (weight / max(float(weight.sum()), 1e-9))[:, None]
+        back = (error @ p["d"].T) * (top > 0)
+        grads = {"d": hidden.T @ error, "c": error.sum(0), "b": back.sum(0), "e": np.zeros_like(p["e"])}
+        for j, w in enumerate(WIDTHS):
+            columns = slice(j * FILTERS, (j + 1) * FILTERS)
+            g, at, own = back[:, columns], place[:, columns], p[f"w{w}"]
+            grads[f"w{w}"] = np.zeros_like(own)
+            for k in range(w):
+                byte = x[np.arange(m)[:, None], at + k].astype(np.int64)
+                seen = np.bincount((byte * FILTERS + np.arange(FILTERS)).ravel(), g.ravel(), 256 * FILTERS).reshape(
+                    256, FILTERS).astype(np.float32)
+                grads[f"w{w}"][k] = p["e"].T @ seen
+                grads["e"] += seen @ own[k].T
+        _adam(p, self.state, grads, ROUND_RATE)
+
+
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``t, label`` of the rows that have a label and a letter."""
+    return docs.select(docs[text].alias("t"), docs[lang].alias("label")).filter(
+        F.col("label").isNotNull() & F.rlike(F.coalesce("t", F.lit("")), F.lit(r"\p{L}")))
+
+
+def trained_on_all(docs: DataFrame, network: Network, sizes: dict[str, int], text: str = "text",
+                   lang: str = "lang") -> Network:
+    """``network`` after a round over every window of every labelled text of ``docs``.
+
+    ``sizes``: bytes per language, which weigh alike whatever their size. Each task trains a copy over its own rows;
+    the copies' mean, weighted by their windows and added up in decimals, which no order changes, is the result. What
+    leaves a task and what comes to the driver is one row per number of the network.
+    """
+    total = sum(sizes.values())
+    weigh = {label: total / (len(sizes) * max(1, n)) for label, n in sizes.items()}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        own = _Round(network)
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            for start, texts in text_slices(batch.column(0)):
+                mine = labels[start:start + len(texts)]
+                own.learn(texts, np.array([network.languages.index(v) for v in mine]), np.array([weigh[v] for v in mine]))
+        if own.windows:
+            flat = own.flat()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat, pa.float64()),
+                pa.array(np.full(len(flat), own.windows), pa.int64())], names=["k", "value", "windows"])
+
+    rows = _labelled(docs, text, lang).mapInArrow(run, "k int, value double, windows bigint")
+    summed = rows.groupBy("k").agg(F.sum((F.col("value") * F.col("windows")).cast("decimal(38,9)")).alias("v"),
+                                   F.sum("windows").alias("n"))
+    values = [float(r["v"]) / r["n"] for r in summed.orderBy("k").collect()]  # a few thousand numbers
+    return _Round(network).restored(values) if values else network
+
+
+def _snippet():
+    """A part of the text ``t`` from anywhere: whole, half, or an eighth of ``TRAIN_CHARS`` long."""
+    size = F.element_at(F.array(*map(F.lit, (TRAIN_CHARS, TRAIN_CHARS, TRAIN_CHARS // 2, TRAIN_CHARS // 8))),
+                        (F.pmod(F.xxhash64("t", F.lit(2)), F.lit(4)) + 1).cast("int"))
+    start = F.pmod(F.xxhash64("t", F.lit(3)), F.greatest(F.length("t") - size, F.lit(0)) + 1).cast("int") + 1
+    return F.substring("t", start, size)
+
+
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` rows ``snippet, label``: texts of each language with equal chance, one snippet from anywhere.
 
     Every text with a label takes part in the draw, copies once. Snippets are whole, half, or an eighth of
     ``TRAIN_CHARS`` long. Tasks drop what is drawn too late, so little more than the sample leaves them.
     """
-    labelled = docs.select(docs[text].alias("t"), docs[lang].alias("label")).filter(
-        F.col("label").isNotNull() & F.rlike(F.coalesce("t", F.lit("")), F.lit(r"\p{L}")))
+    labelled = _labelled(docs, text, lang)
     # copies share a hash, so this counts different texts; hashes alone are shuffled
     counts = stored(labelled.select("label", F.xxhash64("t", F.lit(1)).alias("h")).distinct()
                     .groupBy("label").agg(F.count(F.lit(1)).alias("n")))  # so that the join knows how small it is
     draw = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
-    size = F.element_at(F.array(*map(F.lit, (TRAIN_CHARS, TRAIN_CHARS, TRAIN_CHARS // 2, TRAIN_CHARS // 8))),
-                        (F.pmod(F.xxhash64("t", F.lit(2)), F.lit(4)) + 1).cast("int"))
-    start = F.pmod(F.xxhash64("t", F.lit(3)), F.greatest(F.length("t") - size, F.lit(0)) + 1).cast("int") + 1
-    narrow = labelled.select("label", draw.alias("draw"), F.substring("t", start, size).alias("snippet"))
+    narrow = labelled.select("label", draw.alias("draw"), _snippet().alias("snippet"))
     latest = 1.5 * rows / max(1, counts.count())
     return (narrow.join(counts, "label").withColumn("draw", F.col("draw") * F.col("n")).filter(F.col("draw") < latest)
             .groupBy("draw", "label").agg(F.min("snippet").alias("snippet"))
@@ -180,11 +311,14 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", row
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Network | None:
-    """A network for the languages of ``docs``; None without labelled texts."""
-    sample = training_sample(docs, text, lang, rows).collect()  # bounded: rows times TRAIN_CHARS
-    if not sample:
+    """A network for the languages of ``docs``, trained on all labelled texts; None without any."""
+    sizes = {r["label"]: r["n"] for r in _labelled(docs, text, lang).groupBy("label").agg(
+        F.sum(F.octet_length("t").cast("long")).alias("n")).collect()}  # one row per language
+    if not sizes:
         return None
-    return train_network([r["snippet"] for r in sample], [r["label"] for r in sample])
+    sample = training_sample(docs, text, lang, rows).collect()  # bounded: rows times TRAIN_CHARS
+    begun = train_network([r["snippet"] for r in sample], [r["label"] for r in sample], languages=list(sizes))
+    return trained_on_all(docs, begun, sizes, text, lang) if len(sizes) > 1 else begun
 
 
 class Predictor:
@@ -264,21 +398,25 @@ def held_out(doc_id):
 def fit_calibrated(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Network | None, float]:
     """A network as :func:`fit` trains it, and the least score of a text in a language that it knows.
 
-    That score lies half way between an even guess and what 99 of 100 snippets reach that were drawn like those of
-    the training but not trained on (an eighth of a small sample); with fewer than 50 of them it is the even guess.
+    That score lies half way between an even guess and what 99 of 100 labelled texts reach with a part of theirs as
+    long as a snippet; all of them are counted, in steps of one in ``SCORES``. With fewer than 50 it is the even guess.
     """
-    import numpy as np
-    sample = training_sample(docs, text, lang, TRAIN_ROWS + CALIBRATION_ROWS).collect()  # bounded like in ``fit``
-    if not sample:
+    network = fit(docs, text, lang)
+    if network is None:
         return None, 1.0
-    held_back = min(CALIBRATION_ROWS, len(sample) // 8)
-    learnt, unseen = sample[:len(sample) - held_back][:TRAIN_ROWS], sample[len(sample) - held_back:]
-    network = train_network([r["snippet"] for r in learnt], [r["label"] for r in learnt])
     even = 1.0 / len(network.languages)
-    if len(unseen) < 50:
+    parts = identify(_labelled(docs, text, lang).select(_snippet().alias("text")), network)
+    step = F.floor(F.col("score") * SCORES).cast("int")
+    counts = sorted((r["step"], r["count"]) for r in parts.groupBy(step.alias("step")).count().collect())
+    total = sum(n for _, n in counts)
+    if total < 50:
         return network, even
-    reached = float(np.quantile(Predictor(network)([r["snippet"] for r in unseen])[1], 0.01))
-    return network, even + max(0.0, reached - even) / 2
+    below = 0
+    for reached, n in counts:
+        below += n
+        if below > 0.01 * total:
+            break
+    return network, even + max(0.0, reached / SCORES - even) / 2
 
 
 def keep_identified(docs: DataFrame, network: Network | None, least_score: float | None = None,

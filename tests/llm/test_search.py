@@ -206,3 +206,31 @@ def test_windows_cover_every_byte():
         plain.append(out[:counts.sum() * language_id.WINDOW])
     want = np.concatenate(plain, axis=1).reshape(counts.sum(), language_id.WINDOW, -1).max(axis=1)
     assert np.abs(top - want).max() < 1e-5 and sizes.tolist() == [700, 1, 0]
+
+
+def test_every_labelled_text_trains(spark):
+    """Texts that no snippet is drawn from change the network, and the round over all texts follows the same gradients."""
+    base = [(f"the cat and the dog number {k} of many", "en") for k in range(40)] + [
+        (f"der Hund und die Katze Nummer {k} von vielen", "de") for k in range(40)]
+    more = base + [("ein anderes Wort nach dem anderen " * 2000, "de")]
+    frame = lambda rows: spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    begun = language_id.train_network([t for t, _ in base], [v for _, v in base])
+    sizes = lambda rows: {v: sum(len(t) for t, w in rows if w == v) for v in ("de", "en")}
+    nets = [language_id.trained_on_all(frame(rows), begun, sizes(rows)) for rows in (base, more)]
+    assert np.abs(nets[0].dense - begun.dense).max() > 0 and np.abs(nets[1].dense - nets[0].dense).max() > 0
+    german = [language_id.Predictor(n)._means(["ein anderes Wort nach dem anderen"])[0][0] for n in (begun, nets[1])]
+    assert german[1] > german[0]
+    one = language_id._Round(begun)
+    one.learn([base[0][0], base[50][0]], np.array([1, 0]), np.array([1.0, 1.0]))
+    assert one.windows == 2 and all(v.shape == w.shape for v, w in zip(one.network().filters, begun.filters))
+
+
+def test_the_least_score_counts_all_labelled_texts(spark, monkeypatch):
+    """More labelled texts than the draw of snippets holds: all of them are scored."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
+    seen = []
+    real = language_id.identify
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(language_id, "identify", lambda rows, *more: seen.append(rows.count()) or real(rows, *more))
+    language_id.fit_calibrated(docs)
+    assert seen == [docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).count()]
