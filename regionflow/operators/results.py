@@ -24,12 +24,14 @@ MEASURES = ["cap_active", "cap_new", "eouttot", "newly_installed_units"]
 def subprocess_outputs(tables: dict[str, DataFrame]) -> DataFrame:
     """``cp, cin, cout, year`` and the measures (NULL = 0) from the solver's six tables."""
     commodity = tables["commodity"]
-    rows = (tables["output_cs_y"].alias("o")
-            .join(tables["conversion_subprocess"].select(c("id").alias("cs_id"), "cp_id", "cin_id", "cout_id"), "cs_id")
-            .join(tables["conversion_process"].select(c("id").alias("cp_id"), c("name").alias("cp")), "cp_id")
-            .join(commodity.select(c("id").alias("cin_id"), c("name").alias("cin")), "cin_id")
-            .join(commodity.select(c("id").alias("cout_id"), c("name").alias("cout")), "cout_id")
-            .join(tables["year"].select(c("id").alias("y_id"), c("value").alias("year")), "y_id"))
+    # names meet the subprocesses, of which there are fewer than results, and each name replaces its id
+    named = (tables["conversion_subprocess"].select(c("id").alias("cs_id"), "cp_id", "cin_id", "cout_id")
+             .join(tables["conversion_process"].select(c("id").alias("cp_id"), c("name").alias("cp")), "cp_id").drop("cp_id")
+             .join(commodity.select(c("id").alias("cin_id"), c("name").alias("cin")), "cin_id").drop("cin_id")
+             .join(commodity.select(c("id").alias("cout_id"), c("name").alias("cout")), "cout_id").drop("cout_id"))
+    rows = (tables["output_cs_y"].select("cs_id", "y_id", *MEASURES)
+            .join(tables["year"].select(c("id").alias("y_id"), c("value").alias("year")), "y_id").drop("y_id")
+            .join(named, "cs_id"))
     return rows.select("cp", "cin", "cout", c("year").cast("int").alias("year"),
                        *[F.coalesce(c(m), F.lit(0.0)).cast("double").alias(m) for m in MEASURES])
 

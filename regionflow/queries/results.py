@@ -44,8 +44,8 @@ def _base(spark, folder):
         c("l_quantity").alias("q"), c("l_discount").alias("d"), c("l_extendedprice").alias("e"))
     part = table(spark, folder, "part").select(c("p_partkey").alias("l_partkey"), c("p_brand").alias("brand"))
     orders = table(spark, folder, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("region"))
-    rows = items.join(part, "l_partkey").join(orders, "l_orderkey")
-    return rows.withColumn("n", F.substring("brand", 7, 9).cast("int"))
+    rows = items.join(part, "l_partkey").join(orders, "l_orderkey").drop("l_orderkey")
+    return cut_lineage(rows, compact=True).withColumn("n", F.substring("brand", 7, 9).cast("int"))
 
 
 def _sums():
@@ -58,9 +58,9 @@ def _kind(n):
         F.lit("decentral"), F.lit("central"), F.lit("grid"), F.lit("pipe")), n % 4 + 1))
 
 
-def outputs(spark, folder):
+def outputs(spark, folder, base=None):
     """``cp, cin, cout, year`` and measures, as the solver's tables would give them."""
-    base = cut_lineage(_base(spark, folder))
+    base = _base(spark, folder) if base is None else base
     n = c("n")
     raw = base.groupBy("brand", "n", "region", "year", F.when(n % 8 == 5, c("half")).otherwise(0).alias("half")).agg(*_sums())
     raw = raw.withColumn("kind", _kind(n))
@@ -82,24 +82,30 @@ def outputs(spark, folder):
         text(F.when(even, "Import").otherwise("Export"), "Fuel ", part.cast("string")).alias("cp"),
         F.when(even, "Dummy").otherwise(fuel).alias("cin"), F.when(even, fuel).otherwise("Dummy").alias("cout"),
         "year", *op.MEASURES)
-    return cut_lineage(made.unionByName(trade))
+    return cut_lineage(made.unionByName(trade), compact=True)
 
 
 def solver_tables(spark, folder):
-    """The outputs taken apart into the solver's id tables."""
+    """The outputs taken apart into the solver's id tables.
+
+    A subprocess and its years travel as one row; its names are looked up once and make room for their ids.
+    """
+    years = F.collect_list(F.struct((c("year") - 1900).alias("y_id"), "cap_active", F.when(c("cap_new") != 0, c("cap_new")).alias("cap_new"),
+                                    "eouttot", "newly_installed_units"))
     rows = outputs(spark, folder)
-    numbered = lambda column: dense_index(rows.select(c(column).alias("name")).distinct(), "name", "id")
-    process = numbered("cp")
-    names = rows.select(c("cin").alias("name")).unionByName(rows.select(c("cout").alias("name"))).distinct()
+    subs = cut_lineage(rows.groupBy("cp", "cin", "cout").agg(years.alias("years")), compact=True)
+    subs = subs.withColumn("cs_id", F.monotonically_increasing_id())
+    process = dense_index(subs.select(c("cp").alias("name")).distinct(), "name", "id")
+    names = subs.select(c("cin").alias("name")).unionByName(subs.select(c("cout").alias("name"))).distinct()
     commodity = dense_index(names, "name", "id")
     year = rows.select(c("year").alias("value")).distinct().withColumn("id", c("value") - 1900)
-    look = lambda frame, table_, column, key: attach(frame, table_.select(c("name").alias(column), c("id").alias(key)), [column])
-    keyed = look(look(look(rows, process, "cp", "cp_id"), commodity, "cin", "cin_id"), commodity, "cout", "cout_id")
-    keyed = cut_lineage(keyed.withColumn("cs_id", F.xxhash64("cp_id", "cin_id", "cout_id")))
+    look = lambda frame, table_, column, key: attach(
+        frame, table_.select(c("name").alias(column), c("id").alias(key)), [column]).drop(column)
+    ids = subs.select("cs_id", "cp", "cin", "cout").join(process.select(c("name").alias("cp"), c("id").alias("cp_id")), "cp").drop("cp")
+    ids = look(look(ids, commodity, "cin", "cin_id"), commodity, "cout", "cout_id")
     return {"conversion_process": process, "commodity": commodity, "year": year,
-            "conversion_subprocess": keyed.select(c("cs_id").alias("id"), "cp_id", "cin_id", "cout_id").distinct(),
-            "output_cs_y": keyed.select("cs_id", (c("year") - 1900).alias("y_id"), "cap_active",
-                                        F.when(c("cap_new") != 0, c("cap_new")).alias("cap_new"), "eouttot", "newly_installed_units")}
+            "conversion_subprocess": ids.select(c("cs_id").alias("id"), "cp_id", "cin_id", "cout_id"),
+            "output_cs_y": subs.select("cs_id", F.inline("years"))}
 
 
 @query("cp:s cin:s cout:s year:i cap_active:d2 cap_new:d4 eouttot:d2 newly_installed_units:d1", f"WITH {_OUT} SELECT * FROM out")
@@ -130,8 +136,9 @@ def rescale_results(spark, folder):
 
 # --- tidy tables ----------------------------------------------------------------------------------------
 
-def assets(spark, folder):
-    base = _base(spark, folder).select("brand", "n", "region").distinct().withColumn("kind", _kind(c("n")))
+def assets(spark, folder, base=None):
+    base = _base(spark, folder) if base is None else base
+    base = base.select("brand", "n", "region").distinct().withColumn("kind", _kind(c("n")))
     kind = c("kind")
     return cut_lineage(base.select(
         "kind", c("brand").alias("name"), c("region").alias("region_id"),
@@ -140,8 +147,15 @@ def assets(spark, folder):
         F.when(kind == "chp", "power").alias("commodity_out_2")))
 
 
-def _pipes(spark, folder):
-    return assets(spark, folder).filter("kind = 'pipe'").select(
+def _solved(spark, folder):
+    """Outputs and assets of one reading of the base rows."""
+    base = _base(spark, folder)
+    return outputs(spark, folder, base), assets(spark, folder, base)
+
+
+def _pipes(spark, folder, own=None):
+    own = assets(spark, folder) if own is None else own
+    return own.filter("kind = 'pipe'").select(
         "name", c("region_id").alias("region_in"), (c("region_id") + 1).alias("region_out"), "commodity_in", "commodity_out")
 
 
@@ -162,8 +176,9 @@ _DEC_SQL = f"""
     WITH {_OUT}, dec AS (SELECT {_DEMAND_NAME} AS demand, {_TIDY_SQL} FROM out WHERE kind = 'decentral' AND {_DEMAND_NAME} IS NOT NULL)"""
 
 
-def _decentral(spark, folder):
-    return op.decentral_results(outputs(spark, folder), assets(spark, folder), demands(spark, folder), SCOPED)
+def _decentral(spark, folder, solved=None):
+    out, own = solved or _solved(spark, folder)
+    return op.decentral_results(out, own, demands(spark, folder), SCOPED)
 
 
 @query("demand:s " + _TIDY, _DEC_SQL + " SELECT * FROM dec")
@@ -175,18 +190,19 @@ def decentral_results(spark, folder):
     WITH {_OUT} SELECT CASE WHEN kind = 'chp' AND half = 1 THEN 'power' ELSE 'heat_in' END AS commodity, {_TIDY_SQL}, newly_installed_units
     FROM out WHERE kind IN ('central', 'chp')""")
 def central_results(spark, folder):
-    return op.central_results(outputs(spark, folder), assets(spark, folder), SCOPED)
+    return op.central_results(*_solved(spark, folder), SCOPED)
 
 
 @query("commodity:s " + _TIDY, f"WITH {_OUT} SELECT 'heat_in' AS commodity, {_TIDY_SQL} FROM out WHERE kind = 'grid'")
 def grid_results(spark, folder):
-    return op.grid_results(outputs(spark, folder), assets(spark, folder), SCOPED)
+    return op.grid_results(*_solved(spark, folder), SCOPED)
 
 
 @query("commodity:s year:i technology:s region_id_from:i region_id_to:i capacity:d2 energy_output:d2 new_capacity:d4", f"""
     WITH {_OUT} SELECT 'heat_in' AS commodity, {_TIDY_SQL}, region AS region_id_from, region + 1 AS region_id_to FROM out WHERE kind = 'pipe'""")
 def pipe_results(spark, folder):
-    return op.pipe_results(outputs(spark, folder), _pipes(spark, folder), SCOPED)
+    out, own = _solved(spark, folder)
+    return op.pipe_results(out, _pipes(spark, folder, own), SCOPED)
 
 
 def _trade(spark, folder):
@@ -212,7 +228,7 @@ def export_results(spark, folder):
     SELECT row_number() OVER (ORDER BY year, technology) - 1 AS position, year, technology FROM g""")
 def sort_results(spark, folder):
     """The sorted rows numbered in the order they come out."""
-    rows = op.sort_results(op.grid_results(outputs(spark, folder), assets(spark, folder), SCOPED).select("year", "technology"))
+    rows = op.sort_results(op.grid_results(*_solved(spark, folder), SCOPED).select("year", "technology"))
     ranged = cut_lineage(rows.withColumn("at", F.monotonically_increasing_id()))
     return dense_index(ranged, "at", "position")
 
@@ -250,8 +266,8 @@ _REPORT = ["commodity", "year", "technology", "region_id", "region_id_from", "re
            cap_new AS new_capacity FROM k""")
 def report_tables(spark, folder):
     """All rows of both tables under their displayed headers, with the report's own counts."""
-    out, own = outputs(spark, folder), assets(spark, folder)
-    groups = {"grids": op.grid_results(out, own, SCOPED), "pipes": op.pipe_results(out, _pipes(spark, folder), SCOPED)}
+    out, own = _solved(spark, folder)
+    groups = {"grids": op.grid_results(out, own, SCOPED), "pipes": op.pipe_results(out, _pipes(spark, folder, own), SCOPED)}
     totals = out.agg(F.sum("eouttot").alias("opex"), F.sum("cap_new").alias("capex"), F.sum("cap_active").alias("totex"))
     emissions = out.groupBy("year").agg(F.sum("eouttot").alias("amount"))
     found = op.report_tables(groups, totals, emissions, "kW", {"system": "all customers", "scenario": "base"})
@@ -288,16 +304,16 @@ def demand_in_year(spark, folder):
     return op.demand_in_year(demands(spark, folder), "warmth", 1990, 1996)
 
 
-def _fed_assets(spark, folder):
+def _fed_assets(own):
     """Decentral technologies of even regions are fed by the grid."""
-    own = assets(spark, folder)
     return own.withColumn("commodity_in", F.when((c("kind") == "decentral") & (c("region_id") % 2 == 0), "heat_out").otherwise(c("commodity_in")))
 
 
 @query("region_id:i technology:s value:d2", _DEC_SQL + """
     SELECT region_id, technology, sum(capacity) AS value FROM dec WHERE year = 1996 AND region_id % 2 = 0 AND capacity > 0 GROUP BY 1, 2""")
 def grid_supplied(spark, folder):
-    return op.grid_supplied(_decentral(spark, folder), _fed_assets(spark, folder), "heat_out", 1996)
+    solved = _solved(spark, folder)
+    return op.grid_supplied(_decentral(spark, folder, solved), _fed_assets(solved[1]), "heat_out", 1996)
 
 
 @query("region_id:i length_km:d grid_value:d2 demands:s central:s grid_fed:s", _DEC_SQL + f""",
@@ -310,14 +326,14 @@ def grid_supplied(spark, folder):
            CASE WHEN region_id % 2 = 0 THEN 'heat=' || format('{{:.1f}}', CAST(region_id % 50 AS DOUBLE)) END AS demands, central, grid_fed
     FROM act LEFT JOIN cen USING (region_id) LEFT JOIN fed USING (region_id)""")
 def grid_overview(spark, folder):
-    out, own = outputs(spark, folder), _fed_assets(spark, folder).withColumn("length_km", c("region_id") % 37 / 10.0)
+    out, original = _solved(spark, folder)
+    own = _fed_assets(original).withColumn("length_km", c("region_id") % 37 / 10.0)
     types = config_frame(spark, [("grid", "Brand#6", "heat_in", "heat_out")], "kind string, name string, commodity_in string, commodity_out string")
     served = table(spark, folder, "customer").filter("c_custkey % 2 = 0").select(
         c("c_custkey").alias("region_id"), F.lit("heat").alias("demand"), F.lit("heat_out").alias("commodity"),
         (c("c_custkey") % 50).cast("double").alias("value"), F.lit(0.0).alias("yearly_decrease"))
-    original = assets(spark, folder)
     found = op.grid_overview("Brand#6", types, own, served, op.grid_results(out, original, SCOPED),
-                             op.central_results(out, original, SCOPED), _decentral(spark, folder), 1990, 1996)
+                             op.central_results(out, original, SCOPED), _decentral(spark, folder, (out, original)), 1990, 1996)
     text = lambda n: F.array_join(F.transform(n, lambda e: F.concat(e["name"], F.lit("="), F.format_string("%.1f", e["value"]))), ";")
     return found.withColumns({n: text(n) for n in ("demands", "central", "grid_fed")})
 
@@ -330,11 +346,13 @@ def grid_overview(spark, folder):
     UNION ALL SELECT brand, region + 500000, region + 500001, FALSE, NULL FROM p WHERE region % 9 = 0""")
 def pipe_status(spark, folder):
     """Pipes of every type; the two directions of an unused pair appear once."""
-    known = _pipes(spark, folder).select(c("name").alias("technology"), "region_in", "region_out").distinct()
+    out, own = _solved(spark, folder)
+    pipes = _pipes(spark, folder, own)
+    known = pipes.select(c("name").alias("technology"), "region_in", "region_out").distinct()
     far = known.filter("region_in % 9 = 0").select(
         "technology", (c("region_in") + 500000).alias("a"), (c("region_in") + 500001).alias("b"))
     known = known.union(far).union(far.select("technology", "b", "a"))
-    found = op.pipe_results(outputs(spark, folder), _pipes(spark, folder), SCOPED)
+    found = op.pipe_results(out, pipes, SCOPED)
     found = found.withColumn("capacity", F.when(c("capacity") > 20, c("capacity")).otherwise(0.0))
     return op.pipe_status(known, found, 1996)
 
