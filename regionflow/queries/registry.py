@@ -10,6 +10,7 @@ from regionflow.operators import network, registry as op, streets
 from regionflow.queries import inputs as src
 from regionflow.queries.base import query, table
 from regionflow.queries.network import _EDGE_SQL, _edges
+from regionflow.scale import spread
 from regionflow.sources import writers
 
 c = F.col
@@ -287,7 +288,7 @@ def check_registry(spark, folder):
 def reproject(spark, folder):
     """Forward to Web Mercator; to UTM zone 32 and back; to LAEA Europe and on to Web Mercator."""
     k = c("c_custkey")
-    points = table(spark, folder, "customer").select(
+    points = spread(table(spark, folder, "customer").select("c_custkey"), "c_custkey").select(
         k.alias("k"), geo.line((5 + (k * 7) % 1300 / F.lit(100.0), 46 + (k * 13) % 900 / F.lit(100.0))).alias("g"))
     first = lambda n: F.element_at(F.element_at(n, 1), 1)
     rows = points.withColumns({"m": c("g"), "u": c("g"), "e": c("g")})
