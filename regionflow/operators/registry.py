@@ -20,7 +20,7 @@ from regionflow.operators.coverage import covered_points, identified, polygons_m
 from regionflow.operators.network import edge_nodes, region_edges
 from regionflow.operators.spatial import box_join, with_box
 from regionflow.operators.streets import SOURCE_ID, SOURCE_SHARE, convex_hull, dissolved_rings
-from regionflow.scale import cut_lineage
+from regionflow.scale import cut_lineage, spread
 
 c = F.col
 
@@ -109,6 +109,8 @@ def covering_area(area: DataFrame, scopes: DataFrame) -> DataFrame:
 
     Every border piece must be covered and no scope vertex may lie inside the area (a hole).
     """
+    # a polygon costs far more to test than to move
+    scopes = spread(scopes, "dataset_id")
     sides = (area.select("area_id", F.posexplode(geo.flat_segments(c("rings"))).alias("_n", "_s"))
              .select("area_id", "_n", c("_s.a.x").alias("ax"), c("_s.a.y").alias("ay"),
                      c("_s.b.x").alias("bx"), c("_s.b.y").alias("by")))
