@@ -1,6 +1,8 @@
 """Model-input tables: rows per kind, dimensions, profile names."""
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from regionflow.functions.text import PALETTE
@@ -56,23 +58,45 @@ def encode_years(spark, folder):
                        op.encode_years(c("one")).alias("single"))
 
 
-def _table(spark, folder, kind):
+class _Made:
+    """What several kinds of rows are made from, each made once."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+
+    @cached_property
+    def demands(self):
+        return en.demands(self.spark, self.folder)
+
+    @cached_property
+    def names(self):
+        return series_names(self.spark, self.folder, self.demands)
+
+    @cached_property
+    def decentral(self):
+        spark, folder, found = self.spark, self.folder, self.demands
+        return cut_lineage(energy.decentral_assets(found, en.mix(spark, folder, found), en.types(spark)))
+
+    @cached_property
+    def central(self):
+        return cut_lineage(en.central(self.spark, self.folder))
+
+
+def _table(spark, folder, kind, made=None):
     """Process rows of one kind over all regions."""
+    made = made or _Made(spark, folder)
     if kind == "trade":
         return op.trade_rows(trade(spark, folder), SCENARIO)
     if kind == "pipe":
         return op.pipe_rows(en.pipes(spark, folder), SCOPED, SCENARIO)
     if kind == "grid":
-        return op.grid_rows(en.grids(spark, folder), SCOPED, SCENARIO)
+        return op.grid_rows(en.grids(spark, folder, made.decentral), SCOPED, SCENARIO)
     if kind in ("central", "chp"):
         rows = op.central_rows if kind == "central" else op.chp_rows
-        return rows(en.central(spark, folder), SCOPED, SCENARIO)
-    found = en.demands(spark, folder)
-    names = series_names(spark, folder, found)
+        return rows(made.central, SCOPED, SCENARIO)
     if kind == "demand":
-        return op.demand_rows(found, names, SCOPED, SCENARIO)
-    assets = cut_lineage(energy.decentral_assets(found, en.mix(spark, folder, found), en.types(spark)))
-    return op.decentral_rows(assets, names, SCOPED, SCENARIO)
+        return op.demand_rows(made.demands, made.names, SCOPED, SCENARIO)
+    return op.decentral_rows(made.decentral, made.names, SCOPED, SCENARIO)
 
 
 def series_names(spark, folder, found):
@@ -185,8 +209,9 @@ def chp_rows(spark, folder):
 
 
 def all_rows(spark, folder):
-    return cut_lineage(op.subprocess_table(*[_table(spark, folder, k) for k in (
-        "trade", "pipe", "demand", "decentral", "grid", "central", "chp")]))
+    made = _Made(spark, folder)
+    return cut_lineage(op.subprocess_table(*[_table(spark, folder, k, made) for k in (
+        "trade", "pipe", "demand", "decentral", "grid", "central", "chp")]), compact=True)
 
 
 _NAMES_SQL = f"""
