@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from regionflow import scale
 from regionflow.errors import DataError
 from regionflow.functions import geometry as geo
 from regionflow.operators import graph, network, streets
@@ -197,6 +198,41 @@ def test_dedupe_keeps_by_the_last_kept_point(spark, points):
     assert sorted(map(tuple, found.select("id", "at").collect())) == sorted((s, at) for s in ("A", "B") for at in kept)
 
 
+def test_dedupe_sorts_as_many_rows_per_task_at_any_size(spark, monkeypatch):
+    """More points mean more tasks, and streets of ordinary size are shuffled and sorted once; runs cross batches."""
+    rng = random.Random(4)
+    rows = [(f"S{n % 7}", n % 2, round(rng.uniform(0, 900), 1), float(n), 0.0) for n in range(6_000)]
+    points = spark.createDataFrame(rows, "id string, part int, at double, x double, y double")
+    monkeypatch.setattr(scale, "TASK_ROWS", 600)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = streets.dedupe_points(points, 1.0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plan.count("Exchange") == 1 and "Window" not in plan and found.rdd.getNumPartitions() == 10
+    want, last = [], {}
+    for row in sorted(rows):
+        if row[2] > last.get(row[:2], -9.0) + 1.0:
+            last[row[:2]] = row[2]
+            want.append(row)
+    assert got == want
+
+
+def test_dedupe_of_hot_streets(spark, small_groups):
+    """Streets above the limit are scanned by runs, with the same rows."""
+    rng = random.Random(5)
+    rows = [(f"S{n % 3}", 0, round(rng.uniform(0, 90), 1), float(n), 0.0) for n in range(200)]
+    found = streets.dedupe_points(spark.createDataFrame(rows, "id string, part int, at double, x double, y double"), 1.0)
+    want, last = [], {}
+    for row in sorted(rows):
+        if row[2] > last.get(row[0], -9.0) + 1.0:
+            last[row[0]] = row[2]
+            want.append(row)
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_dedupe_of_a_long_chain(spark):
     """One run over many batches of one task."""
     rows = spark.range(30_000).select(F.lit("A").alias("id"), F.lit(0).alias("part"), (F.col("id") * 0.25).alias("at"),
