@@ -250,6 +250,15 @@ class Regions:
         return Regions(self.edges.join(ids.select("region_id"), "region_id", "left_semi"))
 
 
+@dataclass
+class Located:
+    """Regions with stored edges and ``region_id, dataset_id`` of the scoped datasets covering them, of ``datasets`` in all."""
+    regions: Regions
+    ids: DataFrame
+    coverage: DataFrame
+    datasets: int
+
+
 QueryFunction = Callable[[DataFrame | None, Regions, dict], DataFrame]
 
 
@@ -367,14 +376,30 @@ class Registry:
         area = area.select(F.xxhash64("rings").alias("area_id"), "rings")
         return self.datasets[route_streets(area, self.catalog(), self.scopes())].payload
 
-    def query_all(self, regions: Regions, key: str, params: dict | None = None,
-                  unit: str | None = None) -> DataFrame:
-        """The answers of the best covering datasets for all regions, in ``unit`` if one is given."""
+    def located(self, regions: "Regions | Located") -> "Located":
+        """``regions`` stored with the scoped datasets covering each: what every key's routing and answers read.
+
+        Made anew only if a dataset was registered since.
+        """
+        if isinstance(regions, Located):
+            if regions.datasets == len(self.datasets):
+                return regions
+            regions = regions.regions
         scopes = self.scopes()
-        # read by the routing and by every answer
-        regions = Regions(cut_lineage(region_edges(regions.edges)))
-        routed = cut_lineage(route(regions.ids, region_coverage(regions.nodes, scopes),
-                                   self.catalog(), scopes, key))
+        stored = Regions(cut_lineage(region_edges(regions.edges)))
+        nodes = cut_lineage(stored.nodes)
+        return Located(stored, cut_lineage(nodes.select("region_id").distinct()),
+                       cut_lineage(region_coverage(nodes, scopes)), len(self.datasets))
+
+    def query_all(self, regions: "Regions | Located", key: str, params: dict | None = None,
+                  unit: str | None = None) -> DataFrame:
+        """The answers of the best covering datasets for all regions, in ``unit`` if one is given.
+
+        Who asks for several keys gives the regions as :meth:`located` made them, once.
+        """
+        located = self.located(regions)
+        regions = located.regions
+        routed = cut_lineage(route(located.ids, located.coverage, self.catalog(), self.scopes(), key))
         used = sorted(r.dataset_id for r in routed.select("dataset_id").distinct().collect())
         # Street values of any number of datasets are summed in one scan of the edges.
         shared = [n for n in used if type(self.datasets[n]).answer is StreetValueDataset.answer]
@@ -435,9 +460,10 @@ def check_registry(registry: Registry, regions: Regions, area: DataFrame) -> Dat
     and in how many of them the column is NULL. A key without an answer passes nothing and has no rows.
     """
     answers = {}
+    located = registry.located(regions)
     for key in EXPECTED:
         try:
-            answers[key] = registry.streets(area) if key == STREET_NETWORK else registry.query_all(regions, key)
+            answers[key] = registry.streets(area) if key == STREET_NETWORK else registry.query_all(located, key)
         except (NoDatasetError, DataError, NotImplementedError):
             continue
     shapes = registry.spark.createDataFrame(check_answers(answers), "key string, check string, passed boolean")
