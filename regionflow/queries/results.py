@@ -45,7 +45,11 @@ def _base(spark, folder):
     part = table(spark, folder, "part").select(c("p_partkey").alias("l_partkey"), c("p_brand").alias("brand"))
     orders = table(spark, folder, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("region"))
     rows = items.join(part, "l_partkey").join(orders, "l_orderkey").drop("l_orderkey")
-    return cut_lineage(rows, compact=True).withColumn("n", F.substring("brand", 7, 9).cast("int"))
+    return cut_lineage(rows, compact=True).withColumn("n", _number())
+
+
+def _number():
+    return F.substring("brand", 7, 9).cast("int")
 
 
 def _sums():
@@ -138,13 +142,14 @@ def rescale_results(spark, folder):
 
 def assets(spark, folder, base=None):
     base = _base(spark, folder) if base is None else base
-    base = base.select("brand", "n", "region").distinct().withColumn("kind", _kind(c("n")))
+    # what follows from the brand is made again when the rows are read, not stored
+    own = cut_lineage(base.select("brand", "region").distinct()).withColumn("n", _number())
     kind = c("kind")
-    return cut_lineage(base.select(
+    return own.withColumn("kind", _kind(c("n"))).select(
         "kind", c("brand").alias("name"), c("region").alias("region_id"),
         F.when(kind == "grid", "heat_in").when(kind == "pipe", "heat_out").otherwise("fuel").alias("commodity_in"),
         F.when(kind == "decentral", "warmth").when(kind == "grid", "heat_out").otherwise("heat_in").alias("commodity_out"),
-        F.when(kind == "chp", "power").alias("commodity_out_2")))
+        F.when(kind == "chp", "power").alias("commodity_out_2"))
 
 
 def _solved(spark, folder):

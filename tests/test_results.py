@@ -31,6 +31,16 @@ def test_the_base_rows_are_stored_once(spark, monkeypatch):
         assert sum("l_partkey" in columns for columns in stored) == 1 and len(stored) == 3  # base, outputs, assets
 
 
+def test_stored_assets_are_narrow(spark, monkeypatch):
+    """Columns that follow from the brand are not written."""
+    stored = []
+    monkeypatch.setattr(queries, "cut_lineage", lambda rows, *more, **options: stored.append(rows.columns) or cut_lineage(rows, *more, **options))
+    base = queries._base(spark, FOLDER)
+    rows = queries.assets(spark, FOLDER, base)
+    assert stored[1:] == [["brand", "region"]]
+    assert rows.count() == rows.distinct().count() == base.select("brand", "region").distinct().count()
+
+
 def test_compact_tables(spark, tmp_path):
     rows = spark.range(20_000).select("id", F.lit("the same text in every row").alias("a.b"))
     assert sorted(cut_lineage(rows, compact=True).collect()) == sorted(rows.collect())
