@@ -11,7 +11,7 @@ from regionflow.functions.text import base_name, capitalised, name_regions, regi
 from regionflow.functions.units import SYSTEM_LABELS, result_factors
 from regionflow.operators.energy import of_kind
 from regionflow.operators.techmap import DUMMY, scoped_commodity
-from regionflow.scale import attach, dense_index, with_totals
+from regionflow.scale import attach, cut_lineage, dense_index, with_totals
 
 c = F.col
 #: Results at or below this count as inactive.
@@ -174,7 +174,11 @@ def with_unit_headers(rows: DataFrame, system_unit: str) -> DataFrame:
 def report_tables(groups: dict[str, DataFrame], totals: DataFrame, emissions: DataFrame, system_unit: str,
                   metadata: dict[str, str]) -> dict[str, DataFrame]:
     """Tables of a report: metadata, formatted costs and emissions, the sorted rows of each result
-    group, and how many rows each has."""
+    group, and how many rows each has.
+
+    A group's rows are stored: the sort reads them twice, to find its ranges and to sort, and the count once more.
+    """
+    groups = {name: cut_lineage(rows, compact=True) for name, rows in groups.items()}
     labels = SYSTEM_LABELS[system_unit]
     spark = totals.sparkSession
     tables = {

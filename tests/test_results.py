@@ -41,6 +41,19 @@ def test_stored_assets_are_narrow(spark, monkeypatch):
     assert rows.count() == rows.distinct().count() == base.select("brand", "region").distinct().count()
 
 
+def test_a_report_makes_its_groups_once(spark):
+    """Sorting and counting read stored rows; neither makes the joins of a group again."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (1, "b")], "k int, technology string")
+    group = rows.join(spark.createDataFrame([(1, 2020), (2, 2010)], "k int, year int"), "k")
+    totals = spark.createDataFrame([(1.0, 2.0, 3.0)], "opex double, capex double, totex double")
+    emissions = spark.createDataFrame([(2020, 5.0)], "year int, amount double")
+    found = op.report_tables({"grids": group}, totals, emissions, "kW", {})
+    assert [r["technology"] for r in found["grids"].collect()] == ["b", "a", "b"]
+    assert found["counts"].collect() == [("grids", 3)]
+    for name in ("grids", "counts"):
+        assert "Join" not in found[name]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_compact_tables(spark, tmp_path):
     rows = spark.range(20_000).select("id", F.lit("the same text in every row").alias("a.b"))
     assert sorted(cut_lineage(rows, compact=True).collect()) == sorted(rows.collect())
