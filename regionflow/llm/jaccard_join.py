@@ -6,10 +6,14 @@
 3. A set's prefix, its first ``n - ceil(t * n) + 1`` shingles in that order, must share a shingle with the prefix of
    every set at similarity ``t`` or more. Nodes with identical prefixes and sizes form one group, which posts its
    prefix once; group pairs that share a posting and whose sizes can reach ``t`` are candidates.
-4. Candidates are expanded to their members and verified on full sets, in two steps that lose no link between
+4. Before any text is fetched candidates must pass two bounds that no link fails: the places of a shared shingle in both
+   prefixes leave room for the overlap, and parity bits of both sets (a bit or two per shingle) differ in no more places
+   than the sets may. In a large corpus most lists hold unrelated texts that share a few words, and end here.
+5. Candidates are expanded to their members and verified on full sets, in two steps that lose no link between
    components yet never emit all pairs of a list: first each posting list's first group against the others; what
    is linked then needs no further test. Lists that still hold several components are tested in full between
-   components: short lists as pairs, long ones as blocks against blocks inside tasks, which emit only links.
+   components: short lists as pairs; long ones fall apart into what the bounds hold together, and what is still long
+   is tested as blocks against blocks inside tasks, which emit only links.
 
 Components need no more links than connect them. ``count_links`` asks for the links of each document as well: then
 every candidate pair is tested, also inside components, and none is lost.
@@ -28,14 +32,21 @@ from regionflow.llm.url_filter import superset_filter
 from regionflow.operators.graph import connected_components
 
 #: Cells of the count sketch; the broadcast order table has one byte each.
-SKETCH_CELLS = 1 << 22
+SKETCH_CELLS = 1 << 23
 _SKETCH_PARTS = 64
+#: Order classes for each doubling of a cell's count: in a large corpus a cell holds many shingles that occur once, and a
+#: shingle must stand out from their sum.
+_CLASSES = 12
 #: A posting list with more nodes left is tested in blocks, a shorter one as pairs.
 SHORT_LIST = 32
 #: Nodes in a block.
 BLOCK_NODES = 128
+#: Rows of a longer list that a task compares by their bounds at once.
+UNIT_ROWS = 2048
+#: Words of 64 parity bits for a set at most.
+_MOST_WORDS = 512
 
-_SETS = "doc_id bigint, content bigint, n int, sig binary, prefix array<bigint>"
+_SETS = "doc_id bigint, content bigint, n int, sig binary, prefix array<bigint>, bits binary"
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -43,7 +54,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sketch(docs: DataFrame, width: int):
-    """Order class of each sketch cell: the rounded logarithm of the shingles counted in it, as bytes."""
+    """Order class of each sketch cell: the logarithm of the shingles counted in it, in steps, as bytes."""
     size = SKETCH_CELLS // _SKETCH_PARTS
 
     def count(batches):
@@ -73,26 +84,27 @@ def _sketch(docs: DataFrame, width: int):
                 if part not in sums:
                     sums[part] = np.zeros(size, np.int64)
                 sums[part] += values
-        kinds = [np.log2(np.maximum(v, 1)).round().astype(np.uint8).tobytes() for v in sums.values()]
+        kinds = [np.minimum(_CLASSES * np.log2(np.maximum(v, 1)), 255).round().astype(np.uint8).tobytes()
+                 for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(kinds, pa.binary())],
                                          names=["part", "cells"])
 
     counted = docs.mapInArrow(count, "part int, cells binary").repartition(_SKETCH_PARTS, "part")
     classes = bytearray(SKETCH_CELLS)
-    for part, cells in counted.mapInArrow(add, "part int, cells binary").collect():  # 64 rows, 4 MB in all
+    for part, cells in counted.mapInArrow(add, "part int, cells binary").collect():  # 64 rows, 8 MB in all
         classes[part * size:(part + 1) * size] = cells
     return docs.sparkSession.sparkContext.broadcast(bytes(classes))
 
 
 def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
-    """Size, digest and prefix of every document's set."""
+    """Size, digest, prefix and parity bits of every document's set."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         shingler, classes = Shingler(width), np.frombuffer(order.value, np.uint8)
         for batch in batches:
             for start, texts in text_slices(batch.column(2)):
-                sizes, sigs, prefixes = [], [], []
+                sizes, sigs, prefixes, bits = [], [], [], []
                 for hashes in shingler.sets(texts):
                     n = len(hashes)
                     sizes.append(n)
@@ -100,15 +112,56 @@ def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
                     rank = classes[(hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)]
                     kept = np.argsort(rank, kind="stable")[:prefix_length(n, percent) if n else 0]
                     prefixes.append(hashes[kept].view(np.int64))
+                    bits.append(parity_bits(hashes))
                 bounds = np.cumsum([0, *map(len, prefixes)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)),
                      pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))],
-                    names=["doc_id", "content", "n", "sig", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64())),
+                     pa.array(bits, pa.binary())],
+                    names=["doc_id", "content", "n", "sig", "prefix", "bits"])
     return docs.mapInArrow(run, _SETS)
 
 
+def parity_bits(hashes) -> bytes:
+    """For each value of a hash's low bits whether an odd number of the set's hashes has it; at least a bit per hash, in
+    words of 64, a power of two of them (``_MOST_WORDS`` at most)."""
+    import numpy as np
+    size = 64
+    while size < min(len(hashes), 64 * _MOST_WORDS):
+        size *= 2
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(first, second, sizes, sizes2, percent: int):
+    """Whether sets may be as similar as asked, by Arrow columns of their parity bits and arrays of their sizes.
+
+    Sets differ in at least as many hashes as their parity bits differ in places; longer bits are folded to the length
+    of the others, which keeps them parities.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+    both = sizes.astype(np.int64) + sizes2
+    words, words2 = (pc.binary_length(c).to_numpy(zero_copy_only=False) // 8 for c in (first, second))
+    answer = np.zeros(len(both), bool)
+
+    def taken(column, rows, length, shared):
+        found = column.take(rows)
+        begin = np.frombuffer(found.buffers()[1], np.int32)[found.offset]
+        bits = np.frombuffer(found.buffers()[2], np.uint64, count=len(found) * length, offset=int(begin))
+        return np.bitwise_xor.reduce(bits.reshape(len(found), length // shared, shared), axis=1)
+
+    lengths = words * (_MOST_WORDS + 1) + words2
+    for a, b in (divmod(int(x), _MOST_WORDS + 1) for x in np.unique(lengths)):
+        alike, shared = np.flatnonzero((words == a) & (words2 == b)), min(a, b)
+        step = max(1, (1 << 19) // max(a, b))
+        for rows in (alike[k:k + step] for k in range(0, len(alike), step)):
+            differ = np.bitwise_count(taken(first, rows, a, shared) ^ taken(second, rows, b, shared)).sum(axis=1, dtype=np.int64)
+            answer[rows] = (100 + percent) * (both[rows] - differ) >= 2 * percent * both[rows]
+    return answer
+
+
 def verified(units: DataFrame, source: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``u, v`` among candidates.
 
@@ -195,6 +248,131 @@ def _fits(percent: int):
     return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
 
 
+def _has_room(percent: int):
+    """Whether a shingle at these places of two prefixes can be the first of as many shared ones as a link needs."""
+    return F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+
+
+def likely_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (``node, node2, label, label2``) whose parity bits (``bits``: ``node, n, bits``) allow a link."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            n, n2, first, second = (batch.column(k) for k in range(4, 8))
+            passing = may_link(first, second, n.to_numpy(), n2.to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(passing)) for k in range(4)],
+                                             names=["node", "node2", "label", "label2"])
+
+    other = bits.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    return (pairs.join(other, "node2").join(bits, "node")
+            .select("node", "node2", "label", "label2", "n", "n2", "bits", "bits2")
+            .mapInArrow(run, "node bigint, node2 bigint, label bigint, label2 bigint"))
+
+
+def split_lists(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Long lists (``token, node, n, pos, label, _m``) as lists of nodes that the bounds hold together.
+
+    Each pair that may link stands in one list of the answer (``token, node, n, label``) at least. A list is compared by
+    its rows in order of size, so that a row meets those of fitting size only; one of more than ``UNIT_ROWS`` rows is cut
+    into blocks, and each two blocks are a unit of their own.
+    """
+    parts = F.ceil(F.col("_m") / UNIT_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
+    units = (lists.withColumn("_parts", parts).withColumn("_own", own)
+             .withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+             .select(F.xxhash64("token", F.least("_own", "_to"), F.greatest("_own", "_to")).alias("unit"),
+                     F.signum(F.col("_own") - F.col("_to")).cast("int").alias("side"), "node", "n", "pos", "label"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def lists_of(rows):
+            """The rows of some whole units, in order of unit and size, as new lists."""
+            unit, side, node, n, pos, label = (rows.column(k).to_numpy() for k in range(6))
+            size, bit_rows = n.astype(np.int64), rows.column(6)
+            root, us, vs, held = np.arange(len(unit)), [], [], 0
+
+            def settle():
+                """Rows that the pairs so far connect get their smallest row as root."""
+                nonlocal root, us, vs, held
+                u, v = np.concatenate([*us, root]), np.concatenate([*vs, np.arange(len(root))])
+                while True:
+                    low = np.minimum(root[u], root[v])
+                    before = root.copy()
+                    np.minimum.at(root, u, low)
+                    np.minimum.at(root, v, low)
+                    root = root[root]
+                    if (root == before).all():
+                        break
+                us, vs, held = [], [], 0
+
+            left, apart = np.arange(len(unit)), 0
+            while len(left):
+                apart += 1
+                left = left[left < len(unit) - apart]
+                right = left + apart
+                fits = (unit[left] == unit[right]) & (100 * size[left] >= percent * size[right])
+                left = left[fits]  # later rows of the unit are larger still
+                right = left + apart
+                room = np.minimum(size[left] - pos[left], size[right] - pos[right])
+                near = ((label[left] != label[right]) & (node[left] != node[right])
+                        & ((side[left] != side[right]) | (side[left] == 0))
+                        & (room * (100 + percent) >= percent * (size[left] + size[right])))
+                u, v = left[near], right[near]
+                if len(u):
+                    passing = may_link(bit_rows.take(pa.array(u)), bit_rows.take(pa.array(v)), size[u], size[v], percent)
+                    us.append(u[passing])
+                    vs.append(v[passing])
+                    held += len(us[-1])
+                    if held > 1 << 19:
+                        settle()
+            settle()
+            kept = np.bincount(root, minlength=len(root))[root] > 1
+            token = unit[kept] ^ (node[root[kept]] * np.int64(0x1E3779B97F4A7C15))
+            return pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(c[kept]) for c in (node, n, label))],
+                                              names=["token", "node", "n", "label"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column(0).to_numpy()
+            last = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if last:
+                yield lists_of(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != unit[0]:
+                yield lists_of(pa.concat_batches(held))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield lists_of(pa.concat_batches(held))
+
+    return (units.join(bits.select("node", "bits"), "node").select("unit", "side", "node", "n", "pos", "label", "bits")
+            .repartition("unit").sortWithinPartitions("unit", "n")
+            .mapInArrow(run, "token bigint, node bigint, n int, label bigint"))
+
+
+def likely_units(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Units that test every pair of nodes in one list (``token, node, n, pos, label``) that have different labels and may
+    link; ``bits`` has ``node, n, bits``."""
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min("label").alias("_a"),
+                                       F.max("label").alias("_b")).filter("_a <> _b")
+    open_lists = finished(stored(lists.join(sizes.select("token", "_m"), "token")))
+    short = open_lists.filter(F.col("_m") <= SHORT_LIST).drop("_m")
+    other = short.select("token", *[F.col(name).alias(f"{name}2") for name in ("node", "n", "pos", "label")])
+    pairs = (short.join(other, "token").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2"))
+                                               & _fits(percent) & _has_room(percent))
+             .select("node", "node2", "label", "label2").distinct())
+    alone = stars(stored(likely_pairs(pairs, bits, percent)))
+    long = open_lists.filter(F.col("_m") > SHORT_LIST)
+    if long.isEmpty():
+        return alone
+    return alone.unionByName(residual_units(finished(stored(split_lists(long, bits, percent))), percent))
+
+
 def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label``: the label of a node without links is itself."""
     found = connected_components(links).select("node", "component")
@@ -294,25 +472,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
     member = stored(first.select("node", "n", "g1", "g2").join(groups.filter("size > 1"), ["n", "g1", "g2"])
                     .select("gid", "node", "n"))
     # Tokens of all rows are counted, so copies only let more tokens through; groups' first nodes alone are posted.
-    tokens = rows.select(F.col("row").alias("node"), F.explode("prefix").alias("token"))
+    tokens = rows.select(F.col("row").alias("node"), F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").count().filter("count > 1").select("token")
     posting = first.select("node", "n").join(groups.select(F.col("gid").alias("node")), "node", "left_semi")
     posted = tokens.join(shared, "token").join(posting, "node")
-    own_list = member.select("node", "n", F.xxhash64("gid", F.lit("group")).alias("token"))
-    lists = stored(posted.select("node", "n", "token").unionByName(own_list))
+    own_list = member.select("node", "n", F.lit(0).alias("pos"), F.xxhash64("gid", F.lit("group")).alias("token"))
+    lists = finished(stored(posted.select("node", "n", "pos", "token").unionByName(own_list)))
+    bits = rows.select(F.col("row").alias("node"), "n", "bits")
     # Step 1: the first of each list against the others.
-    hubs = lists.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"))
-    tried = (lists.select(F.col("node").alias("node2"), F.col("n").alias("n2"), "token").join(hubs, "token")
-             .select(F.col("h.node").alias("node"), F.col("h.n").alias("n"), "node2", "n2")
-             .filter((F.col("node") != F.col("node2")) & _fits(percent)).select("node", "node2").distinct())
-    tried = finished(stored(tried.withColumns({"label": F.col("node"), "label2": F.col("node2")})))
+    hubs = lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("h"))
+    tried = (lists.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "token")
+             .join(hubs, "token").select("h.*", "node2", "n2", "pos2")
+             .filter((F.col("node") != F.col("node2")) & _fits(percent) & _has_room(percent))
+             .select("node", "node2").distinct())
+    tried = likely_pairs(tried.withColumns({"label": F.col("node"), "label2": F.col("node2")}), bits, percent)
+    tried = finished(stored(tried))
     links = finished(stored(verified(stars(tried), source, first, width, percent)))
     labels = relabelled(first.select("node"), links)
     # Step 2: whatever still differs inside a list, expanded to the members of its groups.
     shown = member.select(F.col("gid").alias("node"), F.col("node").alias("_member"))
-    expanded = (lists.join(shown, "node", "left").select(F.coalesce("_member", "node").alias("node"), "n", "token")
+    expanded = (lists.join(shown, "node", "left").select(F.coalesce("_member", "node").alias("node"), "n", "pos", "token")
                 .unionByName(own_list).distinct())
-    more = finished(stored(verified(residual_units(expanded.join(labels, "node"), percent), source, first, width, percent)))
+    units = likely_units(expanded.join(labels, "node"), bits, percent)
+    more = finished(stored(verified(units, source, first, width, percent)))
     labels = relabelled(first.select("node"), links.unionByName(more))
     lows = first.select("node", "low", "sig").join(labels, "node")
     found = lows.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -320,7 +502,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4, doc_id:
     counted = []
     if count_links:
         apart = expanded.withColumn("label", F.col("node"))  # no two nodes share a label, so every pair is tested
-        pairs = stored(verified(residual_units(apart, percent), source, first, width, percent))
+        pairs = stored(verified(likely_units(apart, bits, percent), source, first, width, percent))
         answer = answer.join(_links_of(pairs, rows, first), "sig")
         counted = ["n_links"]
     answer = stored(answer)

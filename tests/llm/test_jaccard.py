@@ -93,3 +93,46 @@ def test_one_of_each_component_stays(spark):
     want = {r[2] for r in brute(list(enumerate(texts)), 80, 5)}
     assert {r["doc_id"] for r in left.collect()} == want and left.columns == docs.columns
     assert jaccard_join.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_bounds_lose_no_link():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    sets, sets2 = [], []
+    for n in [1, 2, 7, 60, 64, 65, 300, 511, 700, 3000]:
+        for change in (0, 0.02, 0.08, 0.1, 0.12, 0.2, 0.5, 1):
+            for extra in (0, n // 10, n // 5):
+                hashes = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+                other = np.where(rng.random(len(hashes)) < change, rng.integers(0, 1 << 63, len(hashes), np.uint64), hashes)
+                sets.append(hashes)
+                sets2.append(np.unique(np.concatenate([other, rng.integers(0, 1 << 63, extra, np.uint64)])))
+    columns = [pa.array([jaccard_join.parity_bits(s) for s in side], pa.binary()) for side in (sets, sets2)]
+    sizes, sizes2 = (np.array([len(s) for s in side]) for side in (sets, sets2))
+    assert len({len(b) for b in columns[0].to_pylist()}) == 5
+    share = np.array([len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(sets, sets2)])
+    for percent in (80, 85):
+        passing = jaccard_join.may_link(columns[0].slice(0), columns[1], sizes, sizes2, percent)
+        assert passing[100 * share >= percent].all() and (100 * share >= percent).sum() > 40
+        assert not passing[(share < 0.3) & (sizes >= 60)].any()
+
+
+def test_unrelated_texts_in_shared_lists_are_not_fetched(spark, monkeypatch):
+    """Many texts share phrases at random, as in a large corpus; few of them are alike."""
+    for name, value in (("SKETCH_CELLS", 64), ("SHORT_LIST", 3), ("BLOCK_NODES", 8), ("UNIT_ROWS", 16)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=name != "UNIT_ROWS")
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(8)) for k in range(40)]
+    texts = [" ".join([*(f"w{rng.randint(0, 10 ** 6)}" for _ in range(60)), *rng.sample(phrases, 3)]) for _ in range(150)]
+    texts += families(6, 3, 20, 80)
+    fetched, verified = [], jaccard_join.verified
+
+    def counted(units, *rest):
+        units = jaccard_join.stored(units)
+        fetched.append(units.count())
+        return verified(units, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(list(enumerate(texts)), 85, 4))
+    assert sum(fetched) < 6 * 60
