@@ -47,8 +47,11 @@ def finished(df: DataFrame) -> DataFrame:
     Spark removes them when the driver's garbage collection finds their plans unused, which on a calm driver is late.
     """
     import gc
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    import time
+    for _ in range(2):  # what the first round lets go of may hold the last step's plan
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return df
 
 
